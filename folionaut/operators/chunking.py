@@ -1,14 +1,14 @@
 """Cut structured blocks into overlapping chunks.
 
 Spark prepares, per document, what the packing needs (piece lengths, group starts, skipped
-repeats); one Arrow function walks the pieces of each document, and the chunk attributes are
-again column expressions. A document is one row throughout, so no text is shuffled.
+repeats); ``mapInArrow`` walks the pieces of one document after the other and emits its chunks.
+A document is one row throughout, so no text is shuffled.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,17 +23,13 @@ BLOCK_TYPE = (
 )
 BLOCKS = f"array<{BLOCK_TYPE}>"
 
-SPAN = pa.struct(
-    [
-        ("text", pa.string()), ("char_start", pa.int64()), ("char_end", pa.int64()), ("first", pa.int32()),
-        ("last", pa.int32()), ("line_start", pa.int32()), ("line_end", pa.int32()),
-        ("token_start", pa.int64()), ("token_count", pa.int64()),
-    ]
-)
-SPAN_DDL = (
-    "array<struct<text:string,char_start:bigint,char_end:bigint,first:int,last:int,line_start:int,line_end:int,"
-    "token_start:bigint,token_count:bigint>>"
-)
+# Columns of a chunk as the packing emits them.
+CHUNK_FIELDS = {
+    "chunk_index": "int", "text": "string", "char_start": "bigint", "char_end": "bigint", "token_start": "bigint",
+    "token_count": "bigint", "page_start": "int", "page_end": "int", "slide_start": "int", "slide_end": "int",
+    "time_start_ms": "bigint", "time_end_ms": "bigint", "line_start": "int", "line_end": "int",
+    "section_path": "string", "heading": "string", "document_length": "bigint",
+}
 
 
 class ApproximateTokens:
@@ -81,7 +77,13 @@ def pack(starts: list[int], ends: list[int], low: int, high: int, fits: Callable
         first = max(first + 1, overlaps(first, past) if overlaps else past)
 
 
-def _document_spans(text: str, blocks: list[dict], code: bool, tokenizer, size: int, overlap: int) -> list[dict]:
+def _range(values: list) -> tuple:
+    known = [value for value in values if value is not None]
+    return (min(known), max(known)) if known else (None, None)
+
+
+def _document_chunks(blocks: list[dict], code: bool, tokenizer, size: int, overlap: int) -> list[dict]:
+    text = "\n\n".join(block["text"] for block in blocks)
     exact = not isinstance(tokenizer, ApproximateTokens)
     starts, ends, owner, line, groups = [], [], [], [], [0]
     at = 0
@@ -134,31 +136,24 @@ def _document_spans(text: str, blocks: list[dict], code: bool, tokenizer, size:
             a, b = starts[first], ends[past - 1]
             part = text[a:b]
             if part.strip():
-                one, two = owner[first], owner[past - 1]
+                inside = blocks[owner[first] : owner[past - 1] + 1]
+                one, two = inside[0], inside[-1]
+                pages, slides = _range([b["page"] for b in inside]), _range([b["slide"] for b in inside])
                 out.append(
                     {
-                        "text": part, "char_start": a, "char_end": b, "first": one, "last": two,
-                        "line_start": line[first] if code else blocks[one]["line_start"],
-                        "line_end": line[past - 1] if code else blocks[two]["line_end"],
+                        "chunk_index": len(out), "text": part, "char_start": a, "char_end": b,
                         "token_start": tokenizer.count(text[:a]) if exact else -(-a // 4),
                         "token_count": tokenizer.count(part) if exact else -(-len(part) // 4),
+                        "page_start": pages[0], "page_end": pages[1], "slide_start": slides[0], "slide_end": slides[1],
+                        "time_start_ms": one["time_start_ms"], "time_end_ms": two["time_end_ms"],
+                        "line_start": line[first] if code else one["line_start"],
+                        "line_end": line[past - 1] if code else two["line_end"],
+                        "section_path": one["section_path"], "heading": one["heading"], "document_length": len(text),
                     }
                 )
     return out
 
 
-def _span_function(tokenizer, size: int, overlap: int):
-    @F.arrow_udf(SPAN_DDL)
-    def spans(text: pa.Array, blocks: pa.Array, code: pa.Array) -> pa.Array:
-        rows = zip(text, blocks, code)
-        return pa.array(
-            [_document_spans(t.as_py(), b.as_py() or [], c.as_py(), tokenizer, size, overlap) for t, b, c in rows],
-            pa.list_(SPAN),
-        )
-
-    return spans
-
-
 def full_text(blocks: Column) -> Column:
     """The document as its blocks joined by a blank line; chunk offsets refer to it."""
     return F.array_join(F.transform(blocks, lambda b: b["text"]), "\n\n")
@@ -188,16 +183,17 @@ def _prepared(blocks: Column, code: Column, short: int) -> Column:
         return F.transform(kept, F.length)
 
     def describe(block: Column, flag: Column) -> Column:
-        text = block["text"]
+        text, atomic = block["text"], F.coalesce(block["atomic"], F.lit(False))
+        anchors = "page slide time_start_ms time_end_ms line_start line_end section_path heading".split()
         return F.struct(
+            text.alias("text"),
             F.length(text).alias("length"),
-            F.coalesce(block["atomic"], F.lit(False)).alias("atomic"),
-            block["line_start"].alias("line_start"),
-            block["line_end"].alias("line_end"),
+            atomic.alias("atomic"),
+            *[block[name].alias(name) for name in anchors],
             flag["repeat"].alias("repeat"),
             (flag["repeat"] | F.coalesce(block["is_heading"], F.lit(False)) | flag["moved"]).alias("fresh"),
             F.when(code, code_lines(text))
-            .when(F.coalesce(block["atomic"], F.lit(False)) | (F.length(text) <= short), F.array(F.length(text)))
+            .when(atomic | (F.length(text) <= short), F.array(F.length(text)))
             .otherwise(F.transform(sentences(text), F.length))
             .alias("pieces"),
         )
@@ -219,36 +215,28 @@ def chunk_documents(
         raise FolioError("CONFIG_INVALID", "chunk size must be positive and overlap smaller than the size")
     tokenizer = tokenizer or ApproximateTokens()
     code = F.lit(False) if code is None else code
-    spans = _span_function(tokenizer, size, overlap)
     short = 4 * size if isinstance(tokenizer, ApproximateTokens) else 0
-    prepared = documents.select(
-        *keep,
-        F.col(blocks).alias("_blocks"),
-        spans(full_text(F.col(blocks)), _prepared(F.col(blocks), code, short), code).alias("_spans"),
-        F.length(full_text(F.col(blocks))).alias("_length"),
-    )
-
-    def anchored(span: Column) -> Column:
-        first, last = F.get("_blocks", span["first"]), F.get("_blocks", span["last"])
-        inside = F.slice("_blocks", span["first"] + 1, span["last"] - span["first"] + 1)
-        pages, slides = F.transform(inside, lambda b: b["page"]), F.transform(inside, lambda b: b["slide"])
-        return F.struct(
-            *[span[name].alias(name) for name in ("text", "char_start", "char_end", "token_start", "token_count")],
-            F.array_min(pages).alias("page_start"), F.array_max(pages).alias("page_end"),
-            F.array_min(slides).alias("slide_start"), F.array_max(slides).alias("slide_end"),
-            first["time_start_ms"].alias("time_start_ms"), last["time_end_ms"].alias("time_end_ms"),
-            span["line_start"].alias("line_start"), span["line_end"].alias("line_end"),
-            first["section_path"].alias("section_path"), first["heading"].alias("heading"),
-        )
-
-    exploded = prepared.select(
-        *keep, "_length", F.posexplode(F.transform("_spans", anchored)).alias("chunk_index", "c")
-    )
-    return exploded.select(
+    prepared = documents.select(*keep, _prepared(F.col(blocks), code, short).alias("_blocks"), code.alias("_code"))
+    kept = {name: prepared.schema[name].dataType for name in keep}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                parts = batch.column("_blocks")[row].as_py() or []
+                found = _document_chunks(parts, batch.column("_code")[row].as_py(), tokenizer, size, overlap)
+                if found:
+                    same = [batch.column(name).take(pa.array([row] * len(found))) for name in keep]
+                    types = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+                    own = [pa.array([c[name] for c in found], types[kind]) for name, kind in CHUNK_FIELDS.items()]
+                    yield pa.RecordBatch.from_arrays(same + own, names=[*keep, *CHUNK_FIELDS])
+
+    fields = [f"`{name}` {kind.simpleString()}" for name, kind in kept.items()]
+    fields += [f"{name} {kind}" for name, kind in CHUNK_FIELDS.items()]
+    chunks = prepared.mapInArrow(run, ", ".join(fields))
+    return chunks.select(
         *keep,
-        "chunk_index",
-        "c.*",
-        squeeze(F.col("c.text")).alias("normalized_text"),
-        (F.col("c.token_start") + F.col("c.token_count")).alias("token_end"),
-        (100.0 * F.col("c.char_start") / F.col("_length")).alias("percent_position"),
+        *[name for name in CHUNK_FIELDS if name != "document_length"],
+        squeeze(F.col("text")).alias("normalized_text"),
+        (F.col("token_start") + F.col("token_count")).alias("token_end"),
+        (100.0 * F.col("char_start") / F.col("document_length")).alias("percent_position"),
     )

@@ -1,31 +1,20 @@
-"""Exact vector similarity. Every vector is compared; nothing is approximated."""
+"""Exact vector similarity. Every vector is compared; nothing is approximated.
+
+Spark streams (key, vector) record batches through ``mapInArrow``; a batch is one matrix
+product in numpy, and only (key, value) pairs return.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _kernel(query: Sequence[float], measure):
-    target = np.asarray(query, dtype=np.float32).astype(np.float64)
-
-    @F.arrow_udf("double")
-    def compare(vectors: pa.Array) -> pa.Array:
-        usable = pc.fill_null(pc.equal(pc.list_value_length(vectors), len(target)), False)
-        matrix = vectors.filter(usable).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        out = np.full(len(vectors), np.nan)
-        out[usable.to_numpy(zero_copy_only=False)] = measure(matrix.reshape(-1, len(target)), target)
-        return pa.array(out, mask=~np.isfinite(out))
-
-    # Marked so that a filter on the score reads the computed column instead of running the kernel again.
-    return compare.asNondeterministic()
-
-
 def _l2(matrix: np.ndarray, target: np.ndarray) -> np.ndarray:
     difference = matrix - target
     return np.sqrt(np.einsum("ij,ij->i", difference, difference))
@@ -36,16 +25,37 @@ def _cosine(matrix: np.ndarray, target: np.ndarray) -> np.ndarray:
         return matrix @ target / (np.sqrt(np.einsum("ij,ij->i", matrix, matrix)) * np.sqrt(target @ target))
 
 
-def l2_distance(vectors: Column, query: Sequence[float]) -> Column:
-    """Euclidean distance to the query; null for vectors of another width."""
-    return _kernel(query, _l2)(vectors)
+def _measure(
+    vectors: DataFrame, query: Sequence[float], column: str, keys: Sequence[str], name: str, kernel: Callable
+) -> DataFrame:
+    """The key columns and the measure; vectors of another width or without a finite value are left out."""
+    target = np.asarray(query, dtype=np.float32).astype(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            usable = pc.fill_null(pc.equal(pc.list_value_length(batch.column("_vector")), len(target)), False)
+            kept = batch.filter(usable)
+            matrix = kept.column("_vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            values = kernel(matrix.reshape(-1, len(target)), target)
+            finite = pa.array(np.isfinite(values))
+            columns = [kept.column(key) for key in keys] + [pa.array(values, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, name]).filter(finite)
+
+    source = vectors.select(*keys, F.col(column).alias("_vector"))
+    fields = ", ".join(f"`{key}` {source.schema[key].dataType.simpleString()}" for key in keys)
+    return source.mapInArrow(run, f"{fields}, `{name}` double")
+
+
+def l2_distances(vectors: DataFrame, query: Sequence[float], column: str = "embedding", keys: Sequence[str] = ("seq",)) -> DataFrame:
+    """Key columns and ``distance``, the Euclidean distance to the query."""
+    return _measure(vectors, query, column, keys, "distance", _l2)
 
 
-def cosine_similarity(vectors: Column, query: Sequence[float]) -> Column:
-    return _kernel(query, _cosine)(vectors)
+def cosine_similarities(vectors: DataFrame, query: Sequence[float], column: str = "embedding", keys: Sequence[str] = ("seq",)) -> DataFrame:
+    """Key columns and ``similarity``, the cosine of the angle to the query."""
+    return _measure(vectors, query, column, keys, "similarity", _cosine)
 
 
 def vector_scores(vectors: DataFrame, query: Sequence[float], column: str = "embedding", key: str = "seq") -> DataFrame:
     """(key, vector_score) with score 1 / (1 + distance)."""
-    distance = l2_distance(F.col(column), query)
-    return vectors.select(key, (1 / (1 + distance)).alias("vector_score")).filter(F.col("vector_score").isNotNull())
+    return l2_distances(vectors, query, column, (key,)).select(key, (1 / (1 + F.col("distance"))).alias("vector_score"))

@@ -150,8 +150,8 @@ def vector_filtered_topk(spark, folder):
 @query("vector_cosine_scores", f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {VECTOR_SQL}), 6) AS similarity FROM embeddings")
 def vector_cosine_scores(spark, folder):
     vectors = table(spark, folder, "embeddings", "vec_id")
-    similarity = vector.cosine_similarity(F.col("embedding"), QUERY_VECTOR)
-    return vectors.select("vec_id", F.round(similarity, 6).alias("similarity"))
+    scores = vector.cosine_similarities(vectors, QUERY_VECTOR, keys=("vec_id",))
+    return scores.select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 def hash_vector_sql(text: str) -> str:
