@@ -1,17 +1,20 @@
 """Labelled facts (prices, percentages, numbers, dates) found in a text column.
 
-Each rule is one regular expression. A row's matches and the gaps between them
-come from ``regexp_extract_all`` and ``split`` over the same pattern, so spans
-follow from one running sum and nothing leaves the JVM.
+Three patterns cover all facts: labelled values, numeric dates and dates with a month name. Labelled
+values of different labels never overlap, so one scan finds them all; dates of the two forms may. A
+row's matches and the gaps between them come from ``regexp_extract_all`` and ``split`` over the same
+pattern, so spans follow from one running sum and nothing leaves the JVM.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folionaut.functions.text import let
+
 # System fields, their types and aliases.
 FIELDS = {
     "price": ("currency", ["cost"]),
@@ -43,48 +46,35 @@ MONTHS = (
 DATE_LABEL = r"(?iU)\b(published|event|created|updated)\s*(?:date)?\s*[:=]?\s*\z"
 DATE_LABEL_WINDOW = 40
 
-AMOUNT = r"\s*[:=]?\s*([€$£¥])?\s*([0-9][0-9.,]*[0-9]|[0-9])\s*(EUR|USD|GBP|JPY|€|\$|£|¥)?"
-PERCENT = r"\s*[:=]?\s*(\d+(?:[.,]\d+)?)\s*%"
-NUMBER = r"\s*[:=]?\s*[#v]?(\d+(?:[.,]\d+)*)"
-
-
-@dataclass(frozen=True)
-class Rule:
-    kind: str
-    field: str | None
-    pattern: str
-    confidence: float
-    groups: tuple[int, ...] = ()
-
-
-def _rules() -> list[Rule]:
-    rules = [
-        Rule("currency", field, rf"(?iU)\b(?:{label}){AMOUNT}", 0.9)
-        for field, label in (("price", "price|cost"), ("amount", "amount"), ("total", "total"))
-    ]
-    rules += [
-        Rule("percentage", f"{label}_percent", rf"(?iU)\b{label}{PERCENT}", 0.9) for label in ("discount", "tax")
-    ]
-    for label in ("rating", "score", "rank", "count", "quantity", "version", "weight", "length"):
-        unit = rf"(?:\s*({UNITS[label]})\b)?" if label in UNITS else ""
-        rules.append(Rule("number", label, rf"(?iU)\b{label}{NUMBER}{unit}", 0.85))
-    rules += [
-        # groups: position of year, month, day in the pattern
-        Rule("date", None, r"(?U)\b(\d{4})-(\d{2})-(\d{2})\b", 1.0, (1, 2, 3)),
-        Rule("date", None, r"(?U)\b(\d{4})/(\d{2})/(\d{2})\b", 1.0, (1, 2, 3)),
-        Rule("date", None, r"(?U)\b(\d{1,2}) ([A-Z][a-z]+) (\d{4})\b", 1.0, (3, 2, 1)),
-        Rule("date", None, r"(?U)\b([A-Z][a-z]+) (\d{1,2}),? (\d{4})\b", 1.0, (3, 1, 2)),
-    ]
-    return rules
-
-
-RULES = _rules()
-
-# One cheap test that lets rows without any label or digit group skip all rules.
-MAY_HAVE_FACTS = (
-    r"(?i)(?:price|cost|amount|total|discount|tax|rating|score|rank|count|quantity|version|weight|length)"
-    r"|\d{4}"
+CURRENCY_FIELDS = {"price": "price", "cost": "price", "amount": "amount", "total": "total"}
+PERCENT_FIELDS = {"discount": "discount_percent", "tax": "tax_percent"}
+NUMBER_FIELDS = {name: name for name in ("rating", "score", "rank", "count", "quantity", "version", "weight", "length")}
+LABELS = CURRENCY_FIELDS | PERCENT_FIELDS | NUMBER_FIELDS
+
+# How a value may follow its label.
+AMOUNT = r"\s*[:=]?\s*[€$£¥]?\s*(?:[0-9][0-9.,]*[0-9]|[0-9])\s*(?:EUR|USD|GBP|JPY|€|\$|£|¥)?"
+PERCENT = r"\s*[:=]?\s*\d+(?:[.,]\d+)?\s*%"
+NUMBER = r"\s*[:=]?\s*[#v]?\d+(?:[.,]\d+)*"
+
+
+def _any(words) -> str:
+    return "(?:" + "|".join(words) + ")"
+
+
+LABELLED = (
+    r"(?iU)\b(?:"
+    + "|".join(
+        [_any(CURRENCY_FIELDS) + AMOUNT, _any(PERCENT_FIELDS) + PERCENT]
+        + [rf"{label}{NUMBER}(?:\s*(?:{units})\b)?" for label, units in UNITS.items()]
+        + [_any(name for name in NUMBER_FIELDS if name not in UNITS) + NUMBER]
+    )
+    + ")"
 )
+NUMERIC_DATE = r"(?U)\b(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2})\b"
+NAMED_DATE = r"(?U)\b(?:\d{1,2} [A-Z][a-z]+ \d{4}|[A-Z][a-z]+ \d{1,2},? \d{4})\b"
+
+# Order of facts in a text: by field, then by place. Fields 1-3 are currencies, 4-5 percentages.
+FIELD_ORDER = list(dict.fromkeys(LABELS.values()))
 
 
 def parse_number(raw: Column, locale: str = "en") -> Column:
@@ -96,102 +86,131 @@ def parse_number(raw: Column, locale: str = "en") -> Column:
     return plain.try_cast("double")
 
 
+SPANS = "array<struct<match:string,start:int>>"
+
+
 def _spans(text: Column, pattern: str) -> Column:
     """array<struct<match, start>>; ``start`` counts code points from zero."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    pairs = F.filter(F.arrays_zip(matches.alias("m"), gaps.alias("g")), lambda p: p["m"].isNotNull())
-    empty = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<match:string,start:int>>").alias("out")
-    )
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
     def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + pair["g"]
-        found = F.struct(pair["m"].alias("match"), start.alias("start"))
+        start = state["at"] + pair["gap"]
+        found = F.struct(pair["match"].alias("match"), start.alias("start"))
         return F.struct(
-            (start + F.length(pair["m"])).alias("at"), F.array_append(state["out"], found).alias("out")
+            (start + F.length(pair["match"])).alias("at"), F.array_append(state["out"], found).alias("out")
         )
 
-    return F.aggregate(pairs, empty, step, lambda state: state["out"])
+    def located(matches: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
+        pairs = F.zip_with(matches, gaps, lambda m, g: F.struct(m.alias("match"), F.length(g).alias("gap")))
+        # Gaps cost a second pass, so only texts with a match are split.
+        return F.when(F.size(matches) > 0, F.aggregate(pairs, empty, step, lambda state: state["out"]))
+
+    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), located)
+    return F.coalesce(found, F.array().cast(SPANS))
 
 
-def _parts(rule: Rule, match: Column) -> list[Column]:
-    """Number, currency marks, unit and date parts as written, in one shape for all rules."""
+def _lookup(table: dict, key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 
-    def group(n: int | None) -> Column:
-        if n is None:
-            return F.lit(None).cast("string")
-        return F.nullif(F.regexp_extract(match, rule.pattern, n), F.lit(""))
 
+def _group(match: Column, pattern: str, group: int = 1) -> Column:
+    return F.nullif(F.regexp_extract(match, pattern, group), F.lit(""))
+
+
+def _fact(order: Column, span: Column, **values) -> Column:
+    """One shape for all facts; sorts by field group, then place."""
     shape = {
-        "currency": (2, 1, 3, None, None, None, None),
-        "percentage": (1, None, None, None, None, None, None),
-        "number": (1, None, None, 2 if rule.field in UNITS else None, None, None, None),
-        "date": (None, None, None, None, *rule.groups),
-    }[rule.kind]
-    names = ("number", "before", "after", "unit", "year", "month", "day")
-    return [group(n).alias(name) for name, n in zip(names, shape)]
-
-
-def _candidates(text: Column) -> Column:
-    """Matches of all rules in rule order, then text order."""
-
-    def of_rule(n: int, rule: Rule) -> Column:
-        return F.transform(
-            _spans(text, rule.pattern),
-            lambda m: F.struct(
-                F.lit(n).alias("rule"), m["match"].alias("match"), m["start"].alias("start"), *_parts(rule, m["match"])
-            ),
+        "normalized_number": "double", "normalized_date_utc": "string", "currency_code": "string", "unit": "string",
+    }
+    return F.struct(
+        order.cast("int").alias("order"),
+        span["start"].alias("char_start"),
+        (span["start"] + F.length(span["match"])).alias("char_end"),
+        values["field"].alias("field"),
+        F.regexp_replace(span["match"], r"(?U)^\s+|\s+$", "").alias("raw_value"),
+        *[values.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in shape.items()],
+    )
+
+
+def _labelled(span: Column, locale: str) -> Column:
+    match = span["match"]
+    symbol, code = _group(match, r"(?U)([€$£¥])\s*\d"), _group(match, r"(?iU)\d\s*(EUR|USD|GBP|JPY|€|\$|£|¥)\z")
+    currency = F.coalesce(_lookup(CURRENCY_SYMBOLS, symbol), _lookup(CURRENCY_SYMBOLS, code), F.upper(code))
+    number = parse_number(_group(match, r"(?U)\d(?:.*\d)?", 0), locale)
+
+    def build(v: Column) -> Column:
+        kind = F.when(v["at"] < 4, "currency").when(v["at"] < 6, "percentage").otherwise("number")
+        unit = F.when(kind == "percentage", (v["number"] / 100).cast("string")).when(
+            kind == "number", _group(match, r"(?iU)\d\s*([a-z]+)\z")
         )
+        return _fact(
+            v["at"], span, field=F.get(F.array(*[F.lit(name) for name in FIELD_ORDER]), v["at"] - 1),
+            normalized_number=v["number"], currency_code=F.when(kind == "currency", currency), unit=unit,
+        )
+
+    field = _lookup(LABELS, F.regexp_extract(F.lower(F.upper(match)), "^[a-z]+", 0))
+    at = F.array_position(F.array(*[F.lit(name) for name in FIELD_ORDER]), field).cast("int")
+    return let(F.struct(at.alias("at"), number.alias("number")), build)
+
+
+def _dated(text: Column, span: Column, named: bool) -> Column:
+    match, start = span["match"], span["start"]
+    digits = F.regexp_extract_all(match, F.lit(r"(?U)\d+"), F.lit(0))
+    if named:
+        order = F.when(match.rlike(r"^(?U)\d"), 103).otherwise(104)
+        month = _lookup({name: f"{n:02d}" for n, name in enumerate(MONTHS, 1)}, F.regexp_extract(match, "[A-Z][a-z]+", 0))
+        iso = F.concat(F.element_at(digits, -1), F.lit("-"), month, F.lit("-"), F.lpad(digits[0], 2, "0"))
+    else:
+        order = F.when(match.contains("-"), 101).otherwise(102)
+        iso = F.array_join(digits, "-")
+    day = F.when(~iso.startswith("0000"), F.try_to_date(iso, "yyyy-MM-dd"))
+    window = text.substr(F.greatest(start - DATE_LABEL_WINDOW, F.lit(0)) + 1, F.least(start, F.lit(DATE_LABEL_WINDOW)))
+    label = F.lower(_group(window, DATE_LABEL))
+    return _fact(
+        order, span, field=F.coalesce(F.concat(label, F.lit("_date")), F.lit("date")),
+        normalized_date_utc=F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00Z")),
+    )
 
-    return F.concat(*[of_rule(n, rule) for n, rule in enumerate(RULES)])
+
+def facts_array(text: Column, locale: str = "en") -> Column:
+    """All facts of a text in order; substring tests keep most texts away from the patterns."""
+
+    def of(pattern: str, possible: Column, build) -> Column:
+        found = F.when(possible, _spans(text, pattern)).otherwise(F.array().cast(SPANS))
+        return F.transform(found, build)
+
+    def all_of(folded: Column) -> Column:
+        labelled = reduce(lambda a, b: a | b, [F.contains(folded, F.lit(word)) for word in LABELS])
+        dated = text.rlike(r"(?U)\d{4}")
+        facts = F.concat(
+            of(LABELLED, labelled, lambda span: _labelled(span, locale)),
+            of(NUMERIC_DATE, dated, lambda span: _dated(text, span, named=False)),
+            of(NAMED_DATE, dated, lambda span: _dated(text, span, named=True)),
+        )
+        valid = lambda f: f["normalized_number"].isNotNull() | f["normalized_date_utc"].isNotNull()
+        return F.array_sort(F.filter(facts, valid))
+
+    return let(F.lower(F.upper(text)), all_of)
 
 
 def extract_facts(rows: DataFrame, text: str = "text", locale: str = "en") -> DataFrame:
     """One row per fact: the input columns (but for the text) and the fact's columns."""
     keep = [c for c in rows.columns if c != text]
-    hits = (
-        rows.filter(F.col(text).rlike(MAY_HAVE_FACTS))
-        .select(*keep, F.col(text).alias("_text"), F.posexplode(_candidates(F.col(text))).alias("fact_order", "hit"))
-        .withColumn(
-            "_before",
-            F.expr(
-                f"substring(_text, greatest(hit.start - {DATE_LABEL_WINDOW}, 0) + 1, "
-                f"hit.start - greatest(hit.start - {DATE_LABEL_WINDOW}, 0))"
-            ),
-        )
-        .drop("_text")
-    )
-    symbols = F.create_map(*[F.lit(x) for pair in CURRENCY_SYMBOLS.items() for x in pair])
-    months = F.create_map(*[x for n, name in enumerate(MONTHS, 1) for x in (F.lit(name), F.lit(f"{n:02d}"))])
-    match, rule_no, after = F.col("hit.match"), F.col("hit.rule"), F.col("hit.after")
-    number = parse_number(F.col("hit.number"), locale)
-    month = F.coalesce(
-        F.try_element_at(months, F.col("hit.month")),
-        F.when(F.col("hit.month").rlike("^[0-9]+$"), F.col("hit.month")),
+    facts = rows.select(*keep, F.posexplode(facts_array(F.col(text), locale)).alias("fact_order", "fact"))
+    kind = (
+        F.when(F.col("fact.order") < 4, "currency").when(F.col("fact.order") < 6, "percentage")
+        .when(F.col("fact.order") < 100, "number").otherwise("date")
     )
-    day = F.try_to_date(F.concat_ws("-", "hit.year", month, F.lpad("hit.day", 2, "0")), "yyyy-MM-dd")
-    valid_day = month.isNotNull() & day.isNotNull() & (F.col("hit.year") != "0000")
-    label = F.lower(F.nullif(F.regexp_extract("_before", DATE_LABEL, 1), F.lit("")))
-    fixed = F.array(*[F.lit(rule.field) for rule in RULES])
-    kinds = F.array(*[F.lit(rule.kind) for rule in RULES])
-    confidences = F.array(*[F.lit(rule.confidence) for rule in RULES])
-    facts = hits.select(
+    return facts.select(
         *keep,
         "fact_order",
-        F.coalesce(F.get(fixed, rule_no), F.concat(label, F.lit("_date")), F.lit("date")).alias("field"),
-        F.get(kinds, rule_no).alias("value_type"),
-        F.regexp_replace(match, r"(?U)^\s+|\s+$", "").alias("raw_value"),
-        number.alias("normalized_number"),
-        F.when(valid_day, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00Z"))).alias("normalized_date_utc"),
-        F.coalesce(
-            F.try_element_at(symbols, F.col("hit.before")), F.try_element_at(symbols, after), F.upper(after)
-        ).alias("currency_code"),
-        F.when(F.get(kinds, rule_no) == "percentage", (number / 100).cast("string"))
-        .otherwise(F.col("hit.unit"))
-        .alias("unit"),
-        F.get(confidences, rule_no).alias("confidence"),
-        F.col("hit.start").alias("char_start"),
-        (F.col("hit.start") + F.length(match)).alias("char_end"),
+        *[
+            F.col(f"fact.{name}").alias(name)
+            for name in (
+                "field", "raw_value", "normalized_number", "normalized_date_utc", "currency_code", "unit", "char_start", "char_end"
+            )
+        ],
+        kind.alias("value_type"),
+        F.when(kind == "date", 1.0).when(kind == "number", 0.85).otherwise(0.9).alias("confidence"),
     )
-    return facts.filter(F.coalesce(F.col("normalized_number").cast("string"), F.col("normalized_date_utc")).isNotNull())

@@ -23,6 +23,9 @@ BLOCK_TYPE = (
 )
 BLOCKS = f"array<{BLOCK_TYPE}>"
 
+# Chunks handed back to Spark at a time.
+CHUNKS_PER_BATCH = 2000
+
 # Columns of a chunk as the packing emits them.
 CHUNK_FIELDS = {
     "chunk_index": "int", "text": "string", "char_start": "bigint", "char_end": "bigint", "token_start": "bigint",
@@ -219,16 +222,26 @@ def chunk_documents(
     prepared = documents.select(*keep, _prepared(F.col(blocks), code, short).alias("_blocks"), code.alias("_code"))
     kept = {name: prepared.schema[name].dataType for name in keep}
 
+    types = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+
+    def emit(batch: pa.RecordBatch, sources: list[int], found: list[dict]) -> pa.RecordBatch:
+        same = [batch.column(name).take(pa.array(sources, pa.int64())) for name in keep]
+        own = [pa.array([chunk[name] for chunk in found], types[kind]) for name, kind in CHUNK_FIELDS.items()]
+        return pa.RecordBatch.from_arrays(same + own, names=[*keep, *CHUNK_FIELDS])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            sources, found = [], []
             for row in range(batch.num_rows):
                 parts = batch.column("_blocks")[row].as_py() or []
-                found = _document_chunks(parts, batch.column("_code")[row].as_py(), tokenizer, size, overlap)
-                if found:
-                    same = [batch.column(name).take(pa.array([row] * len(found))) for name in keep]
-                    types = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
-                    own = [pa.array([c[name] for c in found], types[kind]) for name, kind in CHUNK_FIELDS.items()]
-                    yield pa.RecordBatch.from_arrays(same + own, names=[*keep, *CHUNK_FIELDS])
+                chunks = _document_chunks(parts, batch.column("_code")[row].as_py(), tokenizer, size, overlap)
+                sources += [row] * len(chunks)
+                found += chunks
+                if len(found) >= CHUNKS_PER_BATCH:
+                    yield emit(batch, sources, found)
+                    sources, found = [], []
+            if found:
+                yield emit(batch, sources, found)
 
     fields = [f"`{name}` {kind.simpleString()}" for name, kind in kept.items()]
     fields += [f"{name} {kind}" for name, kind in CHUNK_FIELDS.items()]
