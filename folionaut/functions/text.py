@@ -31,9 +31,12 @@ def _fold_table() -> tuple[str, str]:
     accented, plain = [], []
     for code in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)):
         parts = unicodedata.normalize("NFD", chr(code))
-        if len(parts) == 2 and unicodedata.combining(parts[1]) and chr(code).lower() == chr(code):
+        base = "s" if parts[0] == "\u017f" else parts[0]
+        if len(parts) == 2 and unicodedata.combining(parts[1]) and base.isascii() and chr(code).lower() == chr(code):
             accented.append(chr(code))
-            plain.append(parts[0])
+            plain.append(base)
+    accented.append("\u017f")
+    plain.append("s")
     marks = "".join(chr(code) for code in range(0x0300, 0x0370))
     return "".join(accented) + marks, "".join(plain)
 

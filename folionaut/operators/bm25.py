@@ -92,11 +92,16 @@ def keyword_scores(
     rows: DataFrame, query: str, columns: tuple[str, ...] = TEXT_COLUMNS, key: str = "seq"
 ) -> DataFrame:
     """Scores of all rows that match any phrase, by two scans and no shuffle of rows: (key, keyword_score)."""
-    wanted = Counter(query_phrases(query))
+    return scores_of_lists(rows.select(key, token_lists(columns).alias("lists")), query_phrases(query), key)
+
+
+def scores_of_lists(listed: DataFrame, query: list[tuple[str, ...]], key: str = "seq") -> DataFrame:
+    """The same for rows whose token lists (one per text column) are already in ``lists``."""
+    wanted = Counter(query)
     phrases = list(wanted)
     if not phrases:
-        return rows.filter(F.lit(False)).select(key, F.lit(0.0).alias("keyword_score"))
-    measured = rows.select(key, _term_counts(token_lists(columns), phrases).alias("m"))
+        return listed.filter(F.lit(False)).select(key, F.lit(0.0).alias("keyword_score"))
+    measured = listed.select(key, _term_counts(F.col("lists"), phrases).alias("m"))
     stats = measured.agg(
         F.struct(
             F.count("*").cast("double").alias("rows"),

@@ -44,14 +44,14 @@ def exact_ranks(channel: DataFrame, wanted: DataFrame, score: str, key: str) ->
     )
 
 
-def fuse(
+def fused_candidates(
     channels: Sequence[tuple[DataFrame, str, float]], k: int, rrf_k: int, key: str = "seq"
 ) -> DataFrame:
-    """Exact weighted reciprocal rank fusion of (frame, score column, weight) channels: top k by (score, key).
+    """Exact fused scores of a bounded set that holds the top k, ties included: (key, score).
 
-    A channel is read three times, so its narrow (key, score) rows are computed once and kept.
+    ``channels`` are (frame, score column, weight). A channel is read three times, so its narrow
+    (key, score) rows should be kept with ``durable`` where they are costly.
     """
-    channels = [(durable(frame.select(key, score)), score, weight) for frame, score, weight in channels]
     depth = sufficient_depth(k, len(channels), rrf_k)
     wanted = None
     for frame, score, _ in channels:
@@ -63,7 +63,15 @@ def fuse(
         ranks = exact_ranks(frame.select(key, score), wanted, score, key)
         part = ranks.select(key, (F.lit(weight) / (rrf_k + F.col("rank"))).alias("part"))
         parts = part if parts is None else parts.unionByName(part)
-    return top_k(parts.groupBy(key).agg(F.sum("part").alias("score")), "score", k, key)
+    return parts.groupBy(key).agg(F.sum("part").alias("score"))
+
+
+def fuse(
+    channels: Sequence[tuple[DataFrame, str, float]], k: int, rrf_k: int, key: str = "seq"
+) -> DataFrame:
+    """Weighted reciprocal rank fusion: the top k by (score, key). Channel rows are computed once."""
+    kept = [(durable(frame.select(key, score)), score, weight) for frame, score, weight in channels]
+    return top_k(fused_candidates(kept, k, rrf_k, key), "score", k, key)
 
 
 def ranked_per_group(rows: DataFrame, group: str, order: Sequence, k: int, name: str = "rank") -> DataFrame:
