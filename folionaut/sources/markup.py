@@ -135,14 +135,14 @@ def read_page(html: str) -> dict:
     return reader.finish()
 
 
-@F.pandas_udf(PAGE_TYPE)
-def _pages(batch: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_page(html) for html in batch], columns=["title", "blocks"])
-
-
 def html_page(html: Column) -> Column:
     """struct<title, blocks> of a page."""
-    return _pages(html)
+
+    @F.pandas_udf(PAGE_TYPE)
+    def pages(batch: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_page(page) for page in batch], columns=["title", "blocks"])
+
+    return pages(html)
 
 
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
@@ -262,10 +262,9 @@ def read_markdown(text: str) -> list[dict]:
     return with_sections(_MarkdownReader().read(re.split(r"\r\n|\n|\r", text)))
 
 
-@F.pandas_udf(BLOCKS)
-def _markdown(batch: pd.Series) -> pd.Series:
-    return batch.map(read_markdown)
-
-
 def markdown_blocks(text: Column) -> Column:
-    return _markdown(text)
+    @F.pandas_udf(BLOCKS)
+    def blocks(batch: pd.Series) -> pd.Series:
+        return batch.map(read_markdown)
+
+    return blocks(text)

@@ -8,6 +8,7 @@ from folionaut.functions import names
 from folionaut.functions.text import stable_id
 from folionaut.operators import graph, traverse
 from folionaut.operators.chunking import chunk_documents
+from folionaut.operators.durable import durable
 from folionaut.sources.plaintext import code_blocks
 from folionaut.sources.pycode import parse_python
 from suite.registry import query, table
@@ -61,9 +62,9 @@ def parsed(spark, folder):
 
 
 def resolved(spark, folder):
-    rows = parsed(spark, folder)
-    known = graph.entities(rows)
-    return known, graph.resolve(graph.observed_edges(rows), known)
+    rows = durable(parsed(spark, folder))
+    known, edges = durable(graph.entities(rows)), durable(graph.observed_edges(rows))
+    return known, graph.resolve(edges, known)
 
 
 MODULES_SQL = """
