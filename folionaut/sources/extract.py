@@ -1,90 +1,93 @@
-"""One reader for all file kinds: the suffix decides, Spark splits the files by kind."""
+"""One reader for all file kinds: the suffix decides, and the content is read once."""
 
 from __future__ import annotations
 
 import zipfile
+from collections.abc import Iterator
 from xml.etree.ElementTree import ParseError
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folionaut.operators.chunking import BLOCKS
 from folionaut.settings import FolioError
 from folionaut.sources.archives import READERS
-from folionaut.sources.bytes import decoded_text, sniffed_text
-from folionaut.sources.markup import html_page, markdown_blocks, read_markdown
+from folionaut.sources.bytes import lenient_text, strict_text
+from folionaut.sources.markup import markdown_blocks, read_markdown, read_page
 from folionaut.sources.pdftext import shown_text
-from folionaut.sources.plaintext import (
-    CODE_SUFFIXES, TEXT_SUFFIXES, code_blocks, complete, delimited_blocks, markdown_text, plain_blocks,
-)
+from folionaut.sources.plaintext import CODE_SUFFIXES, TEXT_SUFFIXES, code_blocks, delimited_rows, complete, markdown_text, plain_blocks
 
-RESULT = f"struct<blocks:{BLOCKS},error:string>"
+RESULT = f"struct<text:string,blocks:{BLOCKS},title:string,extractor:string,error:string>"
 MARKDOWN_SUFFIXES = ("md", "markdown")
 HTML_SUFFIXES = ("html", "htm")
 SUPPORTED = (*TEXT_SUFFIXES, *CODE_SUFFIXES, *MARKDOWN_SUFFIXES, *HTML_SUFFIXES, *READERS, "pdf")
-
-
-def _read_archive(data: bytes, suffix: str) -> dict:
+EXPECTED_ERRORS = (FolioError, zipfile.BadZipFile, ParseError, UnicodeError, KeyError, ValueError, IndexError, StopIteration)
+
+
+def _structured(data: bytes, suffix: str) -> dict:
+    """Blocks of formats with their own structure."""
+    if suffix in READERS:
+        return {"blocks": READERS[suffix](data), "extractor": suffix}
+    if suffix == "pdf":
+        text = shown_text(data)
+        if not text.strip():
+            raise FolioError("EXTRACTION_FAILED", "no text found")
+        return {"blocks": read_markdown(text), "extractor": "pdf_text"}
+    text = lenient_text(data)
+    if suffix in MARKDOWN_SUFFIXES:
+        return {"blocks": read_markdown(text), "extractor": "markdown"}
+    if suffix in HTML_SUFFIXES:
+        page = read_page(text)
+        return {"blocks": page["blocks"], "title": page["title"], "extractor": "html"}
+    rows = delimited_rows(text, "\t" if suffix == "tsv" else ",")
+    return {"blocks": [complete(row) for row in rows], "extractor": "delimited_text"}
+
+
+def read_content(data: bytes, suffix: str, sniff: bool) -> dict:
+    """Blocks, or for plain text and source code the text that Spark cuts itself."""
     try:
-        if suffix == "pdf":
-            text = shown_text(data)
-            return {"blocks": read_markdown(text) if text.strip() else [], "error": None if text.strip() else "no text found"}
-        return {"blocks": [complete(b) for b in READERS[suffix](data)], "error": None}
-    except (FolioError, zipfile.BadZipFile, ParseError, KeyError, ValueError, IndexError, StopIteration) as error:
-        return {"blocks": None, "error": f"{type(error).__name__}: {error}"}
-
-
-def _archives(content: Column, suffix: Column) -> Column:
-    @F.pandas_udf(RESULT)
-    def read(contents: pd.Series, suffixes: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_read_archive(bytes(c), s) for c, s in zip(contents, suffixes)], columns=["blocks", "error"])
-
-    return read(content, suffix)
+        if suffix in CODE_SUFFIXES:
+            return {"text": lenient_text(data), "extractor": "source_code"}
+        if suffix in TEXT_SUFFIXES and suffix not in ("csv", "tsv"):
+            return {"text": lenient_text(data), "extractor": "text"}
+        if suffix in SUPPORTED:
+            return _structured(data, suffix)
+        text = strict_text(data) if sniff else None
+        if text is None:
+            return {"error": f"unsupported: {suffix or '(none)'}"}
+        return {"text": text, "extractor": "source_code_text_sniff"}
+    except EXPECTED_ERRORS as error:
+        return {"error": f"{type(error).__name__}: {error}"}
 
 
 def extract_blocks(files: DataFrame, kind: str = "general") -> DataFrame:
-    """Files (content, extension, ...) with ``blocks``, ``extractor`` and ``error`` in place of the content.
+    """Files (content, extension, ...) with ``blocks``, ``title``, ``extractor`` and ``error`` in place of the content.
 
-    Each kind of file is its own branch, so that text never passes through a reader it does not need.
     A file of a source-code collection with an unknown suffix is read when its bytes are surely text.
     """
+    sniff = kind == "source_code"
+
+    @F.pandas_udf(RESULT)
+    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for contents, suffixes in batches:
+            rows = [read_content(bytes(c), s, sniff) for c, s in zip(contents, suffixes)]
+            columns = ("text", "blocks", "title", "extractor", "error")
+            yield pd.DataFrame({name: pd.Series([row.get(name) for row in rows], dtype=object) for name in columns})
+
     keep = [c for c in files.columns if c != "content"]
-    suffix = F.col("extension")
-
-    def branch(suffixes, name: str, blocks: Column, source: DataFrame = files) -> DataFrame:
-        chosen = source.filter(suffix.isin(*suffixes)) if suffixes else source
-        return chosen.select(*keep, blocks.alias("blocks"), F.lit(name).alias("extractor"), F.lit(None).cast("string").alias("error"))
-
-    text = decoded_text(F.col("content"))
-    plain = [s for s in TEXT_SUFFIXES if s not in ("csv", "tsv")]
-    parts = [
-        branch(MARKDOWN_SUFFIXES, "markdown", markdown_blocks(text)),
-        branch(HTML_SUFFIXES, "html", html_page(text)["blocks"]),
-        branch(["csv"], "delimited_text", delimited_blocks(text, ",")),
-        branch(["tsv"], "delimited_text", delimited_blocks(text, "\t")),
-        branch(plain, "text", plain_blocks(F.col("_text")), files.withColumn("_text", text)),
-        branch(CODE_SUFFIXES, "source_code", code_blocks(F.col("_text")), files.withColumn("_text", text)),
-    ]
-    archives = files.filter(suffix.isin(*READERS, "pdf")).withColumn("_r", _archives(F.col("content"), suffix))
-    parts.append(archives.select(*keep, F.col("_r.blocks").alias("blocks"), suffix.alias("extractor"), F.col("_r.error").alias("error")))
-    unknown = files.filter(~suffix.isin(*SUPPORTED)).withColumn("_text", sniffed_text(F.col("content")) if kind == "source_code" else F.lit(None).cast("string"))
-    parts.append(
-        unknown.select(
-            *keep,
-            F.when(F.col("_text").isNotNull(), code_blocks(F.col("_text"))).alias("blocks"),
-            F.lit("source_code_text_sniff").alias("extractor"),
-            F.when(F.col("_text").isNull(), F.concat(F.lit("unsupported: "), suffix)).alias("error"),
-        )
+    found = files.select(*keep, read("content", "extension").alias("_r"))
+    blocks = (
+        F.when(F.col("_r.extractor").startswith("source_code"), code_blocks(F.col("_r.text")))
+        .when(F.col("_r.extractor") == "text", plain_blocks(F.col("_r.text")))
+        .otherwise(F.col("_r.blocks"))
     )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return found.select(*keep, blocks.alias("blocks"), *[F.col(f"_r.{name}").alias(name) for name in ("title", "extractor", "error")])
 
 
 def reparsed_as_markdown(extracted: DataFrame) -> DataFrame:
     """General collections keep text as Markdown, so their blocks are those of the Markdown form."""
     native = F.col("extractor").isin("markdown", "text")
-    rendered = extracted.withColumn("_markdown", markdown_text(F.coalesce("blocks", F.array().cast(BLOCKS))))
-    return rendered.withColumn("blocks", F.when(native, F.col("blocks")).otherwise(markdown_blocks(F.col("_markdown")))).drop("_markdown")
+    rendered = extracted.withColumn("_markdown", F.when(~native, markdown_text(F.coalesce("blocks", F.array().cast(BLOCKS)))))
+    reparsed = markdown_blocks(F.coalesce("_markdown", F.lit("")))
+    return rendered.withColumn("blocks", F.when(native, F.col("blocks")).otherwise(reparsed)).drop("_markdown")
