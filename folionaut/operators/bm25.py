@@ -6,9 +6,9 @@ row; candidates are narrowed afterwards. Scores are positive, larger is better.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,23 +69,13 @@ def _term_counts(lists: Column, phrases: list[tuple[str, ...]]) -> Column:
     return let(lists, measure)
 
 
-def idf(rows: Column, rows_with_phrase: Column) -> Column:
-    raw = F.ln((rows - rows_with_phrase + 0.5) / (rows_with_phrase + 0.5))
-    return F.when(raw > 0, raw).otherwise(F.lit(IDF_FLOOR))
+def idf(rows: float, rows_with_phrase: float) -> float:
+    raw = math.log((rows - rows_with_phrase + 0.5) / (rows_with_phrase + 0.5))
+    return raw if raw > 0 else IDF_FLOOR
 
 
-def saturation(tf: Column, length: Column, mean_length: Column) -> Column:
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
-
-
-def _score(tf: Column, length: Column, stats: Column, weights: list[int]) -> Column:
-    parts = [
-        F.lit(float(weight))
-        * idf(stats["rows"], stats["with_phrase"][n])
-        * saturation(tf[n].cast("double"), length, stats["mean_length"])
-        for n, weight in enumerate(weights)
-    ]
-    return reduce(add, parts)
+def saturation(tf: Column, length: Column, mean_length: float) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / (mean_length or 1.0)))
 
 
 def keyword_scores(
@@ -96,24 +86,32 @@ def keyword_scores(
 
 
 def scores_of_lists(listed: DataFrame, query: list[tuple[str, ...]], key: str = "seq") -> DataFrame:
-    """The same for rows whose token lists (one per text column) are already in ``lists``."""
+    """The same for rows whose token lists (one per text column) are already in ``lists``.
+
+    The first scan yields one row of statistics, which the driver turns into constants of the second.
+    """
     wanted = Counter(query)
     phrases = list(wanted)
     if not phrases:
         return listed.filter(F.lit(False)).select(key, F.lit(0.0).alias("keyword_score"))
-    measured = listed.select(key, _term_counts(F.col("lists"), phrases).alias("m"))
-    stats = measured.agg(
-        F.struct(
-            F.count("*").cast("double").alias("rows"),
-            F.avg("m.length").alias("mean_length"),
-            F.array(*[F.count_if(F.col("m.tf")[n] > 0).cast("double") for n in range(len(phrases))]).alias("with_phrase"),
-        ).alias("stats")
-    ).scalar()
-    any_match = F.exists(F.col("m.tf"), lambda tf: tf > 0)
-    return measured.filter(any_match).select(
-        key,
-        _score(F.col("m.tf"), F.col("m.length"), stats, [wanted[p] for p in phrases]).alias("keyword_score"),
+    counts = F.array(_term_counts(F.col("lists"), phrases))
+    # ``inline`` keeps Spark from evaluating the counts once for the filter and again for the score.
+    stats = listed.select(F.inline(counts)).agg(
+        F.count("*").alias("rows"),
+        F.avg("length").alias("mean_length"),
+        *[F.count_if(F.col("tf")[n] > 0).alias(f"n{n}") for n in range(len(phrases))],
+    ).first()
+    matching = F.filter(counts, lambda c: F.exists(c["tf"], lambda tf: tf > 0))
+    measured = listed.select(key, F.inline(matching))
+    score = sum(
+        (
+            F.lit(wanted[phrase] * idf(stats["rows"], stats[f"n{n}"]))
+            * saturation(F.col("tf")[n].cast("double"), F.col("length"), stats["mean_length"])
+            for n, phrase in enumerate(phrases)
+        ),
+        F.lit(0.0),
     )
+    return measured.select(key, score.alias("keyword_score"))
 
 
 # ---- written index ---------------------------------------------------------------------------------------------
@@ -174,34 +172,38 @@ def write_postings(index: DataFrame, path: str, key: str = "seq") -> None:
 def indexed_keyword_scores(index: DataFrame, statistics: DataFrame, query: str, key: str = "seq") -> DataFrame:
     """The same scores from written postings; the term filter reaches the scan."""
     wanted = Counter(query_phrases(query))
-    phrases = list(wanted)
-    words = sorted({word for phrase in phrases for word in phrase})
-    hits = index.filter(F.col("term").isin(words)) if words else index.filter(F.lit(False))
-    # At most one entry per distinct query word, whatever the size of the corpus.
-    grouped = hits.groupBy(key).agg(
-        F.first("length").alias("length"),
-        F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("places"),
+    words = sorted({word for phrase in wanted for word in phrase})
+    if not words:
+        return index.filter(F.lit(False)).select(key, F.lit(0.0).alias("keyword_score"))
+    totals = statistics.select("rows", "mean_length").first()
+    hits = index.filter(F.col("term").isin(words))
+    single = {phrase[0]: count for phrase, count in wanted.items() if len(phrase) == 1}
+    parts = hits.filter(F.col("term").isin(list(single))).select(key, "term", "tf", "length")
+    for phrase in wanted:
+        if len(phrase) > 1:
+            parts = parts.unionByName(_phrase_counts(hits, phrase, key))
+    # One row per query phrase reaches the driver.
+    found = {row["term"]: row["rows"] for row in parts.groupBy("term").agg(F.count("*").alias("rows")).collect()}
+    weights = {
+        name: count * idf(totals["rows"], found.get(name, 0))
+        for name, count in {**single, **{" ".join(p): n for p, n in wanted.items() if len(p) > 1}}.items()
+    }
+    weight = F.try_element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), F.col("term"))
+    part = weight * saturation(F.col("tf").cast("double"), F.col("length"), totals["mean_length"])
+    return parts.groupBy(key).agg(F.sum(part).alias("keyword_score"))
+
+
+def _phrase_counts(hits: DataFrame, phrase: tuple[str, ...], key: str) -> DataFrame:
+    """Rows where the words of the phrase stand side by side, in the shape of postings."""
+    # At most one entry per word of the phrase and row, whatever the size of the corpus.
+    grouped = hits.filter(F.col("term").isin(list(phrase))).groupBy(key).agg(
+        F.first("length").alias("length"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("places")
     )
 
-    def count(phrase: tuple[str, ...]) -> Column:
-        def at(word: str) -> Column:
-            return F.coalesce(F.try_element_at("places", F.lit(word)), F.array().cast("array<bigint>"))
-
-        def moved_back(word: str, steps: int) -> Column:
-            return F.transform(at(word), lambda p: p - steps)
+    def at(word: str, steps: int) -> Column:
+        known = F.coalesce(F.try_element_at("places", F.lit(word)), F.array().cast("array<bigint>"))
+        return F.transform(known, lambda p: p - steps)
 
-        starts = at(phrase[0])
-        for n, word in enumerate(phrase[1:], 1):
-            starts = F.array_intersect(starts, moved_back(word, n))
-        return F.size(starts)
-
-    measured = grouped.select(key, "length", F.array(*[count(p) for p in phrases] or [F.lit(0)]).alias("tf"))
-    totals = measured.agg(F.array(*[F.count_if(F.col("tf")[n] > 0).cast("double") for n in range(len(phrases) or 1)]))
-    stats = F.struct(
-        statistics.select(F.col("rows").cast("double")).scalar().alias("rows"),
-        statistics.select("mean_length").scalar().alias("mean_length"),
-        totals.scalar().alias("with_phrase"),
-    )
-    return measured.filter(F.exists("tf", lambda tf: tf > 0)).select(
-        key, _score(F.col("tf"), F.col("length"), stats, [wanted[p] for p in phrases] or [0]).alias("keyword_score")
-    )
+    starts = reduce(F.array_intersect, [at(word, n) for n, word in enumerate(phrase)])
+    counted = grouped.select(key, F.lit(" ".join(phrase)).alias("term"), F.size(starts).alias("tf"), "length")
+    return counted.filter(F.col("tf") > 0)

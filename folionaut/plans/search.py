@@ -81,7 +81,8 @@ def ranked(tables: DocumentTables, candidates: DataFrame, request: SearchRequest
 def search(tables: DocumentTables, request: SearchRequest, settings: Settings = Settings(), embedder=None) -> SearchResult:
     live = tables.chunks.filter((F.col("status") == "indexed") & F.col("deleted_at").isNull())
     candidates, applied, skipped = filter_chunks(live, tables.facts, tables.keywords, request.filters)
-    best = ranked(tables, candidates, request, settings, embedder, settings.limit(request.top_k))
+    # Ranking runs once; its few rows then select the evidence.
+    best = fusion.durable(ranked(tables, candidates, request, settings, embedder, settings.limit(request.top_k)))
     return SearchResult(assemble(tables, best, request, settings), applied, skipped)
 
 

@@ -20,10 +20,10 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str, key: str | None = None) -> DataFrame:
-    """A given table. A table of fewer splits than cores is spread by its key; a large one is read as it is."""
+    """A given table. A table of fewer files than cores is spread by its key; a large one is read as it is."""
     frame = spark.read.parquet(f"{folder}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if key and frame.rdd.getNumPartitions() < cores:
+    if key and len(frame.inputFiles()) < cores:
         frame = frame.repartition(cores, key)
     return frame
 

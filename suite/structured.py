@@ -23,7 +23,7 @@ def offers(spark, folder):
     )
     return table(spark, folder, "part", "p_partkey").select(
         F.col("p_partkey").alias("seq"), F.col("p_partkey").alias("chunk_id"), F.col("p_partkey").alias("source_id"), text.alias("text"),
-        F.lit(None).cast("string").alias("heading"), F.concat(F.col("p_brand"), F.lit(".txt")).alias("filename"),
+        F.lit(None).cast("string").alias("heading"), F.lit(None).cast("string").alias("section_path"), F.concat(F.col("p_brand"), F.lit(".txt")).alias("filename"),
         F.lower("p_type").alias("extension"), F.concat(F.lit("/parts/"), "p_brand", F.lit("/"), F.col("p_partkey").cast("string")).alias("path"),
     )
 
