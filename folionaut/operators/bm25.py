@@ -143,9 +143,12 @@ def postings(rows: DataFrame, columns: tuple[str, ...] = TEXT_COLUMNS, key: str
     )
 
 
+def token_total(columns: tuple[str, ...]) -> Column:
+    return F.aggregate(token_lists(columns), F.lit(0), lambda n, one: n + F.size(one))
+
+
 def lengths(rows: DataFrame, columns: tuple[str, ...] = TEXT_COLUMNS, key: str = "seq") -> DataFrame:
-    total = F.aggregate(token_lists(columns), F.lit(0), lambda n, one: n + F.size(one))
-    return rows.select(key, total.alias("length"))
+    return rows.select(key, token_total(columns).alias("length"))
 
 
 def corpus_statistics(row_lengths: DataFrame) -> DataFrame:

@@ -108,7 +108,9 @@ class Collection:
             documents, size, overlap, code=F.col("extractor").startswith("source_code"), keep=("source_id", "filename", "extension", "path")
         )
         order = F.concat_ws(":", F.lpad(F.lit(str(batch)), 10, "0"), "source_id", F.lpad(F.col("chunk_index").cast("string"), 8, "0"))
-        chunks.withColumn("seq", order).withColumn("chunk_id", stable_id(F.col("seq"))).write.mode("overwrite").parquet(folder["chunks"])
+        # The indexed length stays with the chunk, so collection statistics read one narrow column.
+        keyed = chunks.withColumn("seq", order).withColumn("chunk_id", stable_id(F.col("seq")))
+        keyed.withColumn("length", bm25.token_total(bm25.TEXT_COLUMNS)).write.mode("overwrite").parquet(folder["chunks"])
         # Everything else derives from the chunks as written.
         written = self.spark.read.parquet(folder["chunks"])
         owner = ("seq", "chunk_id", "source_id")
@@ -184,8 +186,5 @@ class Collection:
             raise FolioError("NOT_INDEXED", "index some files first")
         postings = self.current("postings")
         rows = chunks.join(source, "source_id")
-        statistics = bm25.corpus_statistics(postings.groupBy("seq").agg(F.first("length").alias("length")))
-        # Rows without any token have no posting but count as rows of length zero.
-        total = chunks.agg(F.count("*")).scalar()
-        statistics = statistics.select(total.alias("rows"), (F.col("tokens") / total).alias("mean_length"), "tokens")
+        statistics = bm25.corpus_statistics(chunks)
         return DocumentTables(rows, self.current("facts"), self.current("keywords"), self.current("vectors"), postings, statistics)
