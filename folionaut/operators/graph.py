@@ -141,28 +141,29 @@ def resolve(edges: DataFrame, known: DataFrame) -> DataFrame:
     )
     local = free.filter(F.col("target_mode") == "lexical")
     scoped = local.join(_lexical(local, own), "relationship_id", "left")
-    package = public.filter(F.col("family") == "go").select(
-        "root_key", F.col("target_key").alias("package_key"), *[F.col(c).alias(f"p_{c}") for c in columns]
+    # Go names may also be those of the package; only the open Go edges are looked up again, so that the
+    # other edges do not meet in one partition under an empty key.
+    open_go = F.col("candidates").isNull() & (F.col("language") == "go")
+    package = public.filter(F.col("family") == "go").select("root_key", F.col("target_key").alias("package_key"), *columns)
+    in_package = (
+        scoped.filter(open_go).select(*edges.columns)
+        .withColumn("package_key", F.concat_ws(".", "module_key", "target_key"))
+        .join(package, ["root_key", "package_key"], "left")
+        .select(*edges.columns, *columns, F.lit("package_static").alias("method"))
     )
-    key = F.when(
-        F.col("candidates").isNull() & (F.col("language") == "go"), F.concat_ws(".", "module_key", "target_key")
-    )
-    scoped = scoped.withColumn("package_key", key).join(package, ["root_key", "package_key"], "left").select(
-        *edges.columns,
-        *[F.coalesce(F.col(c), F.col(f"p_{c}")).alias(c) for c in columns],
-        F.when(F.col("p_candidates").isNotNull(), "package_static").otherwise("local_static").alias("method"),
-    )
-    found = hinted.unionByName(included).unionByName(imported).unionByName(external).unionByName(scoped)
+    in_scope = scoped.filter(~open_go).select(*edges.columns, *columns, F.lit("local_static").alias("method"))
+    found = hinted.unionByName(included).unionByName(imported).unionByName(external).unionByName(in_scope).unionByName(in_package)
     # A call never means a plain variable; a dependency means the file, not the name in it.
     count = F.when((F.col("kind") == "calls") & (F.col("callable_candidates") == 0), F.lit(0)).otherwise(F.coalesce("candidates", F.lit(0)))
     one_file = (F.col("kind") == "depends_on") & (F.col("low_source") == F.col("high_source"))
     found = found.withColumn("candidates", F.when(one_file & (count > 0), F.lit(1)).otherwise(count).cast("bigint"))
-    lifted = modules.select(F.col("source_id").alias("target_source"), F.col("entity_id").alias("module_id"))
-    target = found.withColumn("target_source", F.when(F.col("kind") == "depends_on", F.col("low_source"))).join(lifted, "target_source", "left")
-    single = F.col("candidates") == 1
-    is_dependency = F.col("kind") == "depends_on"
-    target_id = F.when(single, F.when(is_dependency, F.col("module_id")).otherwise(F.col("only.entity_id")))
-    target_kind = F.when(single, F.when(is_dependency, F.lit("module")).otherwise(F.col("only.kind")))
+    single, dependency = F.col("candidates") == 1, F.col("kind") == "depends_on"
+    lifted = modules.select(F.col("source_id").alias("low_source"), F.col("entity_id").alias("target_id"), F.lit("module").alias("target_kind"))
+    files = found.filter(dependency & single).join(lifted, "low_source", "left")
+    others = found.filter(~(dependency & single)).withColumns(
+        {"target_id": F.when(single, F.col("only.entity_id")), "target_kind": F.when(single, F.col("only.kind"))}
+    )
+    target, target_kind = files.unionByName(others), F.col("target_kind")
     kind = F.when(
         (F.col("kind") == "type_base") & single,
         F.when((F.col("owner_kind") == "class") & (target_kind == "interface"), "implements").otherwise("inherits"),
@@ -170,7 +171,7 @@ def resolve(edges: DataFrame, known: DataFrame) -> DataFrame:
     resolution = F.when(F.col("candidates") > 1, "ambiguous").when(single, F.col("method")).otherwise("unresolved")
     return target.select(
         *[c for c in edges.columns if c != "kind"],
-        kind.alias("kind"), F.col("kind").alias("observed_kind"), "candidates", target_id.alias("target_id"), resolution.alias("resolution"),
+        kind.alias("kind"), F.col("kind").alias("observed_kind"), "candidates", "target_id", resolution.alias("resolution"),
     )
 
 
