@@ -132,7 +132,7 @@ def graph_edge_counts(spark, folder):
     "graph_reachable_dependencies",
     "WITH RECURSIVE" + MODULES_SQL + """,
 walk AS (
-  SELECT source_id, 0 AS depth, k FROM mods WHERE k % 50 = 1
+  SELECT source_id, 0 AS depth, k FROM mods JOIN customer ON c_custkey = k WHERE c_acctbal >= 9700
   UNION ALL SELECT m.source_id, w.depth + 1, m.k FROM walk w JOIN mods m ON m.k = w.k + 1 WHERE w.depth < 5)
 SELECT source_id, min(depth)::INTEGER AS depth FROM walk GROUP BY source_id""",
 )
@@ -140,7 +140,9 @@ def graph_reachable_dependencies(spark, folder):
     known, edges = resolved(spark, folder)
     files = known.filter(F.col("qualified_name") == "").select("entity_id", "source_id")
     number = F.regexp_extract("source_id", r"mod(\d+)\.py", 1).cast("bigint")
-    found = traverse.reachable(edges, files.filter(number % 50 == 1), "outgoing", ("depends_on",), 5)
+    rich = table(spark, folder, "customer").filter(F.col("c_acctbal") >= 9700).select(F.col("c_custkey").alias("number"))
+    seeds = files.withColumn("number", number).join(rich, "number", "left_semi")
+    found = traverse.reachable(edges, seeds, "outgoing", ("depends_on",), 5)
     return found.join(files, "entity_id").select("source_id", "depth")
 
 
@@ -205,3 +207,46 @@ def overlapping_spans(spark, folder):
     other = spans.toDF("grp", "right_id", "rs", "re")
     pairs = graph.overlapping(spans.withColumnRenamed("id", "left_id"), other, "grp", ("s", "e"), ("rs", "re"))
     return pairs.groupBy("grp", "left_id", "right_id").agg(F.count("*").alias("pairs"))
+
+
+SCRIPT = """import {{ helper as dep }} from './mod{n}';
+import react from 'react';
+
+export function helper(x) {{
+  return twin(x);
+}}
+
+class View{k} {{
+}}
+
+function twin(y) {{
+  if (y) {{ dep(y); react.use(y); }}
+}}
+"""
+
+
+@query(
+    "outline_resolved_calls",
+    """WITH mods AS (
+  SELECT c_custkey AS k, 'ui/mod' || c_custkey || '.ts' AS source_id, 'ui/mod' || (c_custkey + 1) || '.ts' AS next_id,
+         EXISTS (SELECT 1 FROM customer n WHERE n.c_custkey = c.c_custkey + 1) AS has_next FROM customer c)
+SELECT source_id, 'helper' AS owner_name, 5 AS line_start, source_id || ':twin' AS target, 'local_static' AS resolution FROM mods
+UNION ALL SELECT source_id, 'twin', 12, CASE WHEN has_next THEN next_id || ':helper' END, CASE WHEN has_next THEN 'import_static' ELSE 'unresolved' END FROM mods
+UNION ALL SELECT source_id, 'twin', 12, NULL, 'unresolved' FROM mods""",
+)
+def outline_resolved_calls(spark, folder):
+    from folionaut.sources import outline
+
+    k = F.col("c_custkey")
+    text = F.lit(SCRIPT.replace("{{", "{").replace("}}", "}"))
+    for mark, value in (("{n}", k + 1), ("{k}", k)):
+        text = F.replace(text, F.lit(mark), value.cast("string"))
+    path = F.concat(F.lit("ui/mod"), k.cast("string"), F.lit(".ts"))
+    files = table(spark, folder, "customer", "c_custkey").select(
+        path.alias("source_id"), F.lit("root").alias("root_key"), path.alias("path"), names.language(path).alias("language"),
+        names.module_key(path, names.language(path)).alias("module_key"), text.alias("text"),
+    )
+    known, edges = durable(outline.entities(files)), durable(outline.edges(files))
+    target = known.select(F.col("entity_id").alias("target_id"), F.concat_ws(":", "source_id", "qualified_name").alias("target"))
+    calls = graph.resolve(edges, known).filter(F.col("kind") == "calls").join(target, "target_id", "left")
+    return calls.select("source_id", "owner_name", "line_start", "target", "resolution")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folionaut.functions.embedding import HashEmbedder
 from folionaut.operators import bm25, fusion, vector
+from folionaut.operators.durable import durable
 from folionaut.settings import Settings
 from suite.registry import DOCUMENTS_SQL, TOKENS_SQL, bm25_sql, documents, query, table
 
@@ -100,7 +101,7 @@ def bm25_phrase(spark, folder):
 def bm25_phrase_from_postings(spark, folder):
     rows = documents(spark, folder)
     stats = bm25.corpus_statistics(bm25.lengths(rows, COLUMNS))
-    scores = bm25.indexed_keyword_scores(bm25.postings(rows, COLUMNS), stats, "of_the leaux")
+    scores = bm25.indexed_keyword_scores(durable(bm25.postings(rows, COLUMNS)), stats, "of_the leaux")
     return scores.select("seq", F.round("keyword_score", 6).alias("score"))
 
 
@@ -108,7 +109,7 @@ def bm25_phrase_from_postings(spark, folder):
 def bm25_from_postings(spark, folder):
     rows = documents(spark, folder)
     stats = bm25.corpus_statistics(bm25.lengths(rows, COLUMNS))
-    scores = bm25.indexed_keyword_scores(bm25.postings(rows, COLUMNS), stats, QUERY)
+    scores = bm25.indexed_keyword_scores(durable(bm25.postings(rows, COLUMNS)), stats, QUERY)
     return scores.select("seq", F.round("keyword_score", 6).alias("score"))
 
 

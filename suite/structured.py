@@ -56,7 +56,7 @@ CASES = {
     "not_equal": (numeric(NumericFilter("price", "not_equal", 901.0)), "price <> 901.0"),
     "less_than": (numeric(NumericFilter("price", "less_than", 950.0)), "price < 950"),
     "less_than_or_equal": (numeric(NumericFilter("cost", "less_than_or_equal", "950")), "price <= 950"),
-    "greater_than": (numeric(NumericFilter("price", "greater_than", 1000)), "price > 1000"),
+    "greater_than": (numeric(NumericFilter("price", "greater_than", 950.5)), "price > 950.5"),
     "greater_than_or_equal": (numeric(NumericFilter("rating", "greater_than_or_equal", 3.5)), "rating >= 3.5"),
     "between": (numeric(NumericFilter("price", "between", low=910, high=930)), "price BETWEEN 910 AND 930"),
     "exists": (numeric(NumericFilter("rating", "exists")), "true"),
@@ -78,7 +78,7 @@ CASES = {
         "price > 905 AND rating < 3 AND day < '2021-01-01T00:00:00Z' AND extension IN ('economy', 'small') AND path LIKE '/parts/Brand#1%'",
     ),
     "keywords_all": (SearchFilters(keywords=(" Red ", "widget")), "list_contains(string_split(name, ' '), 'red') AND list_contains(string_split(name, ' '), 'widget')"),
-    "source_ids": (SearchFilters(source_ids=tuple(range(0, 400, 7))), "seq < 400 AND seq % 7 = 0"),
+    "source_ids": (SearchFilters(source_ids=(3, 17, 99, 150, 1024)), "seq IN (3, 17, 99, 150, 1024)"),
 }
 for case, (wanted_filters, condition) in CASES.items():
     query(f"filter_{case}", "WITH" + OFFERS_SQL + f" SELECT seq, 1.0::DOUBLE AS score FROM offers WHERE {condition}")(filtered(wanted_filters))
@@ -121,28 +121,28 @@ def manifest(spark, folder):
 
 CHANGED_SQL = """
 now_ AS (
-  SELECT path, extension, CASE WHEN seq % 5 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS content_hash FROM rows_ WHERE seq % 7 <> 3),
-before AS (SELECT path, status, sha256(text) AS content_hash FROM rows_ WHERE NOT deleted AND seq % 11 <> 4)"""
+  SELECT path, extension, CASE WHEN lang = 'es' THEN sha256(text || '!') ELSE sha256(text) END AS content_hash FROM rows_ WHERE source <> 'src3'),
+before AS (SELECT path, status, sha256(text) AS content_hash FROM rows_ WHERE NOT deleted AND source <> 'src4')"""
 
 
 def two_listings(spark, folder):
-    """What a scan sees now and what was indexed: some files are new, some changed, some gone."""
+    """What a scan sees now and what was indexed: one source is new, one is gone, Spanish texts have changed."""
     rows = sources(spark, folder)
-    text = F.when(F.col("seq") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    now = rows.filter(F.col("seq") % 7 != 3).select("path", "extension", F.sha2(text, 256).alias("content_hash"))
-    before = rows.filter(F.col("deleted_at").isNull() & (F.col("seq") % 11 != 4)).select("path", "status", "content_hash", "source_id")
+    text = F.when(F.col("lang") == "es", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    now = rows.filter(F.col("source") != "src3").select("path", "extension", F.sha2(text, 256).alias("content_hash"))
+    before = rows.filter(F.col("deleted_at").isNull() & (F.col("source") != "src4")).select("path", "status", "content_hash", "source_id")
     return now, before
 
 
 @query(
     "scan_classification",
     "WITH" + DOCUMENTS_SQL + "," + CHANGED_SQL + """
-SELECT n.path, CASE WHEN n.extension = 'log' THEN 'unsupported' WHEN b.path IS NULL THEN 'new' WHEN b.status = 'failed' THEN 'previously_failed'
+SELECT n.path, CASE WHEN n.extension = 'html' THEN 'unsupported' WHEN b.path IS NULL THEN 'new' WHEN b.status = 'failed' THEN 'previously_failed'
   WHEN b.content_hash = n.content_hash THEN 'unchanged' ELSE 'changed' END AS classification FROM now_ n LEFT JOIN before b USING (path)""",
 )
 def scan_classification(spark, folder):
     now, before = two_listings(spark, folder)
-    return listing.classify(now, before, F.col("extension") != "log").select("path", "classification")
+    return listing.classify(now, before, F.col("extension") != "html").select("path", "classification")
 
 
 @query(
