@@ -120,7 +120,8 @@ def _lookup(table: dict, key: Column) -> Column:
 
 
 def _group(match: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(match, pattern, group), F.lit(""))
+    """A group of a match, empty when it takes no part. Bind it where it is used more than once."""
+    return F.regexp_extract(match, pattern, group)
 
 
 def _fact(order: Column, span: Column, **values) -> Column:
@@ -133,7 +134,7 @@ def _fact(order: Column, span: Column, **values) -> Column:
         span["start"].alias("char_start"),
         (span["start"] + F.length(span["match"])).alias("char_end"),
         values["field"].alias("field"),
-        F.regexp_replace(span["match"], r"(?U)^\s+|\s+$", "").alias("raw_value"),
+        F.regexp_replace(span["match"], r"(?U)\s+\z", "").alias("raw_value"),
         *[values.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in shape.items()],
     )
 
@@ -141,41 +142,43 @@ def _fact(order: Column, span: Column, **values) -> Column:
 def _labelled(span: Column, locale: str) -> Column:
     match = span["match"]
     symbol, code = _group(match, r"(?U)([€$£¥])\s*\d"), _group(match, r"(?iU)\d\s*(EUR|USD|GBP|JPY|€|\$|£|¥)\z")
-    currency = F.coalesce(_lookup(CURRENCY_SYMBOLS, symbol), _lookup(CURRENCY_SYMBOLS, code), F.upper(code))
+    named = let(code, lambda c: F.coalesce(_lookup(CURRENCY_SYMBOLS, c), F.when(c != "", F.upper(c))))
+    currency = F.coalesce(_lookup(CURRENCY_SYMBOLS, symbol), named)
     number = parse_number(_group(match, r"(?U)\d(?:.*\d)?", 0), locale)
 
     def build(v: Column) -> Column:
-        kind = F.when(v["at"] < 4, "currency").when(v["at"] < 6, "percentage").otherwise("number")
-        unit = F.when(kind == "percentage", (v["number"] / 100).cast("string")).when(
-            kind == "number", _group(match, r"(?iU)\d\s*([a-z]+)\z")
+        unit = F.when(v["at"].between(4, 5), (v["number"] / 100).cast("string")).when(
+            v["at"].isin(measured), let(_group(match, r"(?iU)\d\s*([a-z]+)\z"), lambda u: F.when(u != "", u))
         )
         return _fact(
             v["at"], span, field=F.get(F.array(*[F.lit(name) for name in FIELD_ORDER]), v["at"] - 1),
-            normalized_number=v["number"], currency_code=F.when(kind == "currency", currency), unit=unit,
+            normalized_number=v["number"], currency_code=F.when(v["at"] < 4, currency), unit=unit,
         )
 
-    field = _lookup(LABELS, F.regexp_extract(F.lower(F.upper(match)), "^[a-z]+", 0))
-    at = F.array_position(F.array(*[F.lit(name) for name in FIELD_ORDER]), field).cast("int")
+    measured = [FIELD_ORDER.index(name) + 1 for name in UNITS]
+    places = {label: FIELD_ORDER.index(field) + 1 for label, field in LABELS.items()}
+    at = _lookup(places, F.regexp_extract(F.lower(F.upper(match)), "^[a-z]+", 0))
     return let(F.struct(at.alias("at"), number.alias("number")), build)
 
 
 def _dated(text: Column, span: Column, named: bool) -> Column:
     match, start = span["match"], span["start"]
-    digits = F.regexp_extract_all(match, F.lit(r"(?U)\d+"), F.lit(0))
+
+    def written(digits: Column) -> Column:
+        if named:
+            month = _lookup({name: f"{n:02d}" for n, name in enumerate(MONTHS, 1)}, F.regexp_extract(match, "[A-Z][a-z]+", 0))
+            return F.concat(F.element_at(digits, -1), F.lit("-"), month, F.lit("-"), F.lpad(digits[0], 2, "0"))
+        return F.array_join(digits, "-")
+
     if named:
         order = F.when(match.rlike(r"^(?U)\d"), 103).otherwise(104)
-        month = _lookup({name: f"{n:02d}" for n, name in enumerate(MONTHS, 1)}, F.regexp_extract(match, "[A-Z][a-z]+", 0))
-        iso = F.concat(F.element_at(digits, -1), F.lit("-"), month, F.lit("-"), F.lpad(digits[0], 2, "0"))
     else:
         order = F.when(match.contains("-"), 101).otherwise(102)
-        iso = F.array_join(digits, "-")
-    day = F.when(~iso.startswith("0000"), F.try_to_date(iso, "yyyy-MM-dd"))
+    iso = let(F.regexp_extract_all(match, F.lit(r"(?U)\d+"), F.lit(0)), written)
+    day = let(iso, lambda d: F.when(~d.startswith("0000"), F.try_to_date(d, "yyyy-MM-dd")))
     window = text.substr(F.greatest(start - DATE_LABEL_WINDOW, F.lit(0)) + 1, F.least(start, F.lit(DATE_LABEL_WINDOW)))
-    label = F.lower(_group(window, DATE_LABEL))
-    return _fact(
-        order, span, field=F.coalesce(F.concat(label, F.lit("_date")), F.lit("date")),
-        normalized_date_utc=F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00Z")),
-    )
+    field = let(_group(window, DATE_LABEL), lambda label: F.when(label != "", F.concat(F.lower(label), F.lit("_date"))).otherwise("date"))
+    return _fact(order, span, field=field, normalized_date_utc=F.concat(day.cast("string"), F.lit("T00:00:00Z")))
 
 
 def facts_array(text: Column, locale: str = "en") -> Column:

@@ -79,13 +79,17 @@ def saturation(tf: Column, length: Column, mean_length: float) -> Column:
 
 
 def keyword_scores(
-    rows: DataFrame, query: str, columns: tuple[str, ...] = TEXT_COLUMNS, key: str = "seq"
+    rows: DataFrame, query: str, columns: tuple[str, ...] = TEXT_COLUMNS, key: str = "seq", carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Scores of all rows that match any phrase, by two scans and no shuffle of rows: (key, keyword_score)."""
-    return scores_of_lists(rows.select(key, token_lists(columns).alias("lists")), query_phrases(query), key)
+    """Scores of all rows that match any phrase, by two scans and no shuffle of rows: (key, ..., keyword_score).
+
+    ``carry`` names columns to keep, so that candidates can be told from the scored rows without a join.
+    """
+    listed = rows.select(key, *carry, token_lists(columns).alias("lists"))
+    return scores_of_lists(listed, query_phrases(query), key, carry)
 
 
-def scores_of_lists(listed: DataFrame, query: list[tuple[str, ...]], key: str = "seq") -> DataFrame:
+def scores_of_lists(listed: DataFrame, query: list[tuple[str, ...]], key: str = "seq", carry: tuple[str, ...] = ()) -> DataFrame:
     """The same for rows whose token lists (one per text column) are already in ``lists``.
 
     The first scan yields one row of statistics, which the driver turns into constants of the second.
@@ -93,7 +97,7 @@ def scores_of_lists(listed: DataFrame, query: list[tuple[str, ...]], key: str =
     wanted = Counter(query)
     phrases = list(wanted)
     if not phrases:
-        return listed.filter(F.lit(False)).select(key, F.lit(0.0).alias("keyword_score"))
+        return listed.filter(F.lit(False)).select(key, *carry, F.lit(0.0).alias("keyword_score"))
     counts = F.array(_term_counts(F.col("lists"), phrases))
     # ``inline`` keeps Spark from evaluating the counts once for the filter and again for the score.
     stats = listed.select(F.inline(counts)).agg(
@@ -102,7 +106,7 @@ def scores_of_lists(listed: DataFrame, query: list[tuple[str, ...]], key: str =
         *[F.count_if(F.col("tf")[n] > 0).alias(f"n{n}") for n in range(len(phrases))],
     ).first()
     matching = F.filter(counts, lambda c: F.exists(c["tf"], lambda tf: tf > 0))
-    measured = listed.select(key, F.inline(matching))
+    measured = listed.select(key, *carry, F.inline(matching))
     score = sum(
         (
             F.lit(wanted[phrase] * idf(stats["rows"], stats[f"n{n}"]))
@@ -111,7 +115,7 @@ def scores_of_lists(listed: DataFrame, query: list[tuple[str, ...]], key: str =
         ),
         F.lit(0.0),
     )
-    return measured.select(key, score.alias("keyword_score"))
+    return measured.select(key, *carry, score.alias("keyword_score"))
 
 
 # ---- written index ---------------------------------------------------------------------------------------------

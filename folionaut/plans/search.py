@@ -47,6 +47,15 @@ def file_uri(path: Column) -> Column:
     return F.when(path.startswith("/"), F.concat(F.lit("file://"), escaped))
 
 
+CARRIED = ("chunk_id", "source_id", "extension", "path", "status", "deleted_at")
+
+
+def candidates_of(tables: DocumentTables, rows: DataFrame, request: SearchRequest) -> tuple[DataFrame, list[str], list[dict]]:
+    """Those of the rows that are live and pass the filters; works on chunks and on scored rows alike."""
+    live = rows.filter((F.col("status") == "indexed") & F.col("deleted_at").isNull())
+    return filter_chunks(live, tables.facts, tables.keywords, request.filters)
+
+
 def ranked(tables: DocumentTables, candidates: DataFrame, request: SearchRequest, settings: Settings, embedder, k: int) -> DataFrame:
     """(seq, score, vector_score, keyword_score) of the best k candidates."""
     none = F.lit(None).cast("double")
@@ -59,9 +68,10 @@ def ranked(tables: DocumentTables, candidates: DataFrame, request: SearchRequest
     if request.mode == "keyword" or (request.mode == "hybrid" and query_phrases(request.query)):
         if tables.postings is not None:
             scores = bm25.indexed_keyword_scores(tables.postings, tables.statistics, request.query)
+            channels["keyword_score"] = scores.join(candidates.select("seq"), "seq", "left_semi")
         else:
-            scores = bm25.keyword_scores(tables.chunks, request.query)
-        channels["keyword_score"] = scores.join(candidates.select("seq"), "seq", "left_semi")
+            scored = bm25.keyword_scores(tables.chunks, request.query, carry=CARRIED)
+            channels["keyword_score"] = candidates_of(tables, scored, request)[0].select("seq", "keyword_score")
     if request.mode != "hybrid":
         (name, scores), = channels.items()
         best = fusion.top_k(scores, name, k).withColumn("score", F.col(name))
@@ -79,8 +89,7 @@ def ranked(tables: DocumentTables, candidates: DataFrame, request: SearchRequest
 
 
 def search(tables: DocumentTables, request: SearchRequest, settings: Settings = Settings(), embedder=None) -> SearchResult:
-    live = tables.chunks.filter((F.col("status") == "indexed") & F.col("deleted_at").isNull())
-    candidates, applied, skipped = filter_chunks(live, tables.facts, tables.keywords, request.filters)
+    candidates, applied, skipped = candidates_of(tables, tables.chunks, request)
     # Ranking runs once; its few rows then select the evidence.
     best = fusion.durable(ranked(tables, candidates, request, settings, embedder, settings.limit(request.top_k)))
     return SearchResult(assemble(tables, best, request, settings), applied, skipped)

@@ -60,7 +60,7 @@ def bm25_all_matches(spark, folder):
 )
 def bm25_keyword_topk(spark, folder):
     rows = documents(spark, folder)
-    scores = bm25.keyword_scores(rows, QUERY, COLUMNS).join(candidates(rows).select("seq", "filename"), "seq")
+    scores = candidates(bm25.keyword_scores(rows, QUERY, COLUMNS, carry=("filename", "status", "deleted")))
     return fusion.top_k(scores, "keyword_score", TOP).select("seq", "filename", F.round("keyword_score", 6).alias("score"))
 
 
@@ -71,8 +71,7 @@ def bm25_keyword_topk(spark, folder):
 )
 def bm25_repeated_word_topk(spark, folder):
     rows = documents(spark, folder)
-    scores = bm25.keyword_scores(rows, "Thtion THTION, leaux! thtion", COLUMNS)
-    hits = scores.join(candidates(rows).select("seq"), "seq", "left_semi")
+    hits = candidates(bm25.keyword_scores(rows, "Thtion THTION, leaux! thtion", COLUMNS, carry=("status", "deleted")))
     return fusion.top_k(hits, "keyword_score", TOP).select("seq", F.round("keyword_score", 6).alias("score"))
 
 
@@ -191,10 +190,10 @@ fused AS (
 SELECT seq, round(score, 9) AS score FROM fused ORDER BY fused.score DESC, seq LIMIT {TOP}"""
 
 
-def hybrid(rows, allowed):
+def hybrid(rows, allow):
     embedder, settings = HashEmbedder(), Settings()
-    keyword = bm25.keyword_scores(rows, HYBRID_TEXT, COLUMNS).join(allowed.select("seq"), "seq", "left_semi")
-    vectors = allowed.select("seq", embedder.column(F.col("text")).alias("embedding"))
+    keyword = allow(bm25.keyword_scores(rows, HYBRID_TEXT, COLUMNS, carry=("extension", "path", "status", "deleted")))
+    vectors = allow(rows).select("seq", embedder.column(F.col("text")).alias("embedding"))
     semantic = vector.vector_scores(vectors, embedder.query(HYBRID_TEXT))
     fused = fusion.fuse(
         [(semantic, "vector_score", settings.vector_weight), (keyword, "keyword_score", settings.keyword_weight)],
@@ -206,14 +205,13 @@ def hybrid(rows, allowed):
 
 @query("hybrid_rrf_topk", hybrid_sql("candidate"))
 def hybrid_rrf_topk(spark, folder):
-    rows = documents(spark, folder)
-    return hybrid(rows, candidates(rows))
+    return hybrid(documents(spark, folder), candidates)
 
 
 @query("hybrid_rrf_filtered_topk", hybrid_sql("candidate AND extension = 'md' AND path LIKE '/data/src1%'"))
 def hybrid_rrf_filtered_topk(spark, folder):
-    rows = documents(spark, folder)
-    return hybrid(rows, candidates(rows).filter((F.col("extension") == "md") & F.col("path").startswith("/data/src1")))
+    allowed = (F.col("extension") == "md") & F.col("path").startswith("/data/src1")
+    return hybrid(documents(spark, folder), lambda rows: candidates(rows).filter(allowed))
 
 
 @query(
@@ -240,7 +238,7 @@ FROM ranked WHERE collection_rank <= {TOP} ORDER BY ranked.collection_rank, coll
 )
 def multi_collection_rank(spark, folder):
     rows = documents(spark, folder)
-    hits = bm25.keyword_scores(rows, QUERY, COLUMNS).join(candidates(rows).select("seq", "lang"), "seq")
+    hits = candidates(bm25.keyword_scores(rows, QUERY, COLUMNS, carry=("lang", "status", "deleted")))
     merged = fusion.reciprocal_group_rank(
         hits, "lang", (F.desc("keyword_score"), F.asc("seq")), TOP, Settings().rrf_k, ("lang", "collection_rank")
     )
