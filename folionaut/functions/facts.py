@@ -105,7 +105,8 @@ def _spans(text: Column, pattern: str) -> Column:
 
     def located(matches: Column) -> Column:
         # ``split`` would compile the pattern for every row; a replaced mark splits at no cost.
-        marked = F.regexp_replace(F.translate(text, MARK, OTHER), F.lit(pattern), F.lit(MARK))
+        unmarked = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, OTHER)).otherwise(text)
+        marked = F.regexp_replace(unmarked, F.lit(pattern), F.lit(MARK))
         gaps = F.slice(F.split(marked, MARK, -1), 1, F.size(matches))
         pairs = F.zip_with(matches, gaps, lambda m, g: F.struct(m.alias("match"), F.length(g).alias("gap")))
         # Gaps cost a second pass, so only texts with a match are split.

@@ -7,25 +7,34 @@ earlier rows in force, and a batch that is run again overwrites only its own fol
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folionaut.functions.facts import extract_facts
+from folionaut.functions import names
+from folionaut.functions.facts import FIELDS, extract_facts
 from folionaut.functions.text import stable_id
-from folionaut.operators import bm25
+from folionaut.operators import bm25, catalog, graph
 from folionaut.operators.chunking import chunk_documents
 from folionaut.operators.durable import durable
-from folionaut.operators.vocabulary import keyword_links
+from folionaut.operators.vocabulary import keyword_frequencies, keyword_links, list_keywords
 from folionaut.plans.search import DocumentTables
 from folionaut.settings import FolioError, Settings
+from folionaut.sources import outline
 from folionaut.sources.extract import SUPPORTED, extract_blocks, reparsed_as_markdown
-from folionaut.sources.listing import classify
+from folionaut.sources.listing import classify, describe_files
+from folionaut.sources.pycode import parse_python
 
 SOURCE_DDL = (
     "source_id string, path string, filename string, extension string, size_bytes bigint, content_hash string, status string, "
     "status_detail string, batch bigint, version int, deleted_at timestamp"
 )
-DERIVED = ("chunks", "vectors", "facts", "keywords", "postings")
+DERIVED = ("chunks", "vectors", "facts", "keywords", "postings", "graph_entities", "graph_edges")
+JOB_DDL = (
+    "job_id string, kind string, status string, total bigint, unchanged bigint, completed bigint, failed bigint, skipped bigint, "
+    "started_at timestamp, finished_at timestamp"
+)
 
 
 class Collection:
@@ -83,6 +92,7 @@ class Collection:
     def index(self, files: DataFrame, batch: int | None = None) -> dict[str, int]:
         """Bring the listed files up to date; returns how many fell into each class."""
         batch = self.next_batch() if batch is None else batch
+        started = datetime.now(timezone.utc)
         known = self.sources()
         supported = F.col("extension").isin(*SUPPORTED) if self.kind == "general" else F.lit(True)
         # The hashing pass reads every file once; only its narrow result is kept.
@@ -93,13 +103,27 @@ class Collection:
             # A file that changes between the two reads drops out here and is retried by the next scan.
             self._write_batch(files.join(work.select("path", "content_hash"), ["path", "content_hash"], "left_semi"), batch)
         self._commit_sources(self._merged(known, classified, batch))
+        self._log_job(batch, counts, started)
         return counts
 
+    def _log_job(self, batch: int, counts: dict[str, int], started: datetime) -> None:
+        total, work = sum(counts.values()), sum(counts.get(name, 0) for name in ("new", "changed", "previously_failed"))
+        failed = 0
+        if work:
+            documents = self.spark.read.parquet(f"{self.root}/documents/batch={batch}")
+            failed = documents.filter(F.col("error").isNotNull()).count()
+        status = "completed_with_errors" if failed else "completed"
+        row = (
+            f"scan-{batch}-{int(started.timestamp() * 1000)}", "scan", status, total, counts.get("unchanged", 0), work - failed, failed,
+            counts.get("unsupported", 0), started, datetime.now(timezone.utc),
+        )
+        self.spark.createDataFrame([row], JOB_DDL).coalesce(1).write.mode("append").parquet(f"{self.root}/jobs")
+
     def _write_batch(self, work: DataFrame, batch: int) -> None:
         folder = {name: f"{self.root}/{name}/batch={batch}" for name in (*DERIVED, "documents")}
         extracted = extract_blocks(work, self.kind)
         if self.kind == "general":
-            extracted = reparsed_as_markdown(extracted)
+            extracted = reparsed_as_markdown(extracted).drop("source_text")
         extracted.write.mode("overwrite").parquet(folder["documents"])
         documents = self.spark.read.parquet(folder["documents"]).filter(F.col("error").isNull())
         code = self.kind == "source_code"
@@ -123,6 +147,23 @@ class Collection:
         index = bm25.postings(keyed, key="_key").select("_key.seq", "_key.source_id", "term", "tf", "length", "positions")
         index.repartitionByRange("term", "seq").sortWithinPartitions("term", "seq").write.mode("overwrite").parquet(folder["postings"])
 
+        if self.kind == "source_code":
+            self._write_graph(documents, folder)
+
+    def _write_graph(self, documents: DataFrame, folder: dict[str, str]) -> None:
+        """Names and edges of the source texts: Python by its syntax, other known languages by outline."""
+        path, language = F.coalesce("relative_path", "path"), names.language(F.col("path"))
+        files = documents.filter(F.col("source_text").isNotNull() & language.isNotNull()).select(
+            "source_id", F.lit("root").alias("root_key"), path.alias("path"), language.alias("language"),
+            names.module_key(path, language).alias("module_key"), F.col("source_text").alias("text"),
+        )
+        python = durable(parse_python(files.filter(F.col("language") == "python")))
+        others = outline.with_package(files.filter(F.col("language") != "python"))
+        columns = ("entity_id", "source_id", "root_key", "path", "module_key", "language", "family", "kind", "name", "qualified_name", "full_key", "line_start", "line_end", "signature")
+        known = graph.entities(python).select(*columns).unionByName(outline.entities(others).select(*columns))
+        known.write.mode("overwrite").parquet(folder["graph_entities"])
+        graph.observed_edges(python).unionByName(outline.edges(others)).write.mode("overwrite").parquet(folder["graph_edges"])
+
     def _merged(self, known: DataFrame, classified: DataFrame, batch: int) -> DataFrame:
         """The next source table: listed files take their new state, all others keep theirs."""
         handled = F.col("classification").isin("new", "changed", "previously_failed")
@@ -176,6 +217,28 @@ class Collection:
         self._commit_sources(self.sources().withColumn("batch", moved))
         return batch
 
+    def rebuild(self, files: DataFrame, confirm: bool = False) -> dict[str, int]:
+        """Index everything anew; earlier rows stay in force until the new batch is complete."""
+        require_confirmation(confirm)
+        self._commit_sources(self.sources().withColumn("content_hash", F.lit("")))
+        return self.index(files)
+
+    def delete(self, confirm: bool = False) -> None:
+        require_confirmation(confirm)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def upload(self, filename: str, content_base64: str) -> dict[str, int]:
+        """Index one file given as text, under the collection's own ``uploads`` path."""
+        if not filename or "/" in filename or "\\" in filename or filename.startswith("."):
+            raise FolioError("PATH_NOT_ALLOWED", "a plain file name is required")
+        one = self.spark.createDataFrame([(f"{self.root}/uploads/{filename}", content_base64)], "path string, encoded string")
+        content = one.select("path", F.unbase64("encoded").alias("content"), F.current_timestamp().alias("modificationTime"))
+        return self.index(describe_files(content.withColumn("length", F.octet_length("content").cast("bigint")), f"{self.root}/uploads"))
+
+    def export_manifest(self, folder: str) -> None:
+        catalog.manifest(self.sources()).write.mode("overwrite").json(folder)
+
     # ---- reading ----------------------------------------------------------------------------------------------
 
     def tables(self) -> DocumentTables:
@@ -188,3 +251,33 @@ class Collection:
         rows = chunks.join(source, "source_id")
         statistics = bm25.corpus_statistics(chunks)
         return DocumentTables(rows, self.current("facts"), self.current("keywords"), self.current("vectors"), postings, statistics)
+
+    def graph(self) -> tuple[DataFrame, DataFrame]:
+        """(entities, resolved edges) of the current, readable sources."""
+        known, edges = self.current("graph_entities"), self.current("graph_edges")
+        if known is None:
+            raise FolioError("NOT_INDEXED", "index some source code first")
+        live = self.sources().filter((F.col("status") == "indexed") & F.col("deleted_at").isNull()).select("source_id")
+        known = known.join(live, "source_id", "left_semi")
+        return known, graph.resolve(edges.join(live, "source_id", "left_semi").drop("batch"), known)
+
+    def describe(self) -> dict:
+        """Kind, counts and the fields that filters understand."""
+        chunks = self.current("chunks")
+        counts = catalog.collection_counts(self.sources(), chunks if chunks is not None else self.spark.range(0)).first().asDict()
+        return {"kind": self.kind, "counts": counts, "fields": {name: kind for name, (kind, _) in FIELDS.items()}}
+
+    def list_files(self, **filters) -> DataFrame:
+        return catalog.list_files(self.sources(), **filters)
+
+    def list_keywords(self, contains: str = "", limit: int = 50, offset: int = 0) -> DataFrame:
+        return list_keywords(keyword_frequencies(self.current("keywords")), contains, limit, offset)
+
+    def jobs(self) -> DataFrame:
+        """Finished runs, newest first."""
+        return self.spark.read.schema(JOB_DDL).parquet(f"{self.root}/jobs").orderBy(F.desc("started_at"))
+
+
+def require_confirmation(confirm: bool) -> None:
+    if not confirm:
+        raise FolioError("CONFIRMATION_REQUIRED", "repeat with confirm=True")

@@ -64,6 +64,8 @@ def read_content(data: bytes, suffix: str, sniff: bool) -> dict:
 def extract_blocks(files: DataFrame, kind: str = "general") -> DataFrame:
     """Files (content, extension, ...) with ``blocks``, ``title``, ``extractor`` and ``error`` in place of the content.
 
+    ``source_text`` keeps the text of source code, for those who parse it.
+
     A file of a source-code collection with an unknown suffix is read when its bytes are surely text.
     """
     sniff = kind == "source_code"
@@ -82,7 +84,8 @@ def extract_blocks(files: DataFrame, kind: str = "general") -> DataFrame:
         .when(F.col("_r.extractor") == "text", plain_blocks(F.col("_r.text")))
         .otherwise(F.col("_r.blocks"))
     )
-    return found.select(*keep, blocks.alias("blocks"), *[F.col(f"_r.{name}").alias(name) for name in ("title", "extractor", "error")])
+    source_text = F.when(F.col("_r.extractor").startswith("source_code"), F.col("_r.text")).alias("source_text")
+    return found.select(*keep, blocks.alias("blocks"), source_text, *[F.col(f"_r.{name}").alias(name) for name in ("title", "extractor", "error")])
 
 
 def reparsed_as_markdown(extracted: DataFrame) -> DataFrame:

@@ -172,3 +172,42 @@ def test_stream_indexes_new_files_once(spark, tmp_path):
     (folder / "b.md").write_text("second lamp")
     watch_folder(collection, str(folder), checkpoint, once=True).awaitTermination(120)
     assert set(names_of(collection, "lamp")) == {"a.md", "b.md"} and collection.current("chunks").count() == 2
+
+
+def test_source_code_collection_has_a_graph(spark, tmp_path):
+    folder = tmp_path / "code"
+    (folder / "pkg").mkdir(parents=True)
+    (folder / "pkg" / "helpers.py").write_text("def helper():\n    return 1\n")
+    (folder / "main.py").write_text("from pkg.helpers import helper as load\n\ndef run():\n    return load()\n")
+    (folder / "view.ts").write_text("export function show(x) {\n  draw(x);\n}\nfunction draw(y) {\n}\n")
+    (folder / "notes").write_text("plain words without a suffix\n")
+    collection = Collection(spark, str(tmp_path / "store"), HashEmbedder(), kind="source_code")
+    assert collection.index(read_files(spark, str(folder))) == {"new": 4}
+    known, edges = collection.graph()
+    found = traverse.traverse(known, edges, GraphRequest("callers", symbol="helper"))
+    assert [e["owner_name"] for e in found["relationships"]] == ["run"] and found["relationships"][0]["resolution"] == "import_static"
+    assert traverse.traverse(known, edges, GraphRequest("callees", symbol="show"))["entities"][1]["name"] == "draw"
+    context = traverse.context_of_chunks(collection.current("chunks"), known, 5)
+    assert {"run", "helper", "show"} <= {r["qualified_name"] for r in context.collect()}
+    assert names_of(collection, "suffix") == ["notes"]
+
+
+def test_operations_of_a_collection(spark, tmp_path):
+    import base64
+
+    collection = Collection(spark, str(tmp_path / "store"), HashEmbedder())
+    with pytest.raises(FolioError):
+        collection.tables()
+    assert collection.upload("note.md", base64.b64encode(b"# Lamp\n\nred lamp lamps").decode()) == {"new": 1}
+    with pytest.raises(FolioError):
+        collection.upload("../x.md", "")
+    assert collection.describe()["counts"] == {"sources": 1, "indexed_sources": 1, "failed_sources": 0, "chunks": 1}
+    assert [r["term"] for r in collection.list_keywords("LAM").collect()] == ["lamp", "lamps"]
+    assert [r["filename"] for r in collection.list_files(extension="md").collect()] == ["note.md"]
+    assert [(r["status"], r["total"], r["completed"]) for r in collection.jobs().collect()] == [("completed", 1, 1)]
+    collection.export_manifest(str(tmp_path / "manifest"))
+    assert spark.read.json(str(tmp_path / "manifest")).first()["filename"] == "note.md"
+    with pytest.raises(FolioError):
+        collection.delete()
+    collection.delete(confirm=True)
+    assert collection.sources().count() == 0
