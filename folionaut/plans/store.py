@@ -31,6 +31,8 @@ SOURCE_DDL = (
     "status_detail string, batch bigint, version int, deleted_at timestamp"
 )
 DERIVED = ("chunks", "vectors", "facts", "keywords", "postings", "graph_entities", "graph_edges")
+# Batch ids from here on belong to streams.
+STREAM_BATCHES = 1 << 40
 JOB_DDL = (
     "job_id string, kind string, status string, total bigint, unchanged bigint, completed bigint, failed bigint, skipped bigint, "
     "started_at timestamp, finished_at timestamp"
@@ -70,7 +72,9 @@ class Collection:
         rows.write.mode("overwrite").parquet(f"{self.root}/sources/snapshot={number}")
 
     def next_batch(self) -> int:
-        return max((int(name.partition("=")[2]) for name in self._list("chunks")), default=-1) + 1
+        """Scans count their batches; those of streams have ids of their own above."""
+        numbers = (int(name.partition("=")[2]) for name in self._list("documents"))
+        return max((n for n in numbers if n < STREAM_BATCHES), default=-1) + 1
 
     def _derived(self, name: str) -> DataFrame | None:
         batches = self._list(name)
@@ -131,7 +135,7 @@ class Collection:
         chunks = chunk_documents(
             documents, size, overlap, code=F.col("extractor").startswith("source_code"), keep=("source_id", "filename", "extension", "path")
         )
-        order = F.concat_ws(":", F.lpad(F.lit(str(batch)), 10, "0"), "source_id", F.lpad(F.col("chunk_index").cast("string"), 8, "0"))
+        order = F.concat_ws(":", F.lpad(F.lit(str(batch)), 20, "0"), "source_id", F.lpad(F.col("chunk_index").cast("string"), 8, "0"))
         # The indexed length stays with the chunk, so collection statistics read one narrow column.
         keyed = chunks.withColumn("seq", order).withColumn("chunk_id", stable_id(F.col("seq")))
         keyed.withColumn("length", bm25.token_total(bm25.TEXT_COLUMNS)).write.mode("overwrite").parquet(folder["chunks"])
@@ -208,6 +212,7 @@ class Collection:
     def compact(self) -> int:
         """Write all current rows as one batch and point every source at it; old batches can then be dropped."""
         batch = self.next_batch()
+        self.spark.createDataFrame([], "source_id string, error string").write.parquet(f"{self.root}/documents/batch={batch}")
         for name in DERIVED:
             rows = self.current(name)
             if rows is not None:

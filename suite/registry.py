@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from functools import wraps
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers the package, wherever the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        home = Path(__file__).resolve().parent.parent
+        folder = tempfile.mkdtemp(prefix="folionaut-package-")
+        context.addPyFile(shutil.make_archive(f"{folder}/folionaut", "zip", home, "folionaut"))
+        _SHIPPED.add(context.applicationId)
 
 
 def query(name: str, sql: str | None = None):
     def register(function):
-        QUERIES[name] = function
+        @wraps(function)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return function(spark, folder)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return function
