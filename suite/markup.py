@@ -19,11 +19,12 @@ def html_blocks(spark, folder):
     )
 
 
+# A named character reference may lack its semicolon, as where a title was cut.
 @query(
     "html_titles_and_links",
     r"""WITH raw AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS t,
     len(regexp_extract_all(html, '<h[1-6]')) AS headings FROM pages)
-    SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&'), '^\s+|\s+$', '', 'g')) AS title,
+    SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;?', '&', 'g'), '^\s+|\s+$', '', 'g')) AS title,
     headings::BIGINT AS headings FROM raw""",
 )
 def html_titles_and_links(spark, folder):

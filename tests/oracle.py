@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -77,7 +78,7 @@ def session(cores: int = 8):
 if __name__ == "__main__":
     import __spark_entry__ as driver
 
-    folder = "/root/testdata/sf0.01"
+    folder = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
     wanted = sys.argv[1:]
     spark, connection = session(), connect(folder)
     for name, function in driver.queries().items():
