@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def durable(frame: DataFrame) -> DataFrame:
-    """Compute once and keep the rows on shared storage, so that a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint()
+    """Compute once and keep the rows as a table on shared storage.
+
+    A lost executor then costs no recomputation, and later reads take only the columns and row groups they need.
+    """
+    spark = frame.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folionaut.functions.facts import extract_facts
 from folionaut.operators import catalog, vocabulary
+from folionaut.operators.durable import durable
 from folionaut.operators.filters import filter_chunks
 from folionaut.plans.requests import NumericFilter, SearchFilters
 from folionaut.sources import listing
@@ -40,6 +41,8 @@ def filtered(wanted: SearchFilters):
     def run(spark, folder):
         rows = offers(spark, folder)
         facts = extract_facts(rows.select("chunk_id", "text"))
+        if len(wanted.numeric) > 1:
+            facts = durable(facts)
         keywords = vocabulary.keyword_links(rows) if wanted.keywords else None
         kept, _, _ = filter_chunks(rows, facts, keywords, wanted)
         return kept.select("seq", F.lit(1.0).alias("score"))
