@@ -6,15 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folionaut.llm import huffman
+from folionaut.llm import decontaminate, huffman, quality
 from folionaut.llm.registry import ORACLES, QUERIES, query, table
-from folionaut.llm.session import shared_folder
+from folionaut.llm.session import shared_folder, staged
 
 __all__ = ["ORACLES", "QUERIES"]
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
+QUALITY_THRESHOLD = 0.7
 
 
 @query("op3_huffman_ids")
@@ -22,3 +23,28 @@ def op3_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
     target = shared_folder(spark)
     huffman.write_ids(table(spark, folder, "documents"), target, BYTE_BPE, spaced=True, end_id=END_ID)
     return huffman.read_ids(spark, target).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op8_benchmark_decontamination")
+def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    hit = decontaminate.with_hits(docs, table(spark, folder, "benchmark"))
+    return hit.select(
+        "doc_id",
+        F.col("_n_words").alias("n_words"),
+        F.col("_n_hit").alias("n_hit"),
+        F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
+        (F.col("_n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query("op4_quality_discriminant")
+def op4_quality_discriminant(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    stats = staged(quality.with_statistics(table(spark, folder, "documents")))
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(stats.join(labels, "doc_id").where(~held_out))
+    return quality.scored(stats, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted")
+    )
