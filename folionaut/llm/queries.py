@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folionaut.llm import decontaminate, huffman, quality
+from folionaut.llm import decontaminate, huffman, packing, quality
 from folionaut.llm.registry import ORACLES, QUERIES, query, table
 from folionaut.llm.session import shared_folder, staged
 
@@ -48,3 +48,9 @@ def op4_quality_discriminant(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scored(stats, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted")
     )
+
+
+@query("op2_vector_packing")
+def op2_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(table(spark, folder, "documents"), WORD_BPE, spaced=False, end_id=END_ID)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
