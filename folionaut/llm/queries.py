@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folionaut.llm import decontaminate, huffman, packing, quality
+from folionaut.llm import decontaminate, huffman, packing, quality, secrets
 from folionaut.llm.registry import ORACLES, QUERIES, query, table
 from folionaut.llm.session import shared_folder, staged
 
@@ -54,3 +54,17 @@ def op4_quality_discriminant(spark: SparkSession, folder: str) -> DataFrame:
 def op2_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(table(spark, folder, "documents"), WORD_BPE, spaced=False, end_id=END_ID)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op1_secret_scan")
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = secrets.train(secrets.samples(secrets.with_base_spans(docs)))
+    return secrets.with_secrets(docs, model).select(
+        "doc_id",
+        F.size("_assign").cast("long").alias("n_assign"),
+        F.size("_access").cast("long").alias("n_access"),
+        F.size("_hex").cast("long").alias("n_hex"),
+        F.sha2(secrets.listed("_base"), 256).alias("base_sha256"),
+        secrets.listed("_spans").alias("spans"),
+    )
