@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folionaut.llm import decontaminate, huffman, packing, quality, secrets
+from folionaut.llm import counting, decontaminate, huffman, packing, quality, secrets
 from folionaut.llm.registry import ORACLES, QUERIES, query, table
 from folionaut.llm.session import shared_folder, staged
 
@@ -15,6 +15,7 @@ __all__ = ["ORACLES", "QUERIES"]
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
+TOKEN_LIMIT = 512
 QUALITY_THRESHOLD = 0.7
 
 
@@ -68,3 +69,9 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(secrets.listed("_base"), 256).alias("base_sha256"),
         secrets.listed("_spans").alias("spans"),
     )
+
+
+@query("op5_transducer_counts")
+def op5_transducer_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counts = counting.token_counts(table(spark, folder, "documents"), BYTE_BPE)
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
