@@ -129,9 +129,8 @@ def id_counts(docs: DataFrame, path: str, spaced: bool, end_id: int) -> DataFram
         encode, totals = encoder(path, spaced), np.zeros(0, dtype=np.int64)
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column(0)):
-                ids, _ = encode.encode(data, offsets)
-                seen = np.bincount(np.append(ids, [end_id]), minlength=len(totals))
-                seen[end_id] += len(offsets) - 2
+                seen = encode.counts(data, offsets, max(len(totals), end_id + 1))
+                seen[end_id] += len(offsets) - 1
                 seen[: len(totals)] += totals
                 totals = seen
         used = np.flatnonzero(totals)
