@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folionaut.llm import counting, decontaminate, huffman, packing, quality, secrets
+from folionaut.llm import counting, decontaminate, huffman, neighbours, packing, quality, secrets
 from folionaut.llm.registry import ORACLES, QUERIES, query, table
 from folionaut.llm.session import shared_folder, staged
 
@@ -75,3 +75,9 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op5_transducer_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = counting.token_counts(table(spark, folder, "documents"), BYTE_BPE)
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query("op9_balanced_lists")
+def op9_balanced_lists(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
