@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folionaut.llm import counting, decontaminate, huffman, neighbours, packing, quality, secrets
+from folionaut.llm import counting, decontaminate, huffman, jaccard, neighbours, packing, quality, secrets
 from folionaut.llm.registry import ORACLES, QUERIES, query, table
 from folionaut.llm.session import shared_folder, staged
 
@@ -81,3 +81,8 @@ def op5_transducer_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op9_balanced_lists(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return neighbours.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+@query("op10_jaccard_regions")
+def op10_jaccard_regions(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.joined(table(spark, folder, "documents").select("doc_id", "text"), width=4, percent=85)
