@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folionaut.llm import counting, decontaminate, huffman, jaccard, neighbours, packing, quality, secrets
+from folionaut.llm import counting, decontaminate, huffman, jaccard, neighbours, packing, quality, repeats, secrets
 from folionaut.llm.registry import ORACLES, QUERIES, query, table
 from folionaut.llm.session import shared_folder, staged
 
@@ -86,3 +86,9 @@ def op9_balanced_lists(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_jaccard_regions")
 def op10_jaccard_regions(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.joined(table(spark, folder, "documents").select("doc_id", "text"), width=4, percent=85)
+
+
+@query("op7_suffix_repeats")
+def op7_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    kept = repeats.without_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
