@@ -175,3 +175,25 @@ def scored(stats: DataFrame, model: Discriminant, key: str = "doc_id") -> DataFr
 
     kind = stats.schema[key].dataType.simpleString()
     return stats.select(key, "x").mapInArrow(compute, f"`{key}` {kind}, score double")
+
+
+def learned(docs: DataFrame, labels: DataFrame) -> Discriminant:
+    """A discriminant fitted on the statistics of all documents that ``labels`` (doc_id, label) marks."""
+    from folionaut.llm.session import staged
+
+    return fit(staged(with_statistics(docs)).join(labels.select("doc_id", "label"), "doc_id"))
+
+
+def accepted(docs: DataFrame, model: Discriminant, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more. A model without both classes rejects nothing."""
+    if model.constant is not None:
+        return docs
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [model.score(statistics(data, offsets)) for _, _, data, offsets in blocks(batch.column(at))]
+            if scores:
+                yield batch.filter(pa.array(np.concatenate(scores) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
