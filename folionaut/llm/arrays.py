@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes handled at once; one longer document makes a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = (2 << 20) - 64
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -7,7 +7,7 @@ Runs of words whose neighbouring pairs all occur in items are found with arrays
 
 Items are read in blocks of bounded size, one automaton and one pass over the documents each, so the broadcast is
 bounded for any number of items. Null and empty texts have no words; null items are ignored; items with equal texts are
-all reported; an empty item table hits nothing.
+all reported; an empty item table hits nothing; repeated rows are each judged; other columns pass as they are.
 """
 
 from __future__ import annotations
@@ -186,7 +186,7 @@ def automata(items: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_BYTE
 
 def with_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """All columns of ``docs`` with ``_n_words``, ``_n_hit``, ``_items`` (sorted names) and ``_hit_ranges`` (of words, flat
-    pairs, end exclusive)."""
+    pairs, end exclusive); columns of ``docs`` with these names are replaced."""
     spark = docs.sparkSession
     out = docs.withColumns({
         "_n_words": F.lit(0).cast("long"), "_items": F.array().cast("array<string>"), "_hit_ranges": F.array().cast("array<long>"),
@@ -259,5 +259,8 @@ def _cutter(at: int):
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_share: float = 0.5) -> DataFrame:
     """``docs`` without hit words; documents whose share of hit words exceeds ``max_share`` are left out."""
-    hit = with_hits(docs, items, window).where(F.col("_n_hit") <= F.lit(max_share) * F.col("_n_words"))
-    return hit.mapInArrow(_cutter(hit.columns.index("text")), hit.schema).select(*docs.columns)
+    carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    hit = with_hits(carried, items, window).where(F.col("_n_hit") <= F.lit(max_share) * F.col("_n_words"))
+    cut = hit.select("row", "text", "_hit_ranges")
+    rest = cut.mapInArrow(_cutter(cut.columns.index("text")), cut.schema)
+    return rest.select(F.col("row").withField("text", F.col("text")).alias("row")).select("row.*")

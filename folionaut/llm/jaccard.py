@@ -13,9 +13,10 @@ regions of their own kind, and pivots do their work inside these:
    these are joined recursively. Pairs already connected, or kept apart by the distances to a pivot, are not compared.
 3. A region too large for one task is joined by rounds of pivots over all its documents at once, in blocks.
 
-Shingles are told apart by 64-bit codes. Where a part is empty in a document it identifies nothing: with fewer than
-``SAFE_PARTS`` parts such documents also meet by their first ``D + 1`` shingles in hash order; with more, the chance that
-all equal parts of a linked pair are empty is below that of equal codes.
+Shingles are told apart by 64-bit codes. A part of very few shingles may come from a line that many texts share. With
+fewer than ``SAFE_PARTS`` parts it counts only together with an equal part under a second (and third) way of dealing,
+which a linked pair must have as well. With more parts those of at most one shingle are left out: a linked pair is then
+missed only if its differing shingles hit every other part, each about once, a chance below 1e-13.
 
 Null and empty texts have no shingles and no links; a text of fewer words than a shingle is one shingle; equal texts are
 linked; rows with a null id are not linked; an empty table gives an empty result.
@@ -38,7 +39,9 @@ from folionaut.llm.session import partitions, staged
 
 #: Ratio of the sizes of a class.
 CLASS_RATIO = 1.5
-SAFE_PARTS = 48
+#: With fewer parts, those of so few shingles are combined with the parts of a second dealing, and then of a third.
+SAFE_PARTS = 40
+WEAK_PARTS = (2, 1)
 #: Signatures contracted and shipped at once by a task, and their buckets for each shuffle partition.
 LOT = 1 << 20
 #: Shingles of a region that one task joins; larger regions are joined by rounds of pivots.
@@ -86,47 +89,56 @@ def _classes(percent: int) -> tuple[np.ndarray, np.ndarray]:
     return bounds[:-1], 2 * (bounds[1:] - 1) * (100 - percent) // (100 + percent) + 1
 
 
+def _dealt(values: np.ndarray, local: np.ndarray, base: np.ndarray, k: np.ndarray, family: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code and size of every part of every document, empty parts too, under one way of dealing shingles."""
+    spread = mix(values + np.uint64((0x5851F42D4C957F2D * (2 * family + 1)) & ((1 << 64) - 1)))
+    slot = base[local] + (spread % k[local].astype(np.uint64)).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    slot = slot[order]
+    first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+    sums = np.zeros(base[-1], dtype=np.uint64)
+    sums[slot[first]] = np.add.reduceat(mix(spread[order] + np.uint64(1)), first)
+    number = np.arange(base[-1]) - np.repeat(base[:-1], k)
+    return mix(sums + mix(number.astype(np.uint64))), np.bincount(slot, minlength=base[-1])
+
+
 def signatures(values: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes by which linked documents meet, and the row of each."""
     size = np.diff(bounds)
     lows, parts = _classes(percent)
     own = np.searchsorted(lows, size, side="right") - 1
-    out, rows = [], []
+    out, rows = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
     # Each document in its own size class, and in the next one if a document there can be linked with it.
     for step in (0, 1):
         kind = own + step
-        use = np.flatnonzero((size > 0) & ((step == 0) | (100 * size >= percent * lows[np.minimum(kind, len(lows) - 1)])))
-        if not len(use):
-            continue
-        k, n = parts[kind[use]], size[use]
-        at = ranges(bounds[use], n)
-        local = np.repeat(np.arange(len(use)), n)
-        spread = mix(values[at] ^ np.uint64(0x5851F42D4C957F2D))
-        part = (spread % k[local].astype(np.uint64)).astype(np.int64)
-        base = np.append(0, np.cumsum(k))
-        slot = base[local] + part
-        order = np.argsort(slot, kind="stable")
-        slot = slot[order]
-        first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-        sums = np.add.reduceat(mix(spread[order] + np.uint64(1)), first)
-        slot = slot[first]
-        owner = np.searchsorted(base, slot, side="right") - 1
-        salt = (kind[use][owner].astype(np.uint64) << np.uint64(40)) + (slot - base[owner]).astype(np.uint64)
-        out.append(mix(sums + mix(salt)))
-        rows.append(use[owner])
-        bare = np.flatnonzero((np.bincount(owner, minlength=len(use)) < k) & (k < SAFE_PARTS))
-        if len(bare):
-            # A linked pair of one size class shares one of the first D + 1 shingles of each in any common order.
-            at, local = ranges(bounds[use[bare]], n[bare]), np.repeat(np.arange(len(bare)), n[bare])
-            spread = mix(values[at] ^ np.uint64(0x2545F4914F6CDD1D))
-            order = np.lexsort((spread, local))
-            place = np.arange(len(at)) - np.repeat(np.cumsum(n[bare]) - n[bare], n[bare])
-            early = place < k[bare][local]
-            salt = (kind[use][bare][local[early]].astype(np.uint64) << np.uint64(40)) + np.uint64((1 << 40) - 1)
-            out.append(mix(spread[order][early] + mix(salt)))
-            rows.append(use[bare][local[early]])
-    if not out:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        asked = (size > 0) & ((step == 0) | (100 * size >= percent * lows[np.minimum(kind, len(lows) - 1)]))
+        few = parts[np.minimum(kind, len(parts) - 1)] < SAFE_PARTS
+        for use in (np.flatnonzero(asked & ~few), np.flatnonzero(asked & few)):
+            if not len(use):
+                continue
+            k, n = parts[kind[use]], size[use]
+            own_values, local = values[ranges(bounds[use], n)], np.repeat(np.arange(len(use)), n)
+            base = np.append(0, np.cumsum(k))
+            owner = np.repeat(np.arange(len(use)), k)
+            salt = mix(kind[use].astype(np.uint64) << np.uint64(40))
+            code, filled = _dealt(own_values, local, base, k, 0)
+            code = mix(code + salt[owner])
+            if k[0] >= SAFE_PARTS:
+                out.append(code[filled > 1])
+                rows.append(use[owner[filled > 1]])
+                continue
+            for family, weak in enumerate((*WEAK_PARTS, -1), start=1):
+                strong = filled > weak
+                out.append(code[strong])
+                rows.append(use[owner[strong]])
+                if weak < 0 or strong.all():
+                    break
+                # A part of so few shingles says little alone: it counts together with each part of another dealing.
+                at, prior = owner[~strong], code[~strong]
+                more, count = _dealt(own_values, local, base, k, family)
+                spots = ranges(base[at], k[at])
+                code, filled = mix(mix(np.repeat(prior, k[at])) + more[spots]), count[spots]
+                owner = np.repeat(at, k[at])
     return np.concatenate(out), np.concatenate(rows)
 
 
@@ -375,4 +387,4 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """``docs`` with one document of each component, the one of the smallest id. Rows with one id are one document; rows
     without an id stay."""
     others = joined(docs, width, percent).where("doc_id <> component_id").select("doc_id")
-    return docs.join(others.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(others.distinct(), "doc_id", "left_anti")

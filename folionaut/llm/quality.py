@@ -188,12 +188,12 @@ def accepted(docs: DataFrame, model: Discriminant, threshold: float = 0.7) -> Da
     """The rows of ``docs`` that score ``threshold`` or more. A model without both classes rejects nothing."""
     if model.constant is not None:
         return docs
-    at = docs.columns.index("text")
+    carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score(statistics(data, offsets)) for _, _, data, offsets in blocks(batch.column(at))]
+            scores = [model.score(statistics(data, offsets)) for _, _, data, offsets in blocks(batch.column(1))]
             if scores:
-                yield batch.filter(pa.array(np.concatenate(scores) >= threshold))
+                yield batch.filter(pa.array(np.concatenate(scores) >= threshold)).select(["row"])
 
-    return docs.mapInArrow(keep, docs.schema)
+    return carried.mapInArrow(keep, carried.select("row").schema).select("row.*")

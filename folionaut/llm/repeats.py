@@ -34,8 +34,6 @@ WINDOW = 20
 PREFIX = 8
 #: Anchors that a task contracts and ships at once.
 LOT = 1 << 20
-#: Text of the documents whose windows are compared before shipping.
-LOCAL_BYTES = 8 << 20
 #: Prefixes that can be lengthened, at most; a prefix is too common above this share of all anchors, or GROUP_LIMIT.
 MAX_COMMON = 100_000
 GROUP_LIMIT = 20_000
@@ -175,18 +173,28 @@ def repeated_prefixes(docs: DataFrame, window: int, prefix: int, group_limit: in
     return docs.mapInArrow(ship, _SHIPPED).repartition(buckets, "bucket").mapInArrow(meet, "doc_id long, spots binary, keys binary")
 
 
+def _numbered(values: np.ndarray) -> np.ndarray:
+    """The place of each value among the distinct ones, in sorted order."""
+    order = np.argsort(values)
+    new = np.zeros(len(values), dtype=np.uint64)
+    new[1:] = values[order[1:]] != values[order[:-1]]
+    out = np.empty(len(values), dtype=np.uint64)
+    out[order] = np.cumsum(new)
+    return out
+
+
 def tree_repeats(code: np.ndarray, starts: np.ndarray, window: int, doc: np.ndarray, spot: np.ndarray) -> np.ndarray:
     """Of the suffixes at ``starts``, those that share their first ``window`` words with one of a smaller (doc, spot).
 
     ``code`` are the words of all runs. The node of each suffix at depths 1, 2, 4, ... and then ``window`` is the number
     of its prefix of that many words in sorted order; suffixes of one node at depth ``window`` are the leaves below it.
     """
-    node = np.unique(code, return_inverse=True)[1]
+    node = _numbered(code)
     depth = 1
     while depth < window:
         step = min(depth, window - depth)
-        pair = node[: len(node) - step] * (int(node.max(initial=0)) + 1) + node[step:]
-        node = np.unique(pair, return_inverse=True)[1]
+        # Numbers of both halves in one: the count of positions is far below 2^32.
+        node = _numbered((node[: len(node) - step] << np.uint64(32)) | node[step:])
         depth += step
     own = node[starts]
     order = np.lexsort((spot, doc, own))
@@ -203,7 +211,7 @@ def _rest(docs: DataFrame, common: np.ndarray, window: int, prefix: int) -> Data
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = batch.column(2)
-            for first_row, after, data, offsets in blocks(batch.column(1), LOCAL_BYTES):
+            for first_row, after, data, offsets in blocks(batch.column(1)):
                 ids = batch.column(0).slice(first_row, after - first_row).to_numpy()
                 starts, ends, first = words(data, offsets)
                 code = codes(data, starts, ends)
@@ -251,23 +259,27 @@ def _rest(docs: DataFrame, common: np.ndarray, window: int, prefix: int) -> Data
                 )
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: list[np.ndarray] = []
         parts: list[tuple[np.ndarray, ...]] = []
+        total = 0
         for batch in batches:
             own = batch.filter(pa.compute.is_valid(batch.column(1)))
             if own.num_rows:
                 yield pa.RecordBatch.from_arrays([own.column(1), own.column(2)], ["doc_id", "spots"])
-            texts.append(_column(batch, "text", np.uint8))
-            parts.append((_column(batch, "docs", np.int64), *(_column(batch, n, np.int32).astype(np.int64) for n in ("firsts", "counts", "bounds"))))
-        if not sum(map(len, texts)):
+            shipped = batch.filter(pa.compute.is_null(batch.column(1)))
+            for text, docs_, firsts, counts, bounds in zip(*(shipped.column(_FIELDS.index(f)) for f in ("text", "docs", "firsts", "counts", "bounds"))):
+                # Only word codes are kept of each shipped row.
+                data = _read(text, np.uint8)
+                starts, ends, first = words(data, np.append(0, np.cumsum(_read(bounds, np.int32))))
+                size = _read(counts, np.int32).astype(np.int64)
+                code = codes(data, starts, ends)
+                doc, spot = np.repeat(_read(docs_, np.int64), size), ranges(_read(firsts, np.int32).astype(np.int64), size)
+                parts.append((code, total + ranges(first[:-1], size), doc, spot.astype(np.int32)))
+                total += len(code)
+        if not parts:
             return
-        data = np.concatenate(texts)
-        doc, spot, size, length = (np.concatenate(x) for x in zip(*parts))
-        bounds = np.append(0, np.cumsum(length))
-        starts, ends, first = words(data, bounds)
-        where = ranges(first[:-1], size)
-        doc, spot = np.repeat(doc, size), ranges(spot, size)
-        found = tree_repeats(codes(data, starts, ends), where, window, doc, spot)
+        code, where, doc, spot = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
+        found = tree_repeats(code, where, window, doc, spot)
         for rows in _by_document(doc[found], spot[found], buckets):
             yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(2)], ["doc_id", "spots"])
 

@@ -30,6 +30,12 @@ RUN = r"[A-Za-z0-9+/_-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 SIDE = len(ALPHABET) + 1
 
+#: Upper case, lower case, digits, and the rest (also what is outside the alphabet): how many characters each has.
+CLASSES = (26, 26, 10, 5)
+_CLASS = [3] + [0] * 26 + [1] * 26 + [2] * 10 + [3] * 4
+#: Weight of the classes' transitions, in samples.
+PRIOR = 20.0
+
 MIN_RATIO = 12.0
 MIN_MEAN = 0.7
 
@@ -95,7 +101,7 @@ def samples(based: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame) -> list[float]:
-    """Log-likelihood ratio of each transition, random over ordinary, from (label, sample) rows; add-one smoothing.
+    """Log-likelihood ratio of each transition, random over ordinary, from (label, sample) rows.
 
     Counts are summed on Spark; ``2 * SIDE ** 2`` rows at most reach the driver.
     """
@@ -107,9 +113,16 @@ def train(labelled: DataFrame) -> list[float]:
         return [0.0] * SIDE**2
     logs = []
     for own in counts:
+        # A transition that is rare in the samples is as likely as its classes of characters make it.
+        classes = [[1] * len(CLASSES) for _ in CLASSES]
+        for i, n in enumerate(own):
+            classes[_CLASS[i // SIDE]][_CLASS[i % SIDE]] += n
         sums = [sum(own[a * SIDE : (a + 1) * SIDE]) for a in range(SIDE)]
-        logs.append([log((own[i] + 1) / (sums[i // SIDE] + SIDE)) for i in range(SIDE**2)])
-    return [r - o for r, o in zip(logs[1], logs[0])]
+        for i, n in enumerate(own):
+            row, to = classes[_CLASS[i // SIDE]], _CLASS[i % SIDE]
+            prior = row[to] / sum(row) / CLASSES[to]
+            logs.append(log((n + PRIOR * prior) / (sums[i // SIDE] + PRIOR)))
+    return [r - o for r, o in zip(logs[SIDE**2 :], logs[: SIDE**2])]
 
 
 def with_secrets(docs: DataFrame, model: list[float]) -> DataFrame:
@@ -136,8 +149,9 @@ def listed(spans: str) -> Column:
 
 
 def redacted(docs: DataFrame, model: list[float], mark: str = "[secret]") -> DataFrame:
-    """``docs`` with each secret replaced by ``mark``; overlapping spans are replaced as one."""
-    found = with_secrets(docs, model)
+    """``docs`` with each secret replaced by ``mark``; overlapping spans are replaced as one. Other columns pass as they are."""
+    carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    found = with_secrets(carried, model)
 
     def merge(done: Column, span: Column) -> Column:
         last = F.element_at(done, -1)
@@ -154,5 +168,5 @@ def redacted(docs: DataFrame, model: list[float], mark: str = "[secret]") -> Dat
     return (
         found.withColumn("_merged", F.when(F.size("_spans") > 0, merged))
         .withColumn("text", F.when(F.size("_merged") > 0, F.array_join(pieces, mark)).otherwise(text))
-        .select(*docs.columns)
+        .select(F.col("row").withField("text", F.col("text")).alias("row")).select("row.*")
     )
