@@ -38,16 +38,17 @@ LOT = 1 << 20
 MAX_COMMON = 100_000
 GROUP_LIMIT = 20_000
 
-_SHIPPED = "bucket int, doc_id long, spots binary, keys binary, docs binary, firsts binary, counts binary, text binary, bounds binary"
+#: Places of documents: a lot has the documents of one bucket, as differences, and a place for each.
+_LOTS = "bucket int, docs binary, spots binary"
+_SHIPPED = "bucket int, spots binary, keys binary, docs binary, firsts binary, counts binary, text binary, bounds binary"
 _FIELDS = [f.split()[0] for f in _SHIPPED.split(", ")]
 
 
 def _row(**given) -> pa.RecordBatch:
     """Rows of ``_SHIPPED``: ``bucket`` and other columns as arrays, the rest null."""
     n = len(given["bucket"])
-    kinds = {"bucket": pa.int32(), "doc_id": pa.int64()}
     return pa.RecordBatch.from_arrays(
-        [x if isinstance(x := given.get(f), pa.Array) else pa.array(x if x is not None else [None] * n, kinds.get(f, pa.binary())) for f in _FIELDS],
+        [x if isinstance(x := given.get(f), pa.Array) else pa.array(x if x is not None else [None] * n, pa.binary()) for f in _FIELDS],
         _FIELDS,
     )
 
@@ -76,30 +77,57 @@ def anchored(code: np.ndarray, first: np.ndarray, window: int, prefix: int) -> t
     return start, place, key
 
 
-def _by_document(doc: np.ndarray, spots: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """One row of places for each document."""
-    if not len(doc):
-        return
-    order = np.lexsort((spots, doc))
-    doc, spots = doc[order], spots[order].astype(np.int32)
-    new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    names, bounds = doc[new], np.append(new, len(doc))
-    for at in range(0, len(names), 5000):
-        some = slice(at, at + 5000)
-        own = bounds[at : at + len(names[some]) + 1]
+def _steps(docs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, from 0 at each of ``at``: small numbers, which compress."""
+    out = np.diff(docs, prepend=0).astype(np.int64)
+    out[at] = docs[at]
+    return out
+
+
+def _lots(doc: np.ndarray, spots: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Lots of places, one for each bucket of documents."""
+    if len(doc):
+        home = doc % buckets
+        order = np.lexsort((spots, doc, home))
+        at = np.searchsorted(home[order], np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(at))
+        span = np.append(at[full], len(doc))
         yield _row(
-            bucket=pa.array((names[some] % buckets).astype(np.int32)), doc_id=pa.array(names[some]),
-            spots=binary_column(spots[own[0] : own[-1]], own - own[0]),
+            bucket=pa.array(full.astype(np.int32)), docs=binary_column(_steps(doc[order], at[full]), span),
+            spots=binary_column(spots[order].astype(np.int32), span),
         )
 
 
+def _only_lots(rows: pa.RecordBatch) -> pa.RecordBatch:
+    return rows.select(["bucket", "docs", "spots"])
+
+
+def gathered(lots: DataFrame, name: str) -> DataFrame:
+    """(doc_id, ``name``): all places of each document."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(np.empty(0, np.int64), np.empty(0, np.int32))]
+        for batch in batches:
+            parts += [(np.cumsum(_read(d, np.int64)), _read(s, np.int32)) for d, s in zip(batch.column(0), batch.column(1))]
+        doc, spot = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(doc, kind="stable")
+        doc, spot = doc[order], spot[order]
+        bounds = _groups(doc)
+        for at in range(0, len(bounds) - 1, 5000):
+            own = bounds[at : at + 5001]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[own[:-1]]), binary_column(spot[own[0] : own[-1]], own - own[0])], ["doc_id", name])
+
+    spread = lots.repartition(partitions(lots.sparkSession), "bucket").select("docs", "spots")
+    return spread.mapInArrow(gather, f"doc_id long, {name} binary")
+
+
 def _groups(values: np.ndarray) -> np.ndarray:
     """Bounds of runs of equal values."""
     return np.append(np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else [], len(values)).astype(np.int64)
 
 
 def repeated_prefixes(docs: DataFrame, window: int, prefix: int, group_limit: int, common_share: float) -> DataFrame:
-    """(doc_id, spots) of the anchors that occur more than once, and (null, keys) of prefixes that are too common.
+    """Lots of the anchors that occur more than once, and rows of ``keys`` with the prefixes that are too common.
 
     ``common_share`` is the share of a bucket's anchors above which a prefix counts as too common.
     """
@@ -117,19 +145,16 @@ def repeated_prefixes(docs: DataFrame, window: int, prefix: int, group_limit: in
             lead, count = bounds[:-1], np.diff(bounds)
             rest = np.ones(len(key), dtype=bool)
             rest[lead] = False
-            yield from _by_document(doc[rest], spot[rest], buckets)
+            yield from _lots(doc[rest], spot[rest], buckets)
             key, doc, spot = key[lead], doc[lead], spot[lead]
             home = (key % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((spot, doc, home))
             at = np.searchsorted(home[order], np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(at))
             span = np.append(at[full], len(key))
-            doc = doc[order]
-            step = np.diff(doc, prepend=0)
-            step[at[full]] = doc[at[full]]
             pack = lambda x: binary_column(x[order], span)
             yield _row(
-                bucket=pa.array(full.astype(np.int32)), keys=pack(key), docs=binary_column(step.astype(np.int64), span),
+                bucket=pa.array(full.astype(np.int32)), keys=pack(key), docs=binary_column(_steps(doc[order], at[full]), span),
                 firsts=pack(spot.astype(np.int32)), counts=pack(count.astype(np.int32)),
             )
 
@@ -149,12 +174,14 @@ def repeated_prefixes(docs: DataFrame, window: int, prefix: int, group_limit: in
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)]
         for batch in batches:
-            own = batch.filter(pa.compute.is_valid(batch.column(1)))
-            if own.num_rows:
-                yield pa.RecordBatch.from_arrays([own.column(1), own.column(2), pa.nulls(own.num_rows, pa.binary())], ["doc_id", "spots", "keys"])
-            docs_ = [np.cumsum(_read(v, np.int64)) for v in batch.column(4) if v.is_valid]
+            lots = batch.filter(pa.compute.is_valid(batch["spots"]))
+            if lots.num_rows:
+                yield pa.RecordBatch.from_arrays([*_only_lots(lots).columns, pa.nulls(lots.num_rows, pa.binary())], names)
+            batch = batch.filter(pa.compute.is_null(batch["spots"]))
+            docs_ = [np.cumsum(_read(v, np.int64)) for v in batch["docs"]]
             if docs_:
-                parts.append((_column(batch, "keys", np.uint64), np.concatenate(docs_), _column(batch, "firsts", np.int32).astype(np.int64), _column(batch, "counts", np.int32).astype(np.int64)))
+                counts = (_column(batch, n, np.int32).astype(np.int64) for n in ("firsts", "counts"))
+                parts.append((_column(batch, "keys", np.uint64), np.concatenate(docs_), *counts))
         key, doc, spot, count = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(key, kind="stable")
         key, doc, spot, count = key[order], doc[order], spot[order], count[order]
@@ -162,15 +189,14 @@ def repeated_prefixes(docs: DataFrame, window: int, prefix: int, group_limit: in
         if len(key):
             sums = np.add.reduceat(count, bounds[:-1])
             again = np.repeat(sums > 1, np.diff(bounds))
-            for rows in _by_document(doc[again], spot[again], buckets):
-                yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), pa.nulls(rows.num_rows, pa.binary())], ["doc_id", "spots", "keys"])
+            for rows in _lots(doc[again], spot[again], buckets):
+                yield pa.RecordBatch.from_arrays([*_only_lots(rows).columns, pa.nulls(rows.num_rows, pa.binary())], names)
             common = key[bounds[:-1]][sums > max(group_limit, common_share * int(sums.sum()))]
             if len(common):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([common.tobytes()], pa.binary())], ["doc_id", "spots", "keys"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.binary())] * 2, pa.array([common.tobytes()], pa.binary())], names)
 
-    return docs.mapInArrow(ship, _SHIPPED).repartition(buckets, "bucket").mapInArrow(meet, "doc_id long, spots binary, keys binary")
+    names = ["bucket", "docs", "spots", "keys"]
+    return docs.mapInArrow(ship, _SHIPPED).repartition(buckets, "bucket").mapInArrow(meet, f"{_LOTS}, keys binary")
 
 
 def _numbered(values: np.ndarray) -> np.ndarray:
@@ -205,7 +231,7 @@ def tree_repeats(code: np.ndarray, starts: np.ndarray, window: int, doc: np.ndar
 
 
 def _rest(docs: DataFrame, common: np.ndarray, window: int, prefix: int) -> DataFrame:
-    """(doc_id, spots): starts of the windows to remove, from (doc_id, text, marks) rows with their repeated anchors."""
+    """Lots of the starts of the windows to remove, from (doc_id, text, marks) rows with their repeated anchors."""
     buckets = partitions(docs.sparkSession)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,9 +244,8 @@ def _rest(docs: DataFrame, common: np.ndarray, window: int, prefix: int) -> Data
                 start, place, key = anchored(code, first, window, prefix)
                 wanted = np.zeros(len(code) + 1, dtype=bool)
                 for row in range(after - first_row):
-                    for lot in marks[first_row + row].values:
-                        spots = first[row] + _read(lot, np.int32)
-                        wanted[spots[spots < first[row + 1]]] = True
+                    spots = first[row] + _read(marks[first_row + row], np.int32)
+                    wanted[spots[spots < first[row + 1]]] = True
                 use = wanted[place]
                 start, place = start[use], place[use]
                 if not len(start):
@@ -237,7 +262,7 @@ def _rest(docs: DataFrame, common: np.ndarray, window: int, prefix: int) -> Data
                 later[order[same & ~equal]] = True
                 skip = np.zeros(len(start), dtype=bool)
                 skip[order[same]] = True
-                yield from _by_document(doc[later], spot[later], buckets)
+                yield from _lots(doc[later], spot[later], buckets)
                 # Runs: neighbouring windows of one anchor. Those of too common prefixes stand alone under all their words.
                 start, place, doc, spot = start[~skip], place[~skip], doc[~skip], spot[~skip]
                 lone = np.isin(key[place], common)
@@ -262,11 +287,11 @@ def _rest(docs: DataFrame, common: np.ndarray, window: int, prefix: int) -> Data
         parts: list[tuple[np.ndarray, ...]] = []
         total = 0
         for batch in batches:
-            own = batch.filter(pa.compute.is_valid(batch.column(1)))
-            if own.num_rows:
-                yield pa.RecordBatch.from_arrays([own.column(1), own.column(2)], ["doc_id", "spots"])
-            shipped = batch.filter(pa.compute.is_null(batch.column(1)))
-            for text, docs_, firsts, counts, bounds in zip(*(shipped.column(_FIELDS.index(f)) for f in ("text", "docs", "firsts", "counts", "bounds"))):
+            lots = batch.filter(pa.compute.is_valid(batch["spots"]))
+            if lots.num_rows:
+                yield _only_lots(lots)
+            shipped = batch.filter(pa.compute.is_null(batch["spots"]))
+            for text, docs_, firsts, counts, bounds in zip(*(shipped[f] for f in ("text", "docs", "firsts", "counts", "bounds"))):
                 # Only word codes are kept of each shipped row.
                 data = _read(text, np.uint8)
                 starts, ends, first = words(data, np.append(0, np.cumsum(_read(bounds, np.int32))))
@@ -280,10 +305,10 @@ def _rest(docs: DataFrame, common: np.ndarray, window: int, prefix: int) -> Data
         code, where, doc, spot = (np.concatenate(x) for x in zip(*parts))
         parts.clear()
         found = tree_repeats(code, where, window, doc, spot)
-        for rows in _by_document(doc[found], spot[found], buckets):
-            yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(2)], ["doc_id", "spots"])
+        for rows in _lots(doc[found], spot[found], buckets):
+            yield _only_lots(rows)
 
-    return docs.mapInArrow(ship, _SHIPPED).repartition(buckets, "bucket").mapInArrow(settle, "doc_id long, spots binary")
+    return docs.mapInArrow(ship, _SHIPPED).repartition(buckets, "bucket").mapInArrow(settle, _LOTS)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_limit: int = GROUP_LIMIT) -> DataFrame:
@@ -294,11 +319,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     marked = staged(repeated_prefixes(keyed, window, prefix, group_limit, partitions(spark) / MAX_COMMON))
     # At most MAX_COMMON prefixes can each hold more than that share of a bucket.
     common = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in marked.where("keys is not null").collect())])
-    marks = marked.where("keys is null").groupBy("doc_id").agg(F.collect_list("spots").alias("marks"))
+    marks = gathered(marked.where("keys is null"), "marks")
     # Both joins below read the same shuffled texts.
     spread = keyed.repartition(partitions(spark), "doc_id")
     removed = _rest(spread.join(marks, "doc_id").select("doc_id", "text", "marks"), common, window, prefix)
-    cuts = removed.groupBy("doc_id").agg(F.collect_list("spots").alias("cuts"))
+    cuts = gathered(removed, "cuts")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,11 +332,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
                 starts, ends, first = words(data, offsets)
                 gone = np.zeros(len(starts) + 1, dtype=np.int64)
                 for row in range(after - first_row):
-                    if cuts_[first_row + row].is_valid:
-                        for lot in cuts_[first_row + row].values:
-                            spots = first[row] + _read(lot, np.int32)
-                            np.add.at(gone, spots[spots < first[row + 1]], 1)
-                            np.add.at(gone, np.minimum(spots + window, first[row + 1])[spots < first[row + 1]], -1)
+                    spots = first[row] + _read(cuts_[first_row + row], np.int32)
+                    spots = spots[spots < first[row + 1]]
+                    np.add.at(gone, spots, 1)
+                    np.add.at(gone, np.minimum(spots + window, first[row + 1]), -1)
                 stay = np.cumsum(gone)[:-1] == 0
                 count = np.diff(first)
                 left = np.diff(np.append(0, np.cumsum(stay))[first])
@@ -328,7 +352,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
                 )
 
     kept = spread.join(cuts, "doc_id", "left").select("doc_id", "text", "cuts").unionAll(
-        source.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("cuts"))
+        source.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("binary").alias("cuts"))
     )
     out = kept.mapInArrow(keep, "doc_id long, n_words long, n_removed long, text binary")
     text = F.col("text").cast("string")
