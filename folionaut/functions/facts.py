@@ -55,6 +55,8 @@ LABELS = CURRENCY_FIELDS | PERCENT_FIELDS | NUMBER_FIELDS
 AMOUNT = r"\s*[:=]?\s*[€$£¥]?\s*(?:[0-9][0-9.,]*[0-9]|[0-9])\s*(?:EUR|USD|GBP|JPY|€|\$|£|¥)?"
 PERCENT = r"\s*[:=]?\s*\d+(?:[.,]\d+)?\s*%"
 NUMBER = r"\s*[:=]?\s*[#v]?\d+(?:[.,]\d+)*"
+# A number without a unit takes the white space after it, unless a multiplication sign would follow.
+AFTER_NUMBER = r"(?:\s*(?!x))?"
 
 
 def _any(words) -> str:
@@ -66,7 +68,7 @@ LABELLED = (
     + "|".join(
         [_any(CURRENCY_FIELDS) + AMOUNT, _any(PERCENT_FIELDS) + PERCENT]
         + [rf"{label}{NUMBER}(?:\s*(?:{units})\b)?" for label, units in UNITS.items()]
-        + [_any(name for name in NUMBER_FIELDS if name not in UNITS) + NUMBER]
+        + [_any(name for name in NUMBER_FIELDS if name not in UNITS) + NUMBER + AFTER_NUMBER]
     )
     + ")"
 )

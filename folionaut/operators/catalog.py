@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folionaut.operators.vocabulary import MAX_PAGE
+from folionaut.settings import bounded
+
 
 def status_counts(sources: DataFrame) -> DataFrame:
     return sources.filter(F.col("deleted_at").isNull()).groupBy("status").agg(F.count("*").alias("sources"))
@@ -32,7 +35,7 @@ def list_files(
         found = found.filter(F.col("path").startswith(path_prefix))
     if status:
         found = found.filter(F.col("status") == status)
-    return found.orderBy("filename", "source_id").offset(max(offset, 0)).limit(min(max(limit, 1), 10000))
+    return found.orderBy("filename", "source_id").offset(max(offset, 0)).limit(bounded("limit", limit, MAX_PAGE))
 
 
 def manifest(sources: DataFrame) -> DataFrame:

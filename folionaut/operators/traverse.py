@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folionaut.functions.names import host_normalize_name
+from folionaut.functions.names import normalize_name
 from folionaut.operators.durable import durable
 from folionaut.plans.requests import GraphRequest
 from folionaut.settings import FolioError
@@ -28,12 +28,10 @@ def find_entities(known: DataFrame, request: GraphRequest) -> DataFrame:
     if request.source_id:
         found = found.filter(F.col("source_id") == request.source_id)
     if request.symbol:
-        symbol = host_normalize_name(request.symbol)
+        symbol = normalize_name(F.lit(request.symbol))
         if request.action == "find":
-            wanted = symbol.lower()
-            found = found.filter(
-                F.contains(F.lower("name"), F.lit(wanted)) | F.contains(F.lower("qualified_name"), F.lit(wanted))
-            )
+            wanted = F.lower(symbol)
+            found = found.filter(F.contains(F.lower("name"), wanted) | F.contains(F.lower("qualified_name"), wanted))
         else:
             module_name = F.concat_ws(".", "module_key", "qualified_name")
             found = found.filter((F.col("name") == symbol) | (F.col("qualified_name") == symbol) | (module_name == symbol))

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folionaut.functions.text import candidate_terms
+from folionaut.settings import bounded
+
+#: Rows of one page of a listing, at most.
+MAX_PAGE = 10_000
 
 
 def keyword_links(chunks: DataFrame) -> DataFrame:
@@ -25,4 +29,4 @@ def keyword_frequencies(links: DataFrame) -> DataFrame:
 def list_keywords(frequencies: DataFrame, contains: str = "", limit: int = 50, offset: int = 0) -> DataFrame:
     wanted = frequencies.filter(F.contains("term", F.lit(contains.lower()))) if contains else frequencies
     ordered = wanted.orderBy(F.desc("chunk_frequency"), "term")
-    return ordered.offset(max(offset, 0)).limit(min(max(limit, 1), 10000))
+    return ordered.offset(max(offset, 0)).limit(bounded("limit", limit, MAX_PAGE))

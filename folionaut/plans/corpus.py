@@ -96,7 +96,7 @@ def _document_results(name: str, member: CorpusCollection, request: CorpusQuery,
 def corpus_query(collections: dict[str, CorpusCollection], request: CorpusQuery, settings: Settings = Settings()) -> CorpusAnswer:
     """Ranks inside each collection are merged; raw scores of different collections are never compared."""
     names = list(dict.fromkeys(request.collections if request.collections is not None else sorted(collections)))
-    limit = min(request.limit, settings.max_top_k)
+    limit = settings.limit(request.limit)
     answer, merged = CorpusAnswer(None), None
     for name in names:
         member = collections.get(name)

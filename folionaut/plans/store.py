@@ -135,7 +135,7 @@ class Collection:
         chunks = chunk_documents(
             documents, size, overlap, code=F.col("extractor").startswith("source_code"), keep=("source_id", "filename", "extension", "path")
         )
-        order = F.concat_ws(":", F.lpad(F.lit(str(batch)), 20, "0"), "source_id", F.lpad(F.col("chunk_index").cast("string"), 8, "0"))
+        order = F.concat_ws(":", F.lpad(F.lit(str(batch)), 20, "0"), "source_id", F.lpad(F.col("chunk_index").cast("string"), 19, "0"))
         # The indexed length stays with the chunk, so collection statistics read one narrow column.
         keyed = chunks.withColumn("seq", order).withColumn("chunk_id", stable_id(F.col("seq")))
         keyed.withColumn("length", bm25.token_total(bm25.TEXT_COLUMNS)).write.mode("overwrite").parquet(folder["chunks"])
@@ -199,11 +199,15 @@ class Collection:
             )
         )
 
-    def prune_missing(self, files: DataFrame) -> None:
-        """Sources whose file is gone lose their rows and become ``missing``."""
+    def prune_missing(self, files: DataFrame, root: str) -> None:
+        """Sources below ``root`` whose file is not in its listing lose their rows and become ``missing``.
+
+        Other roots, uploads and removed sources stay as they are.
+        """
         seen = files.select("path", F.lit(True).alias("_seen")).distinct()
         marked = self.sources().join(seen, "path", "left")
-        kept = F.col("_seen").isNotNull()
+        inside = F.startswith("path", F.lit(root.removeprefix("file:").rstrip("/") + "/"))
+        kept = F.col("_seen").isNotNull() | ~inside | F.col("deleted_at").isNotNull()
         self._commit_sources(
             marked.withColumns({"status": F.when(kept, F.col("status")).otherwise("missing"), "batch": F.when(kept, F.col("batch"))})
             .drop("_seen").select(*[part.split(" ")[0] for part in SOURCE_DDL.split(", ")])

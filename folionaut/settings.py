@@ -37,4 +37,12 @@ class Settings:
     locale: str = "en"
 
     def limit(self, top_k: int | None) -> int:
-        return min(top_k or self.default_top_k, self.max_top_k)
+        """The asked number of results. More than ``max_top_k`` is refused rather than cut."""
+        return bounded("top_k", top_k or self.default_top_k, self.max_top_k)
+
+
+def bounded(name: str, value: int, most: int) -> int:
+    """``value`` if it lies in 1..most; an error otherwise."""
+    if not 1 <= value <= most:
+        raise FolioError("LIMIT_OUT_OF_RANGE", f"{name} is {value}; it must lie between 1 and {most}")
+    return value

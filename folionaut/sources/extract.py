@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree.ElementTree import ParseError
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from folionaut.operators.chunking import BLOCKS
 from folionaut.settings import FolioError
 from folionaut.sources.archives import READERS
-from folionaut.sources.bytes import lenient_text, strict_text
+from folionaut.sources.bytes import any_text, certain_text
 from folionaut.sources.markup import markdown_blocks, read_markdown, read_page
 from folionaut.sources.pdftext import shown_text
 from folionaut.sources.plaintext import CODE_SUFFIXES, TEXT_SUFFIXES, code_blocks, delimited_rows, complete, markdown_text, plain_blocks
@@ -22,7 +24,10 @@ RESULT = f"struct<text:string,blocks:{BLOCKS},title:string,extractor:string,erro
 MARKDOWN_SUFFIXES = ("md", "markdown")
 HTML_SUFFIXES = ("html", "htm")
 SUPPORTED = (*TEXT_SUFFIXES, *CODE_SUFFIXES, *MARKDOWN_SUFFIXES, *HTML_SUFFIXES, *READERS, "pdf")
-EXPECTED_ERRORS = (FolioError, zipfile.BadZipFile, ParseError, UnicodeError, KeyError, ValueError, IndexError, StopIteration)
+# What a damaged, encrypted or endlessly nested file can raise; such a file is marked and the others go on.
+EXPECTED_ERRORS = (
+    FolioError, zipfile.BadZipFile, zlib.error, csv.Error, ParseError, UnicodeError, LookupError, ValueError, StopIteration, RuntimeError, EOFError,
+)
 
 
 def _structured(data: bytes, suffix: str) -> dict:
@@ -34,7 +39,7 @@ def _structured(data: bytes, suffix: str) -> dict:
         if not text.strip():
             raise FolioError("EXTRACTION_FAILED", "no text found")
         return {"blocks": read_markdown(text), "extractor": "pdf_text"}
-    text = lenient_text(data)
+    text = any_text(data)
     if suffix in MARKDOWN_SUFFIXES:
         return {"blocks": read_markdown(text), "extractor": "markdown"}
     if suffix in HTML_SUFFIXES:
@@ -48,12 +53,12 @@ def read_content(data: bytes, suffix: str, sniff: bool) -> dict:
     """Blocks, or for plain text and source code the text that Spark cuts itself."""
     try:
         if suffix in CODE_SUFFIXES:
-            return {"text": lenient_text(data), "extractor": "source_code"}
+            return {"text": any_text(data), "extractor": "source_code"}
         if suffix in TEXT_SUFFIXES and suffix not in ("csv", "tsv"):
-            return {"text": lenient_text(data), "extractor": "text"}
+            return {"text": any_text(data), "extractor": "text"}
         if suffix in SUPPORTED:
             return _structured(data, suffix)
-        text = strict_text(data) if sniff else None
+        text = certain_text(data) if sniff else None
         if text is None:
             return {"error": f"unsupported: {suffix or '(none)'}"}
         return {"text": text, "extractor": "source_code_text_sniff"}

@@ -140,7 +140,7 @@ def html_page(html: Column) -> Column:
 
     @F.pandas_udf(PAGE_TYPE)
     def pages(batch: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_page(page) for page in batch], columns=["title", "blocks"])
+        return pd.DataFrame([read_page(page or "") for page in batch], columns=["title", "blocks"])
 
     return pages(html)
 
@@ -265,6 +265,6 @@ def read_markdown(text: str) -> list[dict]:
 def markdown_blocks(text: Column) -> Column:
     @F.pandas_udf(BLOCKS)
     def blocks(batch: pd.Series) -> pd.Series:
-        return batch.map(read_markdown)
+        return batch.map(lambda value: None if value is None else read_markdown(value))
 
     return blocks(text)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import sys
 
 import pandas as pd
 from pyspark.sql import Column
@@ -111,6 +112,8 @@ def code_blocks(text: Column) -> Column:
 
 
 def delimited_rows(text: str, delimiter: str) -> list[dict]:
+    # Fields may be of any length; a worker process reads nothing else with this module.
+    csv.field_size_limit(sys.maxsize)
     reader = csv.reader(io.StringIO(text), delimiter=delimiter)
     header = next(reader, [])
     out = []
@@ -127,7 +130,7 @@ def delimited_blocks(text: Column, delimiter: str = ",") -> Column:
 
     @F.pandas_udf(BLOCKS)
     def parse(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda value: [complete(b) for b in delimited_rows(value, delimiter)])
+        return batch.map(lambda value: None if value is None else [complete(b) for b in delimited_rows(value, delimiter)])
 
     return parse(text)
 

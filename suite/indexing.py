@@ -235,13 +235,40 @@ facts AS (
 @query(
     "facts_of_line_items",
     "WITH" + LABELLED_SQL + """ SELECT l_orderkey, l_linenumber, field, number::DOUBLE AS normalized_number, day AS normalized_date_utc,
-    currency AS currency_code, unit, start::BIGINT AS char_start FROM facts""",
+    currency AS currency_code, unit, start::BIGINT AS char_start,
+    (start + length(regexp_extract(substr(text, start + 1),
+       '^(Price: €[0-9.]+|quantity [0-9]+|discount [0-9]+%|tax [0-9]+ %|Weight [0-9]+kg|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]+ [A-Z][a-z]+ [0-9]{4})')))::BIGINT AS char_end FROM facts""",
 )
 def facts_of_line_items(spark, folder):
     facts = extract_facts(labelled_lines(spark, folder))
     return facts.select(
         "l_orderkey", "l_linenumber", "field", "normalized_number", "normalized_date_utc", "currency_code", "unit",
-        F.col("char_start").cast("bigint").alias("char_start"),
+        F.col("char_start").cast("bigint").alias("char_start"), F.col("char_end").cast("bigint").alias("char_end"),
+    )
+
+
+@query(
+    "number_fact_spans",
+    """WITH src AS (
+      SELECT l_orderkey, l_linenumber, l_quantity::INTEGER AS q,
+             printf('Rating %d stars, count: %d x 2, rank #%d  of many, score %d', l_linenumber::INTEGER, l_quantity::INTEGER, l_linenumber::INTEGER, l_quantity::INTEGER) AS text
+      FROM lineitem),
+    named AS (
+      SELECT *, unnest([{'field': 'rating', 'raw': regexp_extract(text, 'Rating [0-9]+'), 'n': l_linenumber::DOUBLE, 'more': 1},
+                        {'field': 'count', 'raw': regexp_extract(text, 'count: [0-9]+'), 'n': q::DOUBLE, 'more': 0},
+                        {'field': 'rank', 'raw': regexp_extract(text, 'rank #[0-9]+'), 'n': l_linenumber::DOUBLE, 'more': 2},
+                        {'field': 'score', 'raw': regexp_extract(text, 'score [0-9]+'), 'n': q::DOUBLE, 'more': 0}]) AS f FROM src)
+    SELECT l_orderkey, l_linenumber, f.field AS field, f.raw AS raw_value, f.n AS normalized_number,
+           (strpos(text, f.raw) - 1)::BIGINT AS char_start, (strpos(text, f.raw) - 1 + length(f.raw) + f.more)::BIGINT AS char_end FROM named""",
+)
+def number_fact_spans(spark, folder):
+    """Spans of plain numbers reach over the white space that follows, but not to a multiplication sign."""
+    n, q = F.col("l_linenumber").cast("int"), F.col("l_quantity").cast("int")
+    text = F.format_string("Rating %d stars, count: %d x 2, rank #%d  of many, score %d", n, q, n, q)
+    facts = extract_facts(table(spark, folder, "lineitem", "l_orderkey").select("l_orderkey", "l_linenumber", text.alias("text")))
+    return facts.select(
+        "l_orderkey", "l_linenumber", "field", "raw_value", "normalized_number",
+        F.col("char_start").cast("bigint").alias("char_start"), F.col("char_end").cast("bigint").alias("char_end"),
     )
 
 

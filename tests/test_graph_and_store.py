@@ -140,7 +140,7 @@ def test_collection_follows_its_files(spark, tmp_path):
     collection.compact()
     assert set(names_of(collection, "table lamp")) == {"a.md", "b.txt"}
     (folder / "b.txt").unlink()
-    collection.prune_missing(read_files(spark, str(folder)))
+    collection.prune_missing(read_files(spark, str(folder)), str(folder))
     assert {r["filename"]: r["status"] for r in collection.sources().collect()}["b.txt"] == "missing"
     assert names_of(collection, "table lamp") == ["a.md"]
     collection.remove([after["a.md"]["source_id"]])

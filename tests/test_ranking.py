@@ -70,12 +70,17 @@ def test_fusion_equals_full_ranking(spark, partitions):
     assert [r["score"] for r in got] == pytest.approx([fused[n] for n in expected], abs=1e-12)
 
 
-def test_vectors_of_another_width_are_left_out(spark):
-    frame = spark.createDataFrame([(1, [0.0, 3.0]), (2, [1.0]), (3, None), (4, [4.0, 0.0])], "seq long, embedding array<float>")
-    got = {r["seq"]: r["vector_score"] for r in vector.vector_scores(frame, [0.0, 0.0]).collect()}
-    assert got == pytest.approx({1: 0.25, 4: 0.2})
-    same = vector.cosine_similarities(frame.filter("seq <> 3"), [0.0, 0.0])
-    assert same.count() == 0  # a zero query has no direction
+def test_unusable_vectors_end_the_job_or_are_left_out_on_request(spark):
+    frame = spark.createDataFrame(
+        [(1, [0.0, 3.0]), (2, [1.0]), (3, None), (4, [4.0, 0.0]), (5, [float("nan"), 1.0])], "seq long, embedding array<float>"
+    )
+    for unusable in (2, 3, 5):
+        with pytest.raises(Exception, match="vectors of a batch"):
+            vector.vector_scores(frame.filter(f"seq in (1, {unusable})"), [0.0, 0.0]).collect()
+    got = {r["seq"]: r["distance"] for r in vector.l2_distances(frame, [0.0, 0.0], skip_unusable=True).collect()}
+    assert got == pytest.approx({1: 3.0, 4: 4.0})
+    same = vector.cosine_similarities(frame.filter("seq in (1, 4)"), [0.0, 0.0])
+    assert [r["similarity"] for r in same.collect()] == [None, None]  # a zero query has no direction
 
 
 OPERATORS = [

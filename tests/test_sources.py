@@ -89,15 +89,19 @@ def test_plain_lines_use_every_line_break(spark):
     assert [(r["text"], r["line_start"]) for r in frame.collect()] == expected
 
 
-@pytest.mark.parametrize("data", [b"", b"  \n", b"\x7fELFabc", b"MZ", b"PK\x03\x04", b"\x1f\x8b", b"%PDF-1", b"a\x00b", b"\xff\xfe\x00\xd8", b"caf\xe9", b"a\x1bb", "a\x85b".encode()])
-def test_bytes_that_are_not_text(data):
-    assert raw.strict_text(data) is None
+NOT_TEXT = [b"", b"  \n", b"\x7fELFabc", b"MZ", b"PK\x03\x04", b"\x1f\x8b", b"%PDF-1", b"a\x00b", b"\xff\xfe\x00\xd8", b"caf\xe9", b"a\x1bb", "a\x85b".encode(), None]
 
 
-def test_decoding():
-    assert raw.strict_text(codecs.BOM_UTF8 + "é\t\f".encode()) == "é\t\f" and raw.strict_text("hé".encode("utf-16")) == "hé"
-    assert raw.strict_text("hé".encode("utf-32")) == "hé" and raw.lenient_text("Wide".encode("utf-16")) == "Wide"
-    assert raw.lenient_text("Árvíz".encode()) == "Árvíz" and isinstance(raw.lenient_text(b"\x93hello\x94"), str)
+def test_decoding(spark):
+    texts = [codecs.BOM_UTF8 + "é\t\f".encode(), "hé".encode("utf-16"), "hé".encode("utf-32"), "Wide".encode("utf-16-be"), "Árvíz".encode(), b"\x93hello\x94"]
+    texts[3] = codecs.BOM_UTF16_BE + texts[3]
+    frame = spark.createDataFrame(list(enumerate([*NOT_TEXT, *texts])), "n int, b binary")
+    rows = frame.select("n", raw.sniffed_text(F.col("b")).alias("s"), raw.decoded_text(F.col("b")).alias("d")).orderBy("n").collect()
+    assert [r["s"] for r in rows[: len(NOT_TEXT)]] == [None] * len(NOT_TEXT)
+    assert [r["s"] for r in rows[len(NOT_TEXT) :]] == ["é\t\f", "hé", "hé", "Wide", "Árvíz", None]
+    assert [rows[n]["d"] for n in (-6, -5, -3, -2, -1)] == ["é\t\f", "hé", "Wide", "Árvíz", "“hello”"]
+    assert rows[9]["d"] == "café" and rows[12]["d"] is None
+
 
 
 W = 'xmlns:w="http://w" xmlns:a="http://a"'
