@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folionaut.functions.text import let, query_phrases, tokens
+from folionaut.operators.durable import durable
 
 # Fixed values of the ranking function.
 K1 = 1.2
@@ -81,7 +82,7 @@ def saturation(tf: Column, length: Column, mean_length: float) -> Column:
 def keyword_scores(
     rows: DataFrame, query: str, columns: tuple[str, ...] = TEXT_COLUMNS, key: str = "seq", carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Scores of all rows that match any phrase, by two scans and no shuffle of rows: (key, ..., keyword_score).
+    """Scores of all rows that match any phrase, by one scan and no shuffle of rows: (key, ..., keyword_score).
 
     ``carry`` names columns to keep, so that candidates can be told from the scored rows without a join.
     """
@@ -92,21 +93,21 @@ def keyword_scores(
 def scores_of_lists(listed: DataFrame, query: list[tuple[str, ...]], key: str = "seq", carry: tuple[str, ...] = ()) -> DataFrame:
     """The same for rows whose token lists (one per text column) are already in ``lists``.
 
-    The first scan yields one row of statistics, which the driver turns into constants of the second.
+    Texts are read once. What is kept of each row is its key, length and counts of the query's phrases, as a narrow
+    table; one row of statistics over it gives the constants of the scores.
     """
     wanted = Counter(query)
     phrases = list(wanted)
     if not phrases:
         return listed.filter(F.lit(False)).select(key, *carry, F.lit(0.0).alias("keyword_score"))
-    counts = F.array(_term_counts(F.col("lists"), phrases))
-    # ``inline`` keeps Spark from evaluating the counts once for the filter and again for the score.
-    stats = listed.select(F.inline(counts)).agg(
+    # ``inline`` keeps Spark from evaluating the counts once for the length and again for the phrases.
+    kept = durable(listed.select(key, *carry, F.inline(F.array(_term_counts(F.col("lists"), phrases)))))
+    stats = kept.agg(
         F.count("*").alias("rows"),
         F.avg("length").alias("mean_length"),
         *[F.count_if(F.col("tf")[n] > 0).alias(f"n{n}") for n in range(len(phrases))],
     ).first()
-    matching = F.filter(counts, lambda c: F.exists(c["tf"], lambda tf: tf > 0))
-    measured = listed.select(key, *carry, F.inline(matching))
+    measured = kept.filter(F.exists("tf", lambda tf: tf > 0))
     score = sum(
         (
             F.lit(wanted[phrase] * idf(stats["rows"], stats[f"n{n}"]))

@@ -27,14 +27,15 @@ def sufficient_depth(k: int, channels: int, rrf_k: int) -> int:
 def exact_ranks(channel: DataFrame, wanted: DataFrame, score: str, key: str) -> DataFrame:
     """Ranks, within the whole channel, of the few wanted keys: (key, rank).
 
-    Every row finds how many wanted rows are strictly better (its bin); the rank of the n-th wanted
-    row is the number of rows in bins 0..n. ``wanted`` must hold a bounded number of rows.
+    Every row that is not worse than all wanted rows finds how many of them are strictly better (its bin); the rank of
+    the n-th wanted row is the number of rows in bins 0..n. ``wanted`` must hold a bounded number of rows.
     """
     place = F.struct((-F.col(score)).alias("negative"), F.col(key).alias("key"))
     chosen = channel.join(F.broadcast(wanted.select(key)), key, "left_semi")
     marks = chosen.agg(F.array_sort(F.collect_list(place)).alias("marks"))
     better = F.size(F.filter("marks", lambda mark: mark < place))
-    bins = channel.withColumn("marks", marks.scalar()).select(better.alias("bin")).groupBy("bin").count()
+    level = channel.withColumn("marks", marks.scalar()).filter(place <= F.try_element_at("marks", F.lit(-1)))
+    bins = level.select(better.alias("bin")).groupBy("bin").count()
     ordered = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = bins.select("bin", F.sum("count").over(ordered).alias("rank"))
     return (

@@ -23,7 +23,9 @@ class DocumentTables:
     """What a search reads. ``chunks`` hold all indexed rows with their source's columns.
 
     Needed in chunks: seq, chunk_id, source_id, text, heading, section_path, filename, extension, path,
-    status, deleted_at. Without ``postings`` keyword scores come from the text.
+    status, deleted_at. Without ``postings`` keyword scores come from the text. ``texts`` are the same rows without
+    their source's columns, and ``sources`` (source_id, status, deleted_at) has these: the few ranked rows are then
+    taken from the texts before any join.
     """
 
     chunks: DataFrame
@@ -32,6 +34,8 @@ class DocumentTables:
     vectors: DataFrame | None = None  # seq, embedding
     postings: DataFrame | None = None
     statistics: DataFrame | None = None
+    texts: DataFrame | None = None
+    sources: DataFrame | None = None
 
 
 @dataclass
@@ -97,7 +101,11 @@ def search(tables: DocumentTables, request: SearchRequest, settings: Settings =
 
 def assemble(tables: DocumentTables, best: DataFrame, request: SearchRequest, settings: Settings) -> DataFrame:
     """Text, anchors, facts and keywords of the ranked chunks. At most ``max_top_k`` rows are broadcast."""
-    rows = tables.chunks.join(F.broadcast(best), "seq")
+    if tables.texts is not None:
+        rows = tables.texts.join(F.broadcast(best), "seq").join(tables.sources, "source_id")
+    else:
+        rows = tables.chunks.join(F.broadcast(best), "seq")
+    rows = fusion.durable(rows)
     for name in SPAN_COLUMNS:
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("int"))

@@ -259,7 +259,9 @@ class Collection:
         postings = self.current("postings")
         rows = chunks.join(source, "source_id")
         statistics = bm25.corpus_statistics(chunks)
-        return DocumentTables(rows, self.current("facts"), self.current("keywords"), self.current("vectors"), postings, statistics)
+        return DocumentTables(
+            rows, self.current("facts"), self.current("keywords"), self.current("vectors"), postings, statistics, chunks, source
+        )
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
         """(entities, resolved edges) of the current, readable sources."""

@@ -49,15 +49,28 @@ def table(spark: SparkSession, folder: str, name: str, key: str | None = None) -
     return frame
 
 
+def states(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
+    """Rows with ``status`` and ``deleted`` of their document, from the labels. Narrow rows keep the join small."""
+    labels = table(spark, folder, "labels").withColumnRenamed("doc_id", "seq")
+    gone = (F.col("quality") == 0) & (F.col("toxic") == 0)
+    return rows.join(labels, "seq", "left").select(
+        *rows.columns, F.when(F.col("toxic") == 1, "failed").otherwise("indexed").alias("status"), F.coalesce(gone, F.lit(False)).alias("deleted")
+    )
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as text rows of a collection: status from the labels, suffix from the language."""
+    return states(spark, folder, texts(spark, folder))
+
+
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows without what the labels say."""
     docs = table(spark, folder, "documents", "doc_id")
-    labels = table(spark, folder, "labels")
     suffix = (
         F.when(F.col("lang") == "en", "txt").when(F.col("lang") == "fr", "md").when(F.col("lang") == "de", "html").otherwise("log")
     )
     filename = F.concat("source", F.lit("-"), F.col("doc_id").cast("string"), F.lit("."), suffix)
-    return docs.join(labels, "doc_id", "left").select(
+    return docs.select(
         F.col("doc_id").alias("seq"),
         F.col("doc_id").alias("source_id"),
         F.col("doc_id").alias("chunk_id"),
@@ -69,9 +82,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("/data/"), "source", F.lit("/"), filename).alias("path"),
         "lang",
         "source",
-        F.when(F.col("toxic") == 1, "failed").otherwise("indexed").alias("status"),
-        ((F.col("quality") == 0) & (F.col("toxic") == 0)).alias("_deleted"),
-    ).withColumn("deleted", F.coalesce("_deleted", F.lit(False))).drop("_deleted")
+    )
 
 
 # The same rows in SQL, to be put after WITH.

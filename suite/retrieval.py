@@ -8,7 +8,7 @@ from folionaut.functions.embedding import HashEmbedder
 from folionaut.operators import bm25, fusion, vector
 from folionaut.operators.durable import durable
 from folionaut.settings import Settings
-from suite.registry import DOCUMENTS_SQL, TOKENS_SQL, bm25_sql, documents, query, table
+from suite.registry import DOCUMENTS_SQL, TOKENS_SQL, bm25_sql, documents, query, states, table, texts
 
 COLUMNS = ("text", "filename")
 QUERY = "thtion mentre queation the para src3"
@@ -22,7 +22,7 @@ def candidates(rows):
 
 @query("token_lengths", TOKENS_SQL.join(["WITH", " SELECT seq, dl::BIGINT AS length FROM lens"]))
 def token_lengths(spark, folder):
-    return bm25.lengths(documents(spark, folder), COLUMNS).select("seq", F.col("length").cast("bigint").alias("length"))
+    return bm25.lengths(texts(spark, folder), COLUMNS).select("seq", F.col("length").cast("bigint").alias("length"))
 
 
 @query(
@@ -30,7 +30,7 @@ def token_lengths(spark, folder):
     "WITH" + TOKENS_SQL + " SELECT count(*)::BIGINT AS rows, round(avg(dl), 6) AS mean_length, sum(dl)::BIGINT AS tokens FROM lens",
 )
 def corpus_statistics(spark, folder):
-    stats = bm25.corpus_statistics(bm25.lengths(documents(spark, folder), COLUMNS))
+    stats = bm25.corpus_statistics(bm25.lengths(texts(spark, folder), COLUMNS))
     return stats.select("rows", F.round("mean_length", 6).alias("mean_length"), "tokens")
 
 
@@ -39,17 +39,17 @@ def corpus_statistics(spark, folder):
     "WITH" + TOKENS_SQL + " SELECT term, count(*)::BIGINT AS document_frequency, sum(tf)::BIGINT AS collection_frequency FROM post GROUP BY term",
 )
 def term_statistics(spark, folder):
-    return bm25.term_statistics(bm25.postings(documents(spark, folder), COLUMNS))
+    return bm25.term_statistics(bm25.postings(texts(spark, folder), COLUMNS))
 
 
 @query("postings", "WITH" + TOKENS_SQL + " SELECT seq, term, tf FROM post")
 def postings(spark, folder):
-    return bm25.postings(documents(spark, folder), COLUMNS).select("seq", "term", F.col("tf").cast("bigint").alias("tf"))
+    return bm25.postings(texts(spark, folder), COLUMNS).select("seq", "term", F.col("tf").cast("bigint").alias("tf"))
 
 
 @query("bm25_all_matches", "WITH" + bm25_sql(QUERY_WORDS) + " SELECT seq, round(keyword_score, 6) AS score FROM scores")
 def bm25_all_matches(spark, folder):
-    scores = bm25.keyword_scores(documents(spark, folder), QUERY, COLUMNS)
+    scores = bm25.keyword_scores(texts(spark, folder), QUERY, COLUMNS)
     return scores.select("seq", F.round("keyword_score", 6).alias("score"))
 
 
@@ -59,8 +59,8 @@ def bm25_all_matches(spark, folder):
     FROM scores JOIN rows_ USING (seq) WHERE candidate ORDER BY keyword_score DESC, seq LIMIT {TOP}""",
 )
 def bm25_keyword_topk(spark, folder):
-    rows = documents(spark, folder)
-    scores = candidates(bm25.keyword_scores(rows, QUERY, COLUMNS, carry=("filename", "status", "deleted")))
+    # Scores are narrow; the state of their documents joins them, not the texts.
+    scores = candidates(states(spark, folder, bm25.keyword_scores(texts(spark, folder), QUERY, COLUMNS, carry=("filename",))))
     return fusion.top_k(scores, "keyword_score", TOP).select("seq", "filename", F.round("keyword_score", 6).alias("score"))
 
 
@@ -70,8 +70,8 @@ def bm25_keyword_topk(spark, folder):
     FROM scores JOIN rows_ USING (seq) WHERE candidate ORDER BY keyword_score DESC, seq LIMIT {TOP}""",
 )
 def bm25_repeated_word_topk(spark, folder):
-    rows = documents(spark, folder)
-    hits = candidates(bm25.keyword_scores(rows, "Thtion THTION, leaux! thtion", COLUMNS, carry=("status", "deleted")))
+    scores = bm25.keyword_scores(texts(spark, folder), "Thtion THTION, leaux! thtion", COLUMNS)
+    hits = candidates(states(spark, folder, scores))
     return fusion.top_k(hits, "keyword_score", TOP).select("seq", F.round("keyword_score", 6).alias("score"))
 
 
@@ -92,13 +92,13 @@ SELECT seq, round(score, 6) AS score FROM scores"""
 
 @query("bm25_phrase", PHRASE_SQL)
 def bm25_phrase(spark, folder):
-    scores = bm25.keyword_scores(documents(spark, folder), "of_the leaux", COLUMNS)
+    scores = bm25.keyword_scores(texts(spark, folder), "of_the leaux", COLUMNS)
     return scores.select("seq", F.round("keyword_score", 6).alias("score"))
 
 
 @query("bm25_phrase_from_postings", PHRASE_SQL)
 def bm25_phrase_from_postings(spark, folder):
-    rows = documents(spark, folder)
+    rows = texts(spark, folder)
     stats = bm25.corpus_statistics(bm25.lengths(rows, COLUMNS))
     scores = bm25.indexed_keyword_scores(durable(bm25.postings(rows, COLUMNS)), stats, "of_the leaux")
     return scores.select("seq", F.round("keyword_score", 6).alias("score"))
@@ -106,7 +106,7 @@ def bm25_phrase_from_postings(spark, folder):
 
 @query("bm25_from_postings", "WITH" + bm25_sql(QUERY_WORDS) + " SELECT seq, round(keyword_score, 6) AS score FROM scores")
 def bm25_from_postings(spark, folder):
-    rows = documents(spark, folder)
+    rows = texts(spark, folder)
     stats = bm25.corpus_statistics(bm25.lengths(rows, COLUMNS))
     scores = bm25.indexed_keyword_scores(durable(bm25.postings(rows, COLUMNS)), stats, QUERY)
     return scores.select("seq", F.round("keyword_score", 6).alias("score"))
@@ -190,11 +190,13 @@ fused AS (
 SELECT seq, round(score, 9) AS score FROM fused ORDER BY fused.score DESC, seq LIMIT {TOP}"""
 
 
-def hybrid(rows, allow):
-    embedder, settings = HashEmbedder(), Settings()
-    keyword = allow(bm25.keyword_scores(rows, HYBRID_TEXT, COLUMNS, carry=("extension", "path", "status", "deleted")))
-    vectors = allow(rows).select("seq", embedder.column(F.col("text")).alias("embedding"))
-    semantic = vector.vector_scores(vectors, embedder.query(HYBRID_TEXT))
+def hybrid(spark, folder, allow):
+    """Both channels are scored on the texts alone; states join the narrow scores."""
+    embedder, settings, rows = HashEmbedder(), Settings(), texts(spark, folder)
+    keyword = allow(states(spark, folder, bm25.keyword_scores(rows, HYBRID_TEXT, COLUMNS, carry=("extension", "path"))))
+    vectors = rows.select("seq", "extension", "path", embedder.column(F.col("text")).alias("embedding"))
+    near = vector.l2_distances(vectors, embedder.query(HYBRID_TEXT), keys=("seq", "extension", "path"))
+    semantic = allow(states(spark, folder, near)).select("seq", (1 / (1 + F.col("distance"))).alias("vector_score"))
     fused = fusion.fuse(
         [(semantic, "vector_score", settings.vector_weight), (keyword, "keyword_score", settings.keyword_weight)],
         TOP,
@@ -205,13 +207,13 @@ def hybrid(rows, allow):
 
 @query("hybrid_rrf_topk", hybrid_sql("candidate"))
 def hybrid_rrf_topk(spark, folder):
-    return hybrid(documents(spark, folder), candidates)
+    return hybrid(spark, folder, candidates)
 
 
 @query("hybrid_rrf_filtered_topk", hybrid_sql("candidate AND extension = 'md' AND path LIKE '/data/src1%'"))
 def hybrid_rrf_filtered_topk(spark, folder):
     allowed = (F.col("extension") == "md") & F.col("path").startswith("/data/src1")
-    return hybrid(documents(spark, folder), lambda rows: candidates(rows).filter(allowed))
+    return hybrid(spark, folder, lambda rows: candidates(rows).filter(allowed))
 
 
 @query(
@@ -237,8 +239,7 @@ SELECT collection, seq, collection_rank::BIGINT AS collection_rank, round(1.0 /
 FROM ranked WHERE collection_rank <= {TOP} ORDER BY ranked.collection_rank, collection LIMIT {TOP}""",
 )
 def multi_collection_rank(spark, folder):
-    rows = documents(spark, folder)
-    hits = candidates(bm25.keyword_scores(rows, QUERY, COLUMNS, carry=("lang", "status", "deleted")))
+    hits = candidates(states(spark, folder, bm25.keyword_scores(texts(spark, folder), QUERY, COLUMNS, carry=("lang",))))
     merged = fusion.reciprocal_group_rank(
         hits, "lang", (F.desc("keyword_score"), F.asc("seq")), TOP, Settings().rrf_k, ("lang", "collection_rank")
     )
