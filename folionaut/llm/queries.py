@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folionaut.llm import counting, decontaminate, huffman, jaccard, neighbours, packing, quality, repeats, secrets
+from folionaut.llm import counting, decontaminate, huffman, jaccard, neighbours, packing, quality, repeats, secrets, toxicity
 from folionaut.llm.registry import ORACLES, QUERIES, query, table
 from folionaut.llm.session import shared_folder, staged
 
@@ -17,6 +17,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 TOKEN_LIMIT = 512
 QUALITY_THRESHOLD = 0.7
+TOXIC_THRESHOLD = 0.35
 
 
 @query("op3_huffman_ids")
@@ -92,3 +93,16 @@ def op10_jaccard_regions(spark: SparkSession, folder: str) -> DataFrame:
 def op7_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
     kept = repeats.without_repeats(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op6_toxicity_chain")
+def op6_toxicity_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """Low quality first, then toxicity, which the labels never give to the same document."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    known = labels.where(~held_out).select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = toxicity.learn(docs, known, ("low_quality", "toxic"))
+    return toxicity.scored(docs, chain, ("low_quality", "toxic")).select(
+        "doc_id", held_out.alias("held_out"), F.col("toxic").alias("score"), (F.col("toxic") >= TOXIC_THRESHOLD).cast("int").alias("predicted"),
+        F.col("low_quality").alias("low_quality_score"),
+    )

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from folionaut.llm import neighbours
+from folionaut.llm import neighbours, toxicity
 from folionaut.llm.queries import QUERIES
 
 from . import brute
@@ -81,3 +81,39 @@ def test_pipeline_of_empty_tables(llm, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         llm.read.parquet(f"{SMALL}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(llm, str(tmp_path)).count() == 0
+
+
+def test_toxicity_holds_out(llm):
+    got = {r["doc_id"]: r for r in QUERIES["op6_toxicity_chain"](llm, "/root/testdata/sf0.1").collect()}
+    labels = llm.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    for toxic, least in ((1, 0.85), (0, 0.98)):
+        held = [got[r["doc_id"]]["predicted"] == toxic for r in labels if r["toxic"] == toxic and got[r["doc_id"]]["held_out"]]
+        assert sum(held) >= least * len(held)
+
+
+def test_chain_feeds_earlier_categories(llm):
+    """The second category is the first one's opposite where a word stands, so it needs the first one's probability."""
+    random_ = np.random.default_rng(2)
+    docs, labels = [], []
+    for i in range(600):
+        first, flip = random_.integers(0, 2, 2)
+        words = [f"w{x}" for x in random_.integers(0, 30, 12)] + ["badword"] * first + ["flipping"] * flip
+        docs.append((i, " ".join(random_.permutation(words))))
+        labels.append((i, int(first), int(first and not flip)))
+    docs += [(600, None), (601, ""), (602, "badword")]
+    frame, known = llm.createDataFrame(docs, "doc_id long, text string"), llm.createDataFrame([*labels, (603, None, 1), (None, 1, 1)], "doc_id long, a int, b int")
+    chain = toxicity.learn(frame, known, ("a", "b"))
+    got = {r["doc_id"]: (r["a"] >= 0.5, r["b"] >= 0.5) for r in toxicity.scored(frame, chain, ("a", "b")).collect()}
+    assert sum(got[i] == (bool(a), bool(b)) for i, a, b in labels) >= 0.97 * len(labels)
+    assert len(chain.weights[1][1]) == 1 and len(got) == 603 and got[602][0]
+
+
+def test_toxicity_edges(llm, edges, nothing):
+    labels = llm.createDataFrame([(4, 1), (9, 0), (11, 1), (14, 0), (99, 1)], "doc_id long, toxic int")
+    chain = toxicity.learn(edges, labels, ("toxic",))
+    assert toxicity.scored(edges, chain, ("toxic",)).where("toxic between 0 and 1").count() == edges.count()
+    one = toxicity.learn(edges, labels.where("toxic = 1"), ("toxic",))
+    assert toxicity.scored(edges, one, ("toxic",)).where("toxic > 0.99").count() == edges.count()
+    assert toxicity.scored(nothing, toxicity.learn(nothing, labels, ("toxic",)), ("toxic",)).count() == 0
+    assert toxicity.scored(edges, toxicity.learn(edges, labels.limit(0), ("toxic",)), ("toxic",)).where("toxic = 0.5").count() == edges.count()
