@@ -374,7 +374,8 @@ def joined(docs: DataFrame, width: int = 5, percent: int = 80, region_shingles:
     placed = regions.select(F.col("id").alias("doc_id"), F.col("component").alias("region"))
     weight = placed.join(size, "doc_id").groupBy("region").agg(F.sum("n_shingles").alias("weight"))
     large = weight.where(F.col("weight") > region_shingles).select("region")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed, "doc_id")
+    # Both sides grow with the documents, so neither is broadcast at any size.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed.hint("merge"), "doc_id")
     one = rows.join(large, "region", "left_anti").groupBy("region").applyInArrow(_join_region(percent, width), "doc_id long, component long")
     if not large.isEmpty():
         links = _large_regions(rows.join(large, "region", "left_semi"), percent, width)
@@ -387,4 +388,4 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """``docs`` with one document of each component, the one of the smallest id. Rows with one id are one document; rows
     without an id stay."""
     others = joined(docs, width, percent).where("doc_id <> component_id").select("doc_id")
-    return docs.join(others.distinct(), "doc_id", "left_anti")
+    return docs.join(others.distinct().hint("merge"), "doc_id", "left_anti")

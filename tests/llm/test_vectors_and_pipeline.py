@@ -36,7 +36,7 @@ def test_ties_nulls_and_unequal_norms(llm):
     random_ = np.random.default_rng(3)
     rows = [(i, (random_.normal(size=6) * random_.uniform(0.1, 5)).tolist()) for i in range(300)]
     rows += [(1000 + i, rows[20][1]) for i in range(60)]
-    odd = [(2000, None), (2001, []), (2002, [0.0] * 6), (2003, [1.0, None, 1, 1, 1, 1]), (2004, [float("nan")] * 6), (2005, [float("inf")] * 6), (None, [1.0] * 6)]
+    odd = [(2000, None), (2001, []), (2002, [0.0] * 6), (2003, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (2004, [float("nan")] * 6), (2005, [float("inf")] * 6), (None, [1.0] * 6)]
     frame = llm.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
     settings = neighbours.Settings(list_size=40, lists=64, list_ratio=100.0, part=50)
     got = {}
