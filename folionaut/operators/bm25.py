@@ -172,11 +172,6 @@ def term_statistics(index: DataFrame) -> DataFrame:
     )
 
 
-def write_postings(index: DataFrame, path: str, key: str = "seq") -> None:
-    """Sorted by term, so that a query reads few row groups; a hot term spreads over several files."""
-    index.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("errorifexists").parquet(path)
-
-
 def indexed_keyword_scores(index: DataFrame, statistics: DataFrame, query: str, key: str = "seq") -> DataFrame:
     """The same scores from written postings; the term filter reaches the scan."""
     wanted = Counter(query_phrases(query))

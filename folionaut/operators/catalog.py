@@ -111,7 +111,3 @@ def graph_status(graph_sources: DataFrame) -> DataFrame:
         F.coalesce(F.sum("entity_count"), F.lit(0)).cast("bigint").alias("entities"),
         F.coalesce(F.sum("relationship_count"), F.lit(0)).cast("bigint").alias("relationships"),
     )
-
-
-def ordinal(within: list[str], order: list) -> Column:
-    return F.row_number().over(Window.partitionBy(*within).orderBy(*order)) - 1

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from folionaut.functions.names import family
 from folionaut.functions.text import stable_id
 
-MAX_SHOWN_CANDIDATES = 10
 BINDINGS = ("variable", "parameter")
 
 

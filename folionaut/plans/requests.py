@@ -61,20 +61,6 @@ class SearchRequest:
         _require(self.top_k is None or self.top_k >= 1, "top_k must be positive")
 
 
-@dataclass(frozen=True)
-class CardRequest:
-    query: str
-    perspective: str = "expert"
-    mode: str = "hybrid"
-    top_k: int | None = None
-    minimum_similarity: float | None = None
-
-    def __post_init__(self):
-        _require(bool(self.query.strip()), "query must not be blank")
-        _require(self.perspective in ("general", "expert"), "unknown perspective")
-        _require(self.mode in ("hybrid", "vector", "keyword"), f"unknown mode {self.mode}")
-
-
 @dataclass(frozen=True)
 class CorpusQuery:
     query: str = ""

@@ -118,10 +118,10 @@ class Collection:
             failed = documents.filter(F.col("error").isNotNull()).count()
         status = "completed_with_errors" if failed else "completed"
         row = (
-            f"scan-{batch}-{int(started.timestamp() * 1000)}", "scan", status, total, counts.get("unchanged", 0), work - failed, failed,
+            f"scan-{batch}", "scan", status, total, counts.get("unchanged", 0), work - failed, failed,
             counts.get("unsupported", 0), started, datetime.now(timezone.utc),
         )
-        self.spark.createDataFrame([row], JOB_DDL).coalesce(1).write.mode("append").parquet(f"{self.root}/jobs")
+        self.spark.createDataFrame([row], JOB_DDL).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/jobs/run={batch}")
 
     def _write_batch(self, work: DataFrame, batch: int) -> None:
         folder = {name: f"{self.root}/{name}/batch={batch}" for name in (*DERIVED, "documents")}
@@ -285,8 +285,8 @@ class Collection:
         return list_keywords(keyword_frequencies(self.current("keywords")), contains, limit, offset)
 
     def jobs(self) -> DataFrame:
-        """Finished runs, newest first."""
-        return self.spark.read.schema(JOB_DDL).parquet(f"{self.root}/jobs").orderBy(F.desc("started_at"))
+        """Finished runs, newest first. A batch that is run again replaces its own row."""
+        return self.spark.read.schema(JOB_DDL + ", run bigint").parquet(f"{self.root}/jobs").drop("run").orderBy(F.desc("started_at"))
 
 
 def require_confirmation(confirm: bool) -> None:

@@ -119,8 +119,8 @@ def _go(text: Column) -> Column:
 def _rust(text: Column, module: Column) -> Column:
     def absolute(name: Column) -> Column:
         parent = F.regexp_replace(module, r"\.[^.]*$", "")
-        return F.when(name.startswith("self."), F.concat(module, F.substring(name, 5, 10_000))).when(
-            name.startswith("super."), F.concat(parent, F.substring(name, 6, 10_000))
+        return F.when(name.startswith("self."), F.concat(module, F.substring(name, 5, 2147483647))).when(
+            name.startswith("super."), F.concat(parent, F.substring(name, 6, 2147483647))
         ).otherwise(name)
 
     def one(match: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
@@ -16,7 +16,7 @@ FILE_DDL = "path string, modificationTime timestamp, length bigint, content bina
 def watch_folder(collection: Collection, folder: str, checkpoint: str, files_per_batch: int = 1000, once: bool = False) -> StreamingQuery:
     """Start indexing. A batch that is replayed after a failure overwrites its own output, so nothing doubles."""
     # The same epoch of the same checkpoint always has the same batch id; other streams have others.
-    first = STREAM_BATCHES + (zlib.crc32(checkpoint.encode()) << 20)
+    first = STREAM_BATCHES + ((int.from_bytes(hashlib.sha256(checkpoint.encode()).digest()[:5], "big") >> 4) << 26)
     stream = (
         collection.spark.readStream.format("binaryFile").schema(FILE_DDL)
         .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(folder)
