@@ -20,6 +20,51 @@ QUALITY_THRESHOLD = 0.7
 TOXIC_THRESHOLD = 0.35
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPACED = r"[^\x20\x09-\x0D]+"
+_PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _words_sql(text: str, pattern: str, lower: bool) -> str:
+    text = f"coalesce({text}, '')"
+    return f"regexp_extract_all({f"translate({text}, '{_UPPER}', '{_LOWER}')" if lower else text}, '{pattern}')"
+
+
+REPEATS_SQL = f"""WITH dw AS (SELECT doc_id, {_words_sql('text', _SPACED, False)} AS w FROM documents),
+win AS (SELECT doc_id, k, md5(array_to_string(w[k:k+19], ' ')) AS key FROM dw, unnest(range(1, len(w) - 18)) t(k) WHERE len(w) >= 20),
+rep AS (SELECT doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, k) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 20)) AS p FROM rep),
+placed AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM dw),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM dw LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)"""
+
+HITS_SQL = f"""WITH it AS (SELECT item_id::VARCHAR AS item, {_words_sql('text', _PLAIN, True)} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(w), 10) AS m, array_to_string(w[k:k+least(len(w), 10)-1], ' ') AS key
+        FROM it, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(k) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT m FROM win),
+dw AS (SELECT doc_id, {_words_sql('text', _PLAIN, True)} AS w FROM documents),
+places AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM dw, sizes WHERE len(w) >= m),
+hit AS (SELECT doc_id, k, p.m, item FROM (SELECT doc_id, k, m, array_to_string(w[k:k+m-1], ' ') AS key FROM places) p JOIN win USING (m, key)),
+words AS (SELECT DISTINCT doc_id, unnest(range(k, k + m)) AS p FROM hit),
+n AS (SELECT doc_id, count(*) AS n_hit FROM words GROUP BY doc_id),
+i AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)"""
+
+LINKS_SQL = f"""WITH RECURSIVE dw AS (SELECT doc_id, {_words_sql('text', _SPACED, True)} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, md5(array_to_string(w[k:k+3], ' ')) AS s FROM dw, unnest(range(1, greatest(len(w) - 3, 1) + 1)) t(k) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM both_ JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach(x, y) AS (SELECT x, y FROM link UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x),
+least_ AS (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(c, doc_id)) AS component_id
+FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN least_ USING (doc_id)"""
+
+
 @query("op3_huffman_ids")
 def op3_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
     target = shared_folder(spark)
@@ -27,7 +72,7 @@ def op3_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
     return huffman.read_ids(spark, target).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-@query("op8_benchmark_decontamination")
+@query("op8_benchmark_decontamination", HITS_SQL)
 def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     hit = decontaminate.with_hits(docs, table(spark, folder, "benchmark"))
@@ -84,12 +129,12 @@ def op9_balanced_lists(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
-@query("op10_jaccard_regions")
+@query("op10_jaccard_regions", LINKS_SQL)
 def op10_jaccard_regions(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.joined(table(spark, folder, "documents").select("doc_id", "text"), width=4, percent=85)
 
 
-@query("op7_suffix_repeats")
+@query("op7_suffix_repeats", REPEATS_SQL)
 def op7_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
     kept = repeats.without_repeats(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
