@@ -225,16 +225,17 @@ class Region:
         self.elements, self.flat = np.unique(values, return_inverse=True)
         self.percent = percent
         self.reach = 1 - percent / 100 + 1e-9
-        self.parent = list(range(len(self.size)))
-
-    def root(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
+        self.parent = np.arange(len(self.size))
 
     def roots(self, rows: np.ndarray) -> np.ndarray:
-        return np.array([self.root(x) for x in rows.tolist()], dtype=np.int64)
+        found = self.parent[rows]
+        while not np.array_equal(found, above := self.parent[found]):
+            found = above
+        self.parent[rows] = found
+        return found
+
+    def root(self, x: int) -> int:
+        return int(self.roots(np.array([x]))[0])
 
     def distances(self, pivot: int, rows: np.ndarray) -> np.ndarray:
         """Distances to ``rows``; those within the threshold are linked."""
@@ -243,8 +244,7 @@ class Region:
         n = self.size[rows]
         shared = np.add.reduceat(mark[self.flat[ranges(self.bounds[rows], n)]], np.cumsum(n) - n, dtype=np.int64)
         union = n + self.size[pivot] - shared
-        for x in rows[100 * shared >= self.percent * union].tolist():
-            self.parent[self.root(x)] = self.root(pivot)
+        self.parent[self.roots(rows[100 * shared >= self.percent * union])] = self.root(pivot)
         return 1 - shared / union
 
     def join(self, rows: np.ndarray) -> None:
@@ -265,7 +265,8 @@ class Region:
         near = np.array(table)
         if split and not covered.all():
             members = near <= nearest + 2 * self.reach
-            if members.sum(axis=1).max() < 0.8 * len(rows):
+            # Worth it only if boundary copies don't outgrow what the split saves.
+            if members.sum() <= 2 * len(rows) and members.sum(axis=1).max() < 0.8 * len(rows):
                 for own in members:
                     part = rows[own]
                     if len(np.unique(self.roots(part))) > 1:
@@ -276,12 +277,31 @@ class Region:
         biggest = np.bincount(np.unique(label, return_inverse=True)[1]).argmax() if len(rows) else 0
         main = np.unique(label)[biggest]
         for i in np.flatnonzero(label != main).tolist():
-            label = self.roots(rows)
+            label = self.roots(rows)  # a few array look-ups
             open_ = (label != label[i]) & (np.abs(near - near[:, i : i + 1]) <= self.reach).all(axis=0)
             if open_.any():
                 self.distances(int(rows[i]), rows[open_])
 
 
+def _redealt(values: np.ndarray, bounds: np.ndarray, percent: int, rows: np.ndarray, deal: int) -> list[np.ndarray]:
+    """``rows`` split by equal parts under another dealing: linked documents stay together, chance meetings mostly don't."""
+    size = np.diff(bounds)[rows]
+    own = values[ranges(bounds[rows], size)]
+    code, row = signatures(mix(own + np.uint64(deal)), np.append(0, np.cumsum(size)), percent)
+    parent = np.arange(len(rows))
+    edge = _contract(code, row)[2]
+    while len(edge):
+        low, high = parent[edge].min(axis=1), parent[edge].max(axis=1)
+        if (low == high).all():
+            break
+        np.minimum.at(parent, high, low)
+        np.minimum.at(parent, edge[:, 0], low)
+        np.minimum.at(parent, edge[:, 1], low)
+        parent = parent[parent]
+    order = np.argsort(parent, kind="stable")
+    return np.split(rows[order], np.flatnonzero(np.diff(parent[order])) + 1)
+
+
 def _join_region(percent: int, width: int):
     """One region's documents to their components."""
 
@@ -300,7 +320,14 @@ def _join_region(percent: int, width: int):
         _, first, inverse = np.unique(keyed, return_index=True, return_inverse=True)
         chosen = keep[first]
         region = Region(values[ranges(bounds[chosen], size[chosen])], np.append(0, np.cumsum(size[chosen])), percent)
-        region.join(np.arange(len(chosen)))
+        groups = [np.arange(len(chosen))]
+        for deal in (1, 2):
+            groups = [
+                part for own in groups
+                for part in (_redealt(values[ranges(bounds[chosen], size[chosen])], region.bounds, percent, own, deal) if len(own) > 2 * PIVOTS else [own])
+            ]
+        for own in groups:
+            region.join(own)
         label = region.roots(np.arange(len(chosen)))[inverse]
         least = np.full(len(chosen), np.iinfo(np.int64).max)
         np.minimum.at(least, label, ids[keep])
