@@ -5,6 +5,9 @@ indexed: it goes to its nearest list, and a vector near the boundary to the next
 within a ratio of the nearest. Lists longer than ``PART`` are split; the pairs (query, part) and the vectors of a part
 meet in one group.
 
+How many lists a query reads, and how far, follows the data: a bounded set of the queries is answered by brute force over
+all vectors, and the reading is widened until these queries find the wanted share of their neighbours (``calibrate``).
+
 Inner products become distances by one more coordinate that gives all vectors the largest norm. Equal vectors are one
 entry with their smallest ids, as many as can matter, so a vector that a third of all rows share costs one. Vectors that
 are null, empty or zero or hold null or non-finite components take no part; ties go to the smaller id; with fewer
@@ -15,7 +18,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import ceil
 
 import numpy as np
@@ -35,9 +38,12 @@ class Settings:
     #: Lists of a vector, and the most that its distance to one may exceed the nearest, as a ratio.
     copies: int = 4
     copy_ratio: float = 1.3
-    #: Lists of a query, and the same ratio for them.
+    #: Lists of a query, and the same ratio for them; both at least, since sampled queries widen them.
     lists: int = 64
     list_ratio: float = 1.5
+    #: Share of their neighbours that the sampled queries must find, and how many of them there are.
+    recall: float = 0.95
+    probes: int = 256
     #: Centroids that the walk keeps in view.
     breadth: int = 96
     #: Vectors of one part of a list.
@@ -142,9 +148,19 @@ class Index:
             yield row, chosen
 
     def lists_for(self, q: np.ndarray) -> Iterator[tuple[int, list[int]]]:
-        """For each query the lists to read: a best-first walk over the centroid graph, pruned by distance ratio."""
+        """For each query the lists to read: a best-first walk over the centroid graph, pruned by distance ratio.
+
+        A walk that keeps a large part of the centroids in view sees them all; their distances are then taken at once."""
         top = self.settings
         breadth = max(top.lists, top.breadth)
+        if 4 * breadth >= len(self.centroids):
+            for at in range(0, len(q), 256):
+                squared = self._distances(self.asked(q[at : at + 256]))
+                order = np.argsort(squared, axis=1, kind="stable")[:, : top.lists]
+                for row, near in enumerate(order):
+                    d = squared[row, near]
+                    yield at + row, near[d <= d[0] * top.list_ratio**2].tolist()
+            return
         for row, x in enumerate(self.asked(q)):
             seen = np.zeros(len(self.centroids), dtype=bool)
             found: list[tuple[float, int]] = []  # the best so far, farthest first
@@ -184,6 +200,73 @@ def build(distinct: DataFrame, settings: Settings = Settings()) -> Index | None:
     return Index(_matrix(sample.column("v").combine_chunks()), facts["n"], facts["radius"], settings)
 
 
+def _nearest_classes(distinct: DataFrame, probes: np.ndarray, keep: int) -> dict[int, list[tuple[float, int]]]:
+    """For each row of ``probes`` its ``keep`` best (score, class_id) over all rows. Each task adds at most ``keep`` to a probe."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores, names = np.zeros((len(probes), 0)), np.zeros((len(probes), 0), dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = np.broadcast_to(batch.column(0).to_numpy(), (len(probes), batch.num_rows))
+            scores, names = np.hstack([scores, probes @ _matrix(batch.column(1)).T]), np.hstack([names, own])
+            if scores.shape[1] > keep:
+                best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
+                scores, names = np.take_along_axis(scores, best, 1), np.take_along_axis(names, best, 1)
+        if scores.size:
+            at = np.repeat(np.arange(len(probes), dtype=np.int32), scores.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(scores.ravel()), pa.array(names.ravel())], ["probe", "score", "class_id"])
+
+    found = distinct.select("class_id", "v").mapInArrow(run, "probe int, score double, class_id long")
+    entries = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "class_id")))
+    best = found.groupBy("probe").agg(F.slice(entries, 1, keep).alias("best")).collect()
+    return {r["probe"]: [(-b["down"], b["class_id"]) for b in r["best"]] for r in best}
+
+
+def calibrate(index: Index, posted: DataFrame, distinct: DataFrame, asked: DataFrame, k: int) -> None:
+    """Widen the reading of ``index`` until sampled rows of ``asked`` find the wanted share of their true neighbours.
+
+    Only the sampled queries, their neighbours and these neighbours' lists reach the driver."""
+    top = index.settings
+    rows = asked.orderBy(F.xxhash64("asked_id"), "asked_id").limit(top.probes).collect()
+    if not rows:
+        return
+    probes = np.array([r["v"] for r in rows])
+    if probes.shape[1] + 1 != index.centroids.shape[1]:
+        raise ValueError(f"queries of {probes.shape[1]} components, vectors of {index.centroids.shape[1] - 1}")
+    best = _nearest_classes(distinct, probes, k + 1)
+    wanted = asked.sparkSession.createDataFrame(sorted({(c,) for own in best.values() for _, c in own}), "class_id long")
+    homes = posted.select("class_id", "ids", "list").join(wanted, "class_id", "left_semi").groupBy("class_id")
+    homes = {r["class_id"]: (r["ids"], r["lists"]) for r in homes.agg(F.first("ids").alias("ids"), F.collect_set("list").alias("lists")).collect()}
+    truth = []  # for each probe the lists of each true neighbour
+    for at, r in enumerate(rows):
+        near = sorted((-score, i, c) for score, c in best.get(at, ()) for i in homes[c][0] if i != r["asked_id"])[:k]
+        truth.append([homes[c][1] for _, _, c in near])
+    total = sum(map(len, truth))
+    if not total:
+        return
+    least = ceil(top.recall * total)
+    squared = index._distances(index.asked(probes))
+    ranks, ratios = [], []
+    for own, near in zip(squared, truth):
+        rank = np.empty(len(own), dtype=int)
+        rank[np.argsort(own, kind="stable")] = np.arange(len(own))
+        first = [min(lists, key=rank.__getitem__) for lists in near]
+        ranks += rank[first].tolist()
+        ratios += np.sqrt(own[first] / max(own.min(), 1e-300)).tolist()
+    ratio = top.list_ratio
+    if sum(x <= ratio for x in ratios) < least:
+        # Half of what may be lost is left to the number of lists.
+        ratio = sorted(ratios)[ceil((1 + top.recall) / 2 * total) - 1] * (1 + 1e-9)
+    lists = max(top.lists, sorted(n for n, x in zip(ranks, ratios) if x <= ratio)[least - 1] + 1)
+    while True:
+        index.settings = replace(top, lists=lists, list_ratio=ratio, breadth=max(top.breadth, lists * 3 // 2))
+        found = sum(not set(own).isdisjoint(read) for at, read in index.lists_for(probes) for own in truth[at])
+        if found >= least or lists >= len(index.centroids):
+            return
+        lists = min(len(index.centroids), lists * 5 // 4 + 1)  # what the walk misses
+
+
 def _listed(rows: DataFrame, shared, asked: bool) -> DataFrame:
     """Rows once for each of their lists."""
 
@@ -214,15 +297,16 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, settings: Settings
     own = usable(queries)
     if index is None:
         return own.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+    # Equal queries are asked once, under the smallest id of their vector.
+    asked = own.groupBy("v").agg(F.min("vec_id").alias("asked_id")).select("asked_id", "v")
     shared = spark.sparkContext.broadcast(index)
     posted = staged(_listed(distinct.select("class_id", "ids", "v"), shared, asked=False))
     # One row per list; their number is bounded by the settings.
     parts = {r["list"]: ceil(r["n"] / settings.part) for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect()}
     number = F.get(F.split(F.lit(",".join(str(parts.get(c, 0)) for c in range(len(index.centroids)))), ",").cast("array<int>"), F.col("list"))
     cells = posted.select("class_id", "ids", "v", "list", F.pmod(F.xxhash64("class_id"), number).cast("int").alias("part"))
-    # Equal queries are asked once, under the smallest id of their vector.
-    asked = own.groupBy("v").agg(F.min("vec_id").alias("asked_id")).select("asked_id", "v")
-    routed = _listed(asked, shared, asked=True).withColumn("part", F.explode(F.sequence(F.lit(0), number - 1)))
+    calibrate(index, posted, distinct, asked, k)
+    routed = _listed(asked, spark.sparkContext.broadcast(index), asked=True).withColumn("part", F.explode(F.sequence(F.lit(0), number - 1)))
 
     def near(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"asked_id": [], "ids": [], "score": []}

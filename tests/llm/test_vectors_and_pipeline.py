@@ -32,6 +32,22 @@ def test_recall_of_the_query(llm):
     assert found >= 0.9 * 20 * len(got)
 
 
+def test_recall_where_most_lists_are_not_read(llm, monkeypatch):
+    random_ = np.random.default_rng(8)
+    x = random_.normal(size=(8000, 16)).round(6)
+    frame = llm.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    settings, used = neighbours.Settings(list_size=8, lists=4, breadth=8), []
+    calibrate = getattr(neighbours, "calibrate", None)
+    if calibrate:
+        monkeypatch.setattr(neighbours, "calibrate", lambda index, *rest: (calibrate(index, *rest), used.append(index)))
+    got = {}
+    for r in neighbours.search(frame, frame.where("vec_id % 20 = 0"), 20, settings).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    found = sum(len(own & {v for v, _ in nearest(np.arange(8000), x, q, 20)}) for q, own in got.items())
+    assert len(got) == 400 and found >= 0.9 * 20 * len(got)
+    assert 4 < used[0].settings.lists < len(used[0].centroids) / 2
+
+
 def test_ties_nulls_and_unequal_norms(llm):
     random_ = np.random.default_rng(3)
     rows = [(i, (random_.normal(size=6) * random_.uniform(0.1, 5)).tolist()) for i in range(300)]
