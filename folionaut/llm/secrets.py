@@ -1,9 +1,11 @@
 """Secrets in texts: three base patterns, and strings that a pair of Markov models holds to be random. Column functions only.
 
 Two first-order character models, one of random strings and one of ordinary identifiers, are trained from labelled
-samples over all documents: what the base patterns match is random, other long runs of identifier characters are
-ordinary. A long run outside all base matches is a secret too if the log-likelihood ratio of the two models, summed over
-its transitions, is at least ``MIN_RATIO`` in total and ``MIN_MEAN`` per transition.
+samples over all documents: what the base patterns match is random; runs of identifier characters too short to be judged,
+and long ones of words joined by separators, are ordinary. Other long runs train neither, since some are the secrets sought.
+Keys of an alphabet that the base patterns hardly match are random by a uniform model over their alphabet. A long run
+outside all base matches is a secret too if the log-likelihood ratio of the likelier random model to the ordinary one,
+summed over its transitions, is at least ``MIN_RATIO`` in total and ``MIN_MEAN`` per transition.
 
 Spans are code points, end exclusive. Null and empty texts have none; repeated rows are each scanned; without samples of
 both kinds the models add nothing; an empty table gives an empty result. Positions are summed along a text's own matches.
@@ -11,7 +13,7 @@ both kinds the models add nothing; an empty table gives an empty result. Positio
 
 from __future__ import annotations
 
-from math import log
+from math import exp, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,12 +29,17 @@ MIN_ASSIGNED = 12
 
 #: Runs that the models judge.
 RUN = r"[A-Za-z0-9+/_-]{16,}"
+#: Characters between runs, and long runs that are ordinary by their own form: words of three letters at least, joined.
+BETWEEN = r"[^A-Za-z0-9+/_-]+"
+JOINED = r"^[A-Za-z][a-z]{2,}(?:[+/_-][A-Za-z][a-z]{2,}){1,40}$"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 SIDE = len(ALPHABET) + 1
 
 #: Upper case, lower case, digits, and the rest (also what is outside the alphabet): how many characters each has.
 CLASSES = (26, 26, 10, 5)
 _CLASS = [3] + [0] * 26 + [1] * 26 + [2] * 10 + [3] * 4
+#: Alphabets of uniform random strings with their sizes, smallest first: a run counts as of the first that holds it.
+ALPHABETS = ((r"^[0-9A-F]+$", 16), (r"^[0-9A-Z]+$", 36), (r"^[0-9a-z]+$", 36), (r"^[A-Za-z]+$", 52), (r"^[0-9A-Za-z]+$", 62), (r"", 66))
 #: Weight of the classes' transitions, in samples.
 PRIOR = 20.0
 
@@ -88,29 +95,32 @@ def _transitions(string: Column) -> Column:
 
 
 def samples(based: DataFrame) -> DataFrame:
-    """(label, sample): strings matched by the base patterns are 1, other long runs are 0."""
+    """(label, sample, n): distinct strings matched by the base patterns are 1; short runs outside assignments, and long ones
+    of joined words, are 0. ``n`` is how often they occur."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    cut = lambda spans, label: F.transform(
-        spans, lambda s: F.struct(F.lit(label).alias("label"), F.substring(text, s["start"] + 1, s["stop"] - s["start"]).alias("sample"))
-    )
-    rows = based.where((F.size("_base") > 0) | (F.size("_runs") > 0)).select(
-        F.explode(F.concat(cut(F.col("_base"), 1), cut(F.col("_runs"), 0))).alias("x")
-    )
+    cut = lambda spans: F.transform(spans, lambda s: F.substring(text, s["start"] + 1, s["stop"] - s["start"]))
+    matched = based.where(F.size("_base") > 0).select(F.lit(1).alias("label"), F.explode(cut(F.col("_base"))).alias("sample"))
     # Of an assignment only the value is random.
-    return rows.select("x.label", F.regexp_replace("x.sample", "^" + ASSIGN + "$", "$2").alias("sample"))
+    matched = matched.withColumn("sample", F.regexp_replace("sample", "^" + ASSIGN + "$", "$2"))
+    rest = F.when(F.size("_assign") > 0, F.regexp_replace(text, ASSIGN, " ")).otherwise(text)
+    short = based.select(F.lit(0).alias("label"), F.explode(F.split(rest, BETWEEN)).alias("sample")).where("length(sample) between 2 and 15")
+    joined = based.where(F.size("_runs") > 0).select(F.lit(0).alias("label"), F.explode(cut(F.col("_runs"))).alias("sample"))
+    joined = joined.where(F.col("sample").rlike(JOINED))
+    return matched.unionByName(short).unionByName(joined).groupBy("label", "sample").agg(F.count("*").alias("n"))
 
 
 def train(labelled: DataFrame) -> list[float]:
-    """Log-likelihood ratio of each transition, random over ordinary, from (label, sample) rows.
+    """Log-likelihood ratio of each transition, random over ordinary, then its log-likelihood as ordinary, from
+    (label, sample, n) rows; all 0 without samples of both kinds.
 
     Counts are summed on Spark; ``2 * SIDE ** 2`` rows at most reach the driver.
     """
     counts = [[0] * SIDE**2, [0] * SIDE**2]
-    found = labelled.where("label in (0, 1)").select("label", F.explode(_transitions(F.col("sample"))).alias("t")).where("t is not null")
-    for row in found.groupBy("label", "t").count().collect():
-        counts[row["label"]][row["t"]] = row["count"]
+    found = labelled.where("label in (0, 1)").select("label", "n", F.explode(_transitions(F.col("sample"))).alias("t")).where("t is not null")
+    for row in found.groupBy("label", "t").agg(F.sum("n").alias("n")).collect():
+        counts[row["label"]][row["t"]] = row["n"]
     if not all(map(sum, counts)):
-        return [0.0] * SIDE**2
+        return [0.0] * (2 * SIDE**2)
     logs = []
     for own in counts:
         # A transition that is rare in the samples is as likely as its classes of characters make it.
@@ -122,7 +132,28 @@ def train(labelled: DataFrame) -> list[float]:
             row, to = classes[_CLASS[i // SIDE]], _CLASS[i % SIDE]
             prior = row[to] / sum(row) / CLASSES[to]
             logs.append(log((n + PRIOR * prior) / (sums[i // SIDE] + PRIOR)))
-    return [r - o for r, o in zip(logs[SIDE**2 :], logs[: SIDE**2])]
+    # Ordinary identifiers change case, and hold digits and separators, also where the given words don't.
+    ordinary = [log((exp(o) + p) / 2) for o, p in zip(logs, _styles(counts[0]))]
+    return [r - o for r, o in zip(logs[SIDE**2 :], ordinary)] + ordinary
+
+
+def _styles(own: list[int]) -> list[float]:
+    """Probability of each transition where half of the characters are followed by their own class, the rest by the others
+    equally often, and letters follow letters as counted, whatever their case."""
+    pairs = [[1] * 26 for _ in range(26)]
+    letter = lambda s: (s - 1) % 26 if 1 <= s <= 52 else None
+    for i, n in enumerate(own):
+        a, b = letter(i // SIDE), letter(i % SIDE)
+        if a is not None and b is not None:
+            pairs[a][b] += n
+    single = [sum(row[b] for row in pairs) for b in range(26)]
+    out = []
+    for i in range(SIDE**2):
+        a, b = letter(i // SIDE), letter(i % SIDE)
+        row = single if a is None else pairs[a]
+        share = 1 / 2 if _CLASS[i // SIDE] == _CLASS[i % SIDE] else 1 / 2 / (len(CLASSES) - 1)
+        out.append(share * (1 / CLASSES[_CLASS[i % SIDE]] if b is None else row[b] / sum(row)))
+    return out
 
 
 def with_secrets(docs: DataFrame, model: list[float]) -> DataFrame:
@@ -131,12 +162,18 @@ def with_secrets(docs: DataFrame, model: list[float]) -> DataFrame:
     table = F.split(F.lit(",".join(f"{v:.6f}" for v in model)), ",").cast("array<double>")
 
     def random(span: Column) -> Column:
-        steps = F.filter(_transitions(F.substring(text, span["start"] + 1, span["stop"] - span["start"])), lambda t: t.isNotNull())
-        total = F.aggregate(steps, F.lit(0.0), lambda s, t: s + F.get(table, t))
+        string = F.substring(text, span["start"] + 1, span["stop"] - span["start"])
+        steps = F.filter(_transitions(string), lambda t: t.isNotNull())
+        sizes = F.lit(log(ALPHABETS[-1][1]))
+        for pattern, size in ALPHABETS[-2::-1]:
+            sizes = F.when(string.rlike(pattern), log(size)).otherwise(sizes)
+        learnt = F.aggregate(steps, F.lit(0.0), lambda s, t: s + F.get(table, t))
+        uniform = F.aggregate(steps, F.lit(0.0), lambda s, t: s - F.get(table, t + SIDE**2)) - sizes * F.size(steps)
+        total = F.greatest(learnt, uniform)
         return (total >= MIN_RATIO) & (total >= MIN_MEAN * F.size(steps))
 
     based = with_base_spans(docs)
-    added = F.when(F.size("_runs") > 0, F.filter("_runs", random)).otherwise(F.array().cast(_SPAN))
+    added = F.when((F.size("_runs") > 0) & F.lit(any(model)), F.filter("_runs", random)).otherwise(F.array().cast(_SPAN))
     return based.withColumn("_spans", F.array_sort(F.concat("_base", added)))
 
 
