@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folionaut.llm import counting, decontaminate, huffman, jaccard, neighbours, packing, quality, repeats, secrets, toxicity
+from folionaut.llm import (
+    counting, decontaminate, exactdedup, huffman, jaccard, lloyd, neighbours, packing, periodic, quality, repeats, secrets, toxicity,
+)
 from folionaut.llm.registry import ORACLES, QUERIES, query, table
 from folionaut.llm.session import shared_folder, staged
 
@@ -64,6 +68,30 @@ least_ AS (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(c, doc_id)) AS component_id
 FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN least_ USING (doc_id)"""
 
+COPIES_SQL = f"""WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256)"""
+
+CLUSTERS, ROUNDS, DIMENSIONS, SCALE = 40, 5, 64, 256
+
+
+def _lloyd_sql() -> str:
+    nearest = """a{0} AS MATERIALIZED (SELECT vec_id, arg_min(c, (dist, c)) AS c, min(dist) AS dist FROM (
+  SELECT vec_id, c, sum((v.x - m.x) * (v.x - m.x)) AS dist FROM cells v JOIN m{0} m USING (d) GROUP BY vec_id, c) GROUP BY vec_id)"""
+    moved = """m{1} AS MATERIALIZED (SELECT c, d, coalesce(n.x, m.x) AS x FROM m{0} m LEFT JOIN (
+  SELECT c, d, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM cells JOIN a{0} USING (vec_id) GROUP BY c, d) n USING (c, d))"""
+    steps = [nearest.format(0)] + [part.format(r, r + 1) for r in range(ROUNDS) for part in (moved, nearest.replace("{0}", "{1}"))]
+    return f"""WITH kept AS (SELECT vec_id, embedding AS e FROM embeddings WHERE len(embedding) = {DIMENSIONS}
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cells AS MATERIALIZED (SELECT vec_id, unnest(range({DIMENSIONS})) AS d, floor({SCALE} * unnest(e)::DOUBLE)::BIGINT AS x FROM kept),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM kept QUALIFY c < {CLUSTERS}),
+m0 AS MATERIALIZED (SELECT c, d, x FROM first JOIN cells USING (vec_id)),
+{", ".join(steps)},
+hashed AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM m{ROUNDS} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, dist::BIGINT AS distance, (sum(dist) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(dist) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{ROUNDS} JOIN hashed USING (c)"""
+
 
 @query("op3_huffman_ids")
 def op3_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,3 +179,51 @@ def op6_toxicity_chain(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), F.col("toxic").alias("score"), (F.col("toxic") >= TOXIC_THRESHOLD).cast("int").alias("predicted"),
         F.col("low_quality").alias("low_quality_score"),
     )
+
+
+@query("op11_perfect_hash_dedup", COPIES_SQL)
+def op11_perfect_hash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows: those with an even checksum of the id are indexed as history, the others arrive at that index."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    history = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return exactdedup.resolved(docs, history).select(
+        "doc.doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
+@query("op12_sharded_lloyd", _lloyd_sql())
+def op12_sharded_lloyd(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select(
+        F.struct("vec_id").alias("row"), lloyd.whole(F.col("embedding"), SCALE, DIMENSIONS).alias("x")
+    )
+    start = F.sha2(F.concat(F.lit("2:"), F.col("row.vec_id").cast("string")).cast("binary"), 256)
+    each, centroids = lloyd.cluster(vectors, start, CLUSTERS, ROUNDS, DIMENSIONS)
+    each = staged(each)
+    # One row per cluster: as many as the parameter says.
+    names = [(c, hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for c, x in enumerate(centroids.tolist())]
+    sums = {r["cluster"]: int(r["s"]) for r in each.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()}
+    about = spark.createDataFrame(
+        [(c, sums.get(c, 0), sum(sums.values()), name) for c, name in names], "cluster int, cluster_inertia long, inertia long, centroid_sha256 string"
+    )
+    return each.join(F.broadcast(about), "cluster").select(
+        "row.vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """A tenth of the documents, by the checksum of the id, gets a run: its words from one on repeat a passage to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, folder, "documents").select("doc_id", "text", h.alias("h"))
+    docs = docs.withColumn("found", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(f"({_SPACED})"), F.lit(1))))
+    n, g = F.size("found"), F.floor(F.col("h") / 10)
+    docs = docs.select("doc_id", "text", "found", F.when(n > 0, (g % n).cast("int")).alias("a"), n.alias("n"), g.alias("g"))
+    p = (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    text = F.when(F.col("a").isNotNull(), periodic.looped(F.col("found"), F.col("a"), p)).otherwise(F.col("text"))
+    runs = periodic.with_runs(docs.select("doc_id", text.alias("text")))
+    return runs.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period",
+        F.expr("1000 * length div period").alias("exponent_milli"),
+        F.sha2(periodic.listed("runs").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
