@@ -8,7 +8,12 @@ outside all base matches is a secret too if the log-likelihood ratio of the like
 summed over its transitions, is at least ``MIN_RATIO`` in total and ``MIN_MEAN`` per transition.
 
 Spans are code points, end exclusive. Null and empty texts have none; repeated rows are each scanned; without samples of
-both kinds the models add nothing; an empty table gives an empty result. Positions are summed along a text's own matches.
+both kinds the models add nothing; an empty table gives an empty result. Columns beside the text pass under whatever names;
+their own working columns start with ``_``.
+
+The time grows with the text, however many matches it holds: a match's position is the sum of what lies before it, summed
+in chunks (``_before``), and no match cuts its string out of the whole text. Working columns are used twice where they
+are used at all, or outside lambdas, since a column that a lambda alone uses is computed again for each element.
 """
 
 from __future__ import annotations
@@ -46,42 +51,68 @@ PRIOR = 20.0
 MIN_RATIO = 12.0
 MIN_MEAN = 0.7
 
-_SPAN = "array<struct<start:int,kind:int,stop:int>>"
+#: All that bars a run besides runs: base matches, and words that end in the key of an assignment.
+BARRED = rf"(?:{ASSIGN}|{ACCESS}|{HEX}|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]+?{ASSIGN}|({RUN}))"
+RUN_GROUP = 5
+#: A run that holds one of these is matched by a base pattern in part.
+HOLDS = rf"{ACCESS}|{HEX}"
 
+_SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
+#: Elements whose sums are taken together; an array grows by copying, so chunks keep that linear.
+CHUNK = 256
+
+
+def _chunks(column: str) -> Column:
+    """The elements of an array column in chunks."""
+    parts = F.sequence(F.lit(0), F.floor((F.size(column) - 1) / CHUNK).cast("int"))
+    return F.when(F.size(column) > 0, F.transform(parts, lambda k: F.slice(F.col(column), k * CHUNK + 1, CHUNK)))
+
+
+def _before(docs: DataFrame, column: str, value, combine, name: str) -> DataFrame:
+    """``docs`` with ``name``: for each element of ``column`` the combined ``value`` of all elements before it, 0 at first."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("list"))
+    grow = lambda own: lambda state, x: F.struct(combine(state["at"], own(x)).alias("at"), F.concat(state["list"], F.array(state["at"])).alias("list"))
+    sums = docs.withColumn("_sums", F.transform(_chunks(column), lambda chunk: F.aggregate(chunk, start, grow(value))))
+    tops = F.aggregate("_sums", start, grow(lambda chunk: chunk["at"]), lambda state: state["list"])
+    lists = F.zip_with("_sums", tops, lambda chunk, top: F.transform(chunk["list"], lambda b: combine(top, b)))
+    return sums.withColumn(name, F.coalesce(F.flatten(lists), F.array().cast("array<int>"))).drop("_sums")
 
-def _matches(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
-    """Spans of all matches. The texts between matches and the matches' lengths add up to positions."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    bodies = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least else found
-    parts = F.arrays_zip(
-        F.transform(gaps, F.length).alias("gap"), F.transform(found, F.length).alias("size"), F.transform(bodies, F.length).alias("body")
-    )
-    empty = F.lit(None).cast(_SPAN)
 
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + part["gap"]
-        stop = start + F.coalesce(part["size"], F.lit(0))
-        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop")))
-        keep = part["size"].isNotNull() & (part["body"] >= least)
-        return F.struct(stop.alias("at"), F.when(keep, F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+def _with_matches(docs: DataFrame, name: str, present: Column, pattern: str, kind: int, group: int, least: int) -> DataFrame:
+    """``docs`` with ``name``: the spans of ``pattern``'s matches whose ``group`` has ``least`` characters, with that group."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    bodies = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else F.col("_found")
+    found_ = docs.withColumns({"_gaps": F.when(present, gaps), "_found": F.when(present, found)})
+    found_ = found_.withColumn("_bodies", F.when(F.size("_found") > 0, bodies))
+    zipped = F.arrays_zip(F.transform("_gaps", F.length).alias("gap"), F.transform("_found", F.length).alias("size"), F.col("_bodies").alias("value"))
+    parts = found_.withColumn("_parts", F.when(F.size("_found") > 0, F.slice(zipped, 1, F.size("_found")))).drop("_gaps", "_found", "_bodies")
+    placed = _before(parts, "_parts", lambda p: p["gap"] + p["size"], lambda a, b: a + b, "_at")
+
+    def span(part: Column, at: Column) -> Column:
+        start = at + part["gap"]
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + part["size"]).alias("stop"), part["value"].alias("value"))
+
+    spans = F.filter(F.zip_with("_parts", "_at", span), lambda s: F.length(s["value"]) >= least)
+    return placed.withColumn(name, F.coalesce(spans.cast(_SPAN), F.array().cast(_SPAN))).drop("_parts", "_at")
 
-    first = F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.array().cast(_SPAN)).alias("spans"))
-    summed = F.aggregate(parts, first, step, lambda state: state["spans"])
-    return F.when(text.rlike(pattern), summed).otherwise(F.array().cast(_SPAN))
+
+def _bare(spans: Column | str) -> Column:
+    """Spans without the matched strings."""
+    return F.transform(spans, lambda s: s.dropFields("value"))
 
 
 def with_base_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_assign``, ``_access``, ``_hex`` spans and ``_runs``, the long runs outside all of them."""
+    """``docs`` with ``_assign``, ``_access``, ``_hex`` spans and their strings, ``_base`` (all these spans, by start) and
+    ``_runs``, the long runs that overlap none."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    based = docs.withColumns({
-        "_assign": _matches(text, ASSIGN, 0, MIN_ASSIGNED),
-        "_access": _matches(text, ACCESS, 1),
-        "_hex": _matches(text, HEX, 2),
-        "_all_runs": _matches(text, RUN, 3),
-    })
-    taken = F.concat("_assign", "_access", "_hex")
-    free = F.filter("_all_runs", lambda r: ~F.exists(taken, lambda t: (t["start"] < r["stop"]) & (r["start"] < t["stop"])))
-    return based.withColumn("_base", F.array_sort(taken)).withColumn("_runs", free).drop("_all_runs")
+    based = docs
+    for name, pattern, kind, group, least in (
+        ("_assign", ASSIGN, 0, 2, MIN_ASSIGNED), ("_access", ACCESS, 1, 0, 1), ("_hex", HEX, 2, 0, 1), ("_runs", BARRED, 3, RUN_GROUP, 1)
+    ):
+        based = _with_matches(based, name, text.rlike(RUN if name == "_runs" else pattern), pattern, kind, group, least)
+    runs = F.filter("_runs", lambda s: ~s["value"].rlike(HOLDS))
+    return based.withColumns({"_base": F.array_sort(_bare(F.concat("_assign", "_access", "_hex"))), "_runs": runs})
 
 
 def _symbols(string: Column) -> Column:
@@ -95,18 +126,15 @@ def _transitions(string: Column) -> Column:
 
 
 def samples(based: DataFrame) -> DataFrame:
-    """(label, sample, n): distinct strings matched by the base patterns are 1; short runs outside assignments, and long ones
-    of joined words, are 0. ``n`` is how often they occur."""
+    """(label, sample, n): distinct strings matched by the base patterns are 1 (of an assignment its value); short runs
+    outside assignments, and long ones of joined words, are 0. ``n`` is how often they occur."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    cut = lambda spans: F.transform(spans, lambda s: F.substring(text, s["start"] + 1, s["stop"] - s["start"]))
-    matched = based.where(F.size("_base") > 0).select(F.lit(1).alias("label"), F.explode(cut(F.col("_base"))).alias("sample"))
-    # Of an assignment only the value is random.
-    matched = matched.withColumn("sample", F.regexp_replace("sample", "^" + ASSIGN + "$", "$2"))
-    rest = F.when(F.size("_assign") > 0, F.regexp_replace(text, ASSIGN, " ")).otherwise(text)
-    short = based.select(F.lit(0).alias("label"), F.explode(F.split(rest, BETWEEN)).alias("sample")).where("length(sample) between 2 and 15")
-    joined = based.where(F.size("_runs") > 0).select(F.lit(0).alias("label"), F.explode(cut(F.col("_runs"))).alias("sample"))
-    joined = joined.where(F.col("sample").rlike(JOINED))
-    return matched.unionByName(short).unionByName(joined).groupBy("label", "sample").agg(F.count("*").alias("n"))
+    rest = F.when(text.rlike(ASSIGN), F.regexp_replace(text, ASSIGN, " ")).otherwise(text)
+    words = based.select(F.lit(0).alias("label"), F.explode(F.split(rest, BETWEEN)).alias("sample"))
+    long = (F.length("sample") > 15) & F.col("sample").rlike(JOINED) & ~F.col("sample").rlike(HOLDS)
+    matched = based.where(F.size("_base") > 0).select(F.lit(1).alias("label"), F.explode(F.concat("_assign", "_access", "_hex")).alias("span"))
+    each = words.where(F.length("sample").between(2, 15) | long).unionByName(matched.select("label", F.col("span.value").alias("sample")))
+    return each.groupBy("label", "sample").agg(F.count("*").alias("n"))
 
 
 def train(labelled: DataFrame) -> list[float]:
@@ -158,11 +186,10 @@ def _styles(own: list[int]) -> list[float]:
 
 def with_secrets(docs: DataFrame, model: list[float]) -> DataFrame:
     """``docs`` with the base spans and ``_spans``: base spans and the model's, by start and kind."""
-    text = F.coalesce(F.col("text"), F.lit(""))
     table = F.split(F.lit(",".join(f"{v:.6f}" for v in model)), ",").cast("array<double>")
 
     def random(span: Column) -> Column:
-        string = F.substring(text, span["start"] + 1, span["stop"] - span["start"])
+        string = span["value"]
         steps = F.filter(_transitions(string), lambda t: t.isNotNull())
         sizes = F.lit(log(ALPHABETS[-1][1]))
         for pattern, size in ALPHABETS[-2::-1]:
@@ -174,6 +201,7 @@ def with_secrets(docs: DataFrame, model: list[float]) -> DataFrame:
 
     based = with_base_spans(docs)
     added = F.when((F.size("_runs") > 0) & F.lit(any(model)), F.filter("_runs", random)).otherwise(F.array().cast(_SPAN))
+    added = _bare(added)
     return based.withColumn("_spans", F.array_sort(F.concat("_base", added)))
 
 
@@ -188,22 +216,25 @@ def listed(spans: str) -> Column:
 def redacted(docs: DataFrame, model: list[float], mark: str = "[secret]") -> DataFrame:
     """``docs`` with each secret replaced by ``mark``; overlapping spans are replaced as one. Other columns pass as they are."""
     carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
-    found = with_secrets(carried, model)
-
-    def merge(done: Column, span: Column) -> Column:
-        last = F.element_at(done, -1)
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["stop"], span["stop"]).alias("stop"))
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))
-        own = F.struct(span["start"].alias("start"), span["stop"].alias("stop"))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["stop"] > span["start"]), joined).otherwise(F.concat(done, F.array(own)))
-
-    merged = F.aggregate("_spans", F.array().cast("array<struct<start:int,stop:int>>"), merge)
-    text, size = F.col("text"), F.length("text")
-    starts = F.concat(F.array(F.lit(0)), F.transform("_merged", lambda s: s["stop"]))
-    stops = F.concat(F.transform("_merged", lambda s: s["start"]), F.array(size))
-    pieces = F.zip_with(starts, stops, lambda a, b: F.substring(text, a + 1, b - a))
-    return (
-        found.withColumn("_merged", F.when(F.size("_spans") > 0, merged))
-        .withColumn("text", F.when(F.size("_merged") > 0, F.array_join(pieces, mark)).otherwise(text))
-        .select(F.col("row").withField("text", F.col("text")).alias("row")).select("row.*")
-    )
+    found = with_secrets(carried, model).select("row", "text", "_spans")
+    found = _before(found, "_spans", lambda s: s["stop"], lambda a, b: F.greatest(a, b), "_reach")
+    # A span that starts before an earlier one's end belongs to it.
+    first = F.filter(
+        F.zip_with("_spans", "_reach", lambda s, b: F.struct(b.alias("before"), s["start"].alias("start"))), lambda i: i["start"] >= i["before"]
+    )
+    found = found.withColumns({"_items": first, "_end": F.array_max(F.transform("_spans", lambda s: s["stop"]))})
+    text = F.col("text")
+
+    # The text between secrets is cut out of a chunk's own stretch, never out of the whole text.
+    def stretch(chunk: Column) -> Column:
+        low, high = F.get(chunk, F.lit(0))["before"], F.element_at(chunk, -1)["start"]
+        return F.struct(chunk.alias("items"), low.alias("low"), F.substring(text, low + 1, high - low).alias("part"))
+
+    def pieces(s: Column) -> Column:
+        return F.transform(s["items"], lambda i: F.concat(F.substring(s["part"], i["before"] - s["low"] + 1, i["start"] - i["before"]), F.lit(mark)))
+
+    body = F.array_join(F.flatten(F.transform(F.transform(_chunks("_items"), stretch), pieces)), "")
+    whole = F.concat(body, F.substring(text, F.col("_end") + 1, F.length(text)))
+    return found.withColumn("text", F.when(F.size("_spans") > 0, whole).otherwise(text)).select(
+        F.col("row").withField("text", F.col("text")).alias("row")
+    ).select("row.*")
