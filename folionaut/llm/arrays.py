@@ -8,8 +8,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from folionaut.llm.workers import forgets
+
 #: Text bytes handled at once; one longer document makes a block of its own.
 BLOCK_BYTES = (2 << 20) - 64
+#: The same for operators of many temporary arrays.
+SMALL_BLOCK_BYTES = (1 << 18) - 64
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -35,9 +39,12 @@ def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
     return tables[0], tables[1]
 
 
+forgets(_power_table.cache_clear)
+
+
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Power tables of at least ``size`` entries."""
-    return _power_table(max(1 << 21, 1 << int(size).bit_length()))
+    return _power_table(max(1 << 16, 1 << int(size).bit_length()))
 
 
 def mix(values: np.ndarray) -> np.ndarray:

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from folionaut.llm.arrays import blocks, codes
+from folionaut.llm.workers import forgets
 
 #: States and remembered pieces per worker before its memory starts anew; the longest piece that is remembered.
 MAX_STATES = 200_000
@@ -282,6 +283,9 @@ def machine(path: str) -> Merges:
     return Merges(path)
 
 
+forgets(machine.cache_clear)
+
+
 def token_counts(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, n_tokens) of every text."""
 

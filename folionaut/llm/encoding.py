@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 from folionaut.llm.arrays import SPACE, codes, ranges, spans
+from folionaut.llm.workers import forgets
 
 #: Units kept per worker before its memory starts anew (about 40 bytes each), and the longest unit that is kept.
 KEPT_UNITS = 3_000_000
@@ -149,6 +150,9 @@ def encoder(path: str, spaced: bool) -> Encoder:
     return Encoder(path, spaced)
 
 
+forgets(encoder.cache_clear)
+
+
 def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Append ``end_id`` to each row's ids."""
     bounds = np.cumsum(sizes)

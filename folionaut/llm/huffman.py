@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from folionaut.llm.arrays import blocks
 from folionaut.llm.encoding import binary_column, encoder, with_end
 from folionaut.llm.session import partitions
+from folionaut.llm.workers import forgets
 
 LIMIT = 20
 BLOCK_IDS = 1 << 18
@@ -122,6 +123,9 @@ def _decoder(lengths: bytes) -> Decoder:
     return Decoder(np.frombuffer(lengths, dtype=np.uint8))
 
 
+forgets(_decoder.cache_clear)
+
+
 def id_counts(docs: DataFrame, path: str, spaced: bool, end_id: int) -> DataFrame:
     """(id, count) over all texts, with the end id of each."""
 

@@ -32,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folionaut.llm.arrays import blocks, codes, mix, ranges, windows, words
+from folionaut.llm.arrays import SMALL_BLOCK_BYTES, blocks, codes, mix, ranges, windows, words
 from folionaut.llm.components import components
 from folionaut.llm.encoding import binary_column
 from folionaut.llm.session import partitions, staged
+from folionaut.llm.workers import only
 
 #: Ratio of the sizes of a class.
 CLASS_RATIO = 1.5
@@ -43,7 +44,10 @@ CLASS_RATIO = 1.5
 SAFE_PARTS = 40
 WEAK_PARTS = (2, 1)
 #: Signatures contracted and shipped at once by a task, and their buckets for each shuffle partition.
-LOT = 1 << 20
+LOT = 1 << 18
+BUCKET = 1 << 20
+#: Shingles of a region that are dealt anew at once.
+DEALT = 1 << 18
 #: Shingles of a region that one task joins; larger regions are joined by rounds of pivots.
 REGION_SHINGLES = 8_000_000
 #: Pivots of one region and round, and their shingles in all.
@@ -157,19 +161,25 @@ def sizes(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("jaccard")
         for batch in batches:
-            for first, after, data, offsets in blocks(batch.column(1)):
+            for first, after, data, offsets in blocks(batch.column(1), SMALL_BLOCK_BYTES):
                 count = np.diff(shingle_sets(data, offsets, width)[1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, after - first), pa.array(count)], ["doc_id", "n_shingles"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long")
 
 
-def meetings(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): edges that connect all documents with an equal signature."""
-    buckets = partitions(docs.sparkSession)
+def meetings(docs: DataFrame, width: int, percent: int, shingles: int = 0) -> DataFrame:
+    """(a, b): edges that connect all documents with an equal signature.
+
+    Signatures are about as many as ``shingles``; buckets follow from that, so that a task holds a bounded number of them
+    at any size of the table.
+    """
+    buckets = max(partitions(docs.sparkSession), -(-shingles // BUCKET))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("jaccard")
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -192,7 +202,7 @@ def meetings(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([int(edge[0, 0] % buckets)], pa.int32()), pa.array([None], pa.binary()), pairs], ["bucket", "codes", "ids"])
 
         for batch in batches:
-            for first, after, data, offsets in blocks(batch.column(1)):
+            for first, after, data, offsets in blocks(batch.column(1), SMALL_BLOCK_BYTES):
                 ids = batch.column(0).slice(first, after - first).to_numpy()
                 code, row = signatures(*shingle_sets(data, offsets, width), percent)
                 held.append((code, ids[row]))
@@ -202,6 +212,7 @@ def meetings(docs: DataFrame, width: int, percent: int) -> DataFrame:
             yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("jaccard")
         code, ids, edges = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)], [np.empty((0, 2), dtype=np.int64)]
         for batch in batches:
             for c, i in zip(batch.column(1), batch.column(2)):
@@ -283,13 +294,17 @@ class Region:
                 self.distances(int(rows[i]), rows[open_])
 
 
-def _redealt(values: np.ndarray, bounds: np.ndarray, percent: int, rows: np.ndarray, deal: int) -> list[np.ndarray]:
-    """``rows`` split by equal parts under another dealing: linked documents stay together, chance meetings mostly don't."""
-    size = np.diff(bounds)[rows]
-    own = values[ranges(bounds[rows], size)]
-    code, row = signatures(mix(own + np.uint64(deal)), np.append(0, np.cumsum(size)), percent)
-    parent = np.arange(len(rows))
-    edge = _contract(code, row)[2]
+def _redealt(values: np.ndarray, bounds: np.ndarray, percent: int, deal: int) -> list[np.ndarray]:
+    """All rows split by equal parts under another dealing: linked documents stay together, chance meetings mostly don't."""
+    rows = len(bounds) - 1
+    parts, first = [], 0
+    while first < rows:
+        after = max(first + 1, int(np.searchsorted(bounds, bounds[first] + DEALT, side="right")) - 1)
+        code, row = signatures(mix(values[bounds[first] : bounds[after]] + np.uint64(deal)), bounds[first : after + 1] - bounds[first], percent)
+        parts.append((code, row + first))
+        first = after
+    edge = _contract(*(np.concatenate(x) for x in zip(*parts)))[2]
+    parent = np.arange(rows)
     while len(edge):
         low, high = parent[edge].min(axis=1), parent[edge].max(axis=1)
         if (low == high).all():
@@ -299,37 +314,63 @@ def _redealt(values: np.ndarray, bounds: np.ndarray, percent: int, rows: np.ndar
         np.minimum.at(parent, edge[:, 1], low)
         parent = parent[parent]
     order = np.argsort(parent, kind="stable")
-    return np.split(rows[order], np.flatnonzero(np.diff(parent[order])) + 1)
+    return np.split(order, np.flatnonzero(np.diff(parent[order])) + 1)
+
+
+def _distinct_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle codes and bounds of the distinct sets that are not empty, and for each text the number of its set, or -1.
+
+    Sets are told apart by size and two sums of mixed codes. Block after block, copies are let go as they are seen, so
+    memory follows the distinct sets, however many copies a region holds.
+    """
+    known: dict[tuple[int, int, int], int] = {}
+    kept, sizes_, number = [np.empty(0, dtype=np.uint64)], [], []
+    for _, _, data, offsets in blocks(texts, SMALL_BLOCK_BYTES):
+        values, bounds = shingle_sets(data, offsets, width)
+        size = np.diff(bounds)
+        full = np.flatnonzero(size)
+        own = np.full(len(size), -1, dtype=np.int64)
+        if len(full):
+            sums = np.add.reduceat(mix(values), bounds[full])
+            more = np.add.reduceat(mix(values ^ np.uint64(0xA0761D6478BD642F)), bounds[full])
+            new = []
+            for row, key in zip(full.tolist(), zip(size[full].tolist(), sums.tolist(), more.tolist())):
+                if (at := known.get(key)) is None:
+                    at = known[key] = len(known)
+                    new.append(row)
+                own[row] = at
+            new = np.array(new, dtype=np.int64)
+            kept.append(values[ranges(bounds[new], size[new])])
+            sizes_.append(size[new])
+        number.append(own)
+    bounds = np.append(0, np.cumsum(np.concatenate(sizes_))) if sizes_ else np.zeros(1, dtype=np.int64)
+    return np.concatenate(kept), bounds.astype(np.int64), np.concatenate(number) if number else np.empty(0, dtype=np.int64)
 
 
 def _join_region(percent: int, width: int):
     """One region's documents to their components."""
 
+    def split(values: np.ndarray, bounds: np.ndarray, rows: np.ndarray, deals: tuple[int, ...]) -> Iterator[tuple[np.ndarray, Region]]:
+        """Parts of the region under further dealings, each with its own table of shingles."""
+        if not deals or len(rows) <= 2 * PIVOTS:
+            yield rows, Region(values, bounds, percent)
+            return
+        for part in _redealt(values, bounds, percent, deals[0]):
+            size = np.diff(bounds)[part]
+            yield from split(values[ranges(bounds[part], size)], np.append(0, np.cumsum(size)), rows[part], deals[1:])
+
     def run(group: pa.Table) -> pa.Table:
+        only("jaccard")
         ids = group.column("doc_id").to_numpy()
-        parts = [shingle_sets(d, o, width) for _, _, d, o in blocks(group.column("text").combine_chunks())]
-        values = np.concatenate([v for v, _ in parts])
-        bounds = np.append(0, np.cumsum(np.concatenate([np.diff(b) for _, b in parts])))
-        # Equal sets are one: told apart by size and the sum and xor-sum of mixed codes.
-        size = np.diff(bounds)
-        keep = np.flatnonzero(size)
-        sums = np.add.reduceat(mix(values), bounds[keep]) if len(keep) else np.empty(0, dtype=np.uint64)
-        more = np.add.reduceat(mix(values ^ np.uint64(0xA0761D6478BD642F)), bounds[keep]) if len(keep) else sums
-        keyed = np.zeros(len(keep), dtype=[("n", np.int64), ("s", np.uint64), ("m", np.uint64)])
-        keyed["n"], keyed["s"], keyed["m"] = size[keep], sums, more
-        _, first, inverse = np.unique(keyed, return_index=True, return_inverse=True)
-        chosen = keep[first]
-        region = Region(values[ranges(bounds[chosen], size[chosen])], np.append(0, np.cumsum(size[chosen])), percent)
-        groups = [np.arange(len(chosen))]
-        for deal in (1, 2):
-            groups = [
-                part for own in groups
-                for part in (_redealt(values[ranges(bounds[chosen], size[chosen])], region.bounds, percent, own, deal) if len(own) > 2 * PIVOTS else [own])
-            ]
-        for own in groups:
-            region.join(own)
-        label = region.roots(np.arange(len(chosen)))[inverse]
-        least = np.full(len(chosen), np.iinfo(np.int64).max)
+        values, bounds, number = _distinct_sets(group.column("text").combine_chunks(), width)
+        sets = len(bounds) - 1
+        label = np.arange(sets)
+        for rows, region in split(values, bounds, np.arange(sets), (1, 2)):
+            region.join(np.arange(len(rows)))
+            label[rows] = rows[region.roots(np.arange(len(rows)))]
+        keep = number >= 0
+        label = label[number[keep]]
+        least = np.full(sets, np.iinfo(np.int64).max)
         np.minimum.at(least, label, ids[keep])
         return pa.table({"doc_id": pa.array(ids[keep]), "component": pa.array(least[label])})
 
@@ -346,7 +387,7 @@ def _large_regions(rows: DataFrame, percent: int, width: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, after, data, offsets in blocks(batch.column(2)):
+            for first, after, data, offsets in blocks(batch.column(2), SMALL_BLOCK_BYTES):
                 values, bounds = shingle_sets(data, offsets, width)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, after - first), batch.column(1).slice(first, after - first), pa.array(np.diff(bounds)), binary_column(values, bounds)],
@@ -397,7 +438,8 @@ def _large_regions(rows: DataFrame, percent: int, width: int) -> DataFrame:
 def joined(docs: DataFrame, width: int = 5, percent: int = 80, region_shingles: int = REGION_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: documents link if ``100 * intersection >= percent * union``."""
     size = staged(sizes(docs, width))
-    regions = staged(components(meetings(docs, width, percent)))
+    shingles = size.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    regions = staged(components(meetings(docs, width, percent, shingles)))
     placed = regions.select(F.col("id").alias("doc_id"), F.col("component").alias("region"))
     weight = placed.join(size, "doc_id").groupBy("region").agg(F.sum("n_shingles").alias("weight"))
     large = weight.where(F.col("weight") > region_shingles).select("region")

@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folionaut.llm.arrays import blocks, windows, words
+from folionaut.llm.arrays import SMALL_BLOCK_BYTES, blocks, windows, words
 from folionaut.llm.arrays import codes as span_codes
+from folionaut.llm.workers import only
 
 STATISTICS = (
     "log_words", "word_bytes", "upper", "digits", "symbols", "pauses", "bars", "word_end_symbols", "line_ends",
@@ -91,8 +92,9 @@ def with_statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, x): the statistics of every document."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("quality")
         for batch in batches:
-            for first, after, data, offsets in blocks(batch.column(1)):
+            for first, after, data, offsets in blocks(batch.column(1), SMALL_BLOCK_BYTES):
                 x = statistics(data, offsets)
                 bounds = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
                 yield pa.RecordBatch.from_arrays(
