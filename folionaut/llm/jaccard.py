@@ -48,6 +48,7 @@ LOT = 1 << 18
 BUCKET = 1 << 20
 #: Shingles of a region that are dealt anew at once.
 DEALT = 1 << 18
+DEALT_PARTS = 16
 #: Shingles of a region that one task joins; larger regions are joined by rounds of pivots.
 REGION_SHINGLES = 8_000_000
 #: Pivots of one region and round, and their shingles in all.
@@ -297,13 +298,24 @@ class Region:
 def _redealt(values: np.ndarray, bounds: np.ndarray, percent: int, deal: int) -> list[np.ndarray]:
     """All rows split by equal parts under another dealing: linked documents stay together, chance meetings mostly don't."""
     rows = len(bounds) - 1
-    parts, first = [], 0
+    # Signatures are told apart by their first bits, so that few are sorted at once.
+    parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(DEALT_PARTS)]
+    first = 0
     while first < rows:
         after = max(first + 1, int(np.searchsorted(bounds, bounds[first] + DEALT, side="right")) - 1)
         code, row = signatures(mix(values[bounds[first] : bounds[after]] + np.uint64(deal)), bounds[first : after + 1] - bounds[first], percent)
-        parts.append((code, row + first))
+        home = (code % np.uint64(DEALT_PARTS)).astype(np.int8)
+        order = np.argsort(home, kind="stable")
+        cuts = np.searchsorted(home[order], np.arange(DEALT_PARTS + 1))
+        code, row = code[order], (row[order] + first).astype(np.int32)
+        for own, a, b in zip(parts, cuts[:-1].tolist(), cuts[1:].tolist()):
+            own.append((code[a:b].copy(), row[a:b].copy()))
         first = after
-    edge = _contract(*(np.concatenate(x) for x in zip(*parts)))[2]
+    edges = [np.empty((0, 2), dtype=np.int64)]
+    while parts:
+        code, row = (np.concatenate(x) for x in zip(*parts.pop()))
+        edges.append(_contract(code, row.astype(np.int64))[2])
+    edge = np.concatenate(edges)
     parent = np.arange(rows)
     while len(edge):
         low, high = parent[edge].min(axis=1), parent[edge].max(axis=1)
