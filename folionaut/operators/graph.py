@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from folionaut.functions.names import family
 from folionaut.functions.text import stable_id
+from folionaut.operators.spans import overlapping
+
+__all__ = ["BINDINGS", "current_sources", "entities", "observed_edges", "overlapping", "resolve"]
 
 BINDINGS = ("variable", "parameter")
 
@@ -117,7 +120,7 @@ def resolve(edges: DataFrame, known: DataFrame) -> DataFrame:
     keyed = edges.withColumn("family", family(F.col("language")))
 
     hinted = keyed.filter(F.col("target_hint").isNotNull()).join(
-        known.select(F.col("entity_id").alias("target_hint"), F.col("source_id"), F.struct("entity_id", "source_id", F.col("kind")).alias("only")),
+        known.filter(F.col("kind") != "implementation").select(F.col("entity_id").alias("target_hint"), F.col("source_id"), F.struct("entity_id", "source_id", F.col("kind")).alias("only")),
         ["target_hint", "source_id"], "left",
     ).select(
         *edges.columns, F.when(F.col("only").isNotNull(), F.lit(1)).cast("bigint").alias("candidates"), "only",
@@ -179,26 +182,3 @@ def current_sources(parsed: DataFrame, sources: DataFrame, parser_version: str)
     live = sources.filter((F.col("status") == "indexed") & F.col("deleted_at").isNull())
     valid = parsed.filter(F.col("parser_version") == parser_version)
     return valid.join(live.select("source_id", "content_hash"), ["source_id", "content_hash"], "left_semi")
-
-
-def overlapping(
-    left: DataFrame, right: DataFrame, on: str, left_span: tuple[str, str], right_span: tuple[str, str], width: int = 64
-) -> DataFrame:
-    """Pairs of rows of the same ``on`` whose line spans overlap.
-
-    Spans are cut into line buckets, so rows meet only where they may overlap and a long file is
-    spread over many keys; a pair is kept in the first bucket it shares.
-    """
-
-    def bucket(column: str) -> Column:
-        return F.floor(F.col(column) / width).cast("int")
-
-    def buckets(span: tuple[str, str]) -> Column:
-        return F.explode(F.sequence(bucket(span[0]), bucket(span[1])))
-
-    a = left.filter(F.col(left_span[0]) <= F.col(left_span[1])).withColumn("_bucket", buckets(left_span))
-    b = right.filter(F.col(right_span[0]) <= F.col(right_span[1])).withColumn("_bucket", buckets(right_span))
-    pairs = a.join(b, [on, "_bucket"])
-    first_shared = F.greatest(bucket(left_span[0]), bucket(right_span[0]))
-    overlap = (F.col(left_span[0]) <= F.col(right_span[1])) & (F.col(left_span[1]) >= F.col(right_span[0]))
-    return pairs.filter(overlap & (F.col("_bucket") == first_shared)).drop("_bucket")

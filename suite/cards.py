@@ -106,14 +106,17 @@ def card_lexical_scores(spark, folder):
     "card_hybrid_topk",
     "WITH" + LEXICAL_SQL + """,
 both_ AS (
-  SELECT card_id, expert AS s, row_number() OVER (ORDER BY expert DESC, card_id) AS r FROM semantic WHERE expert >= 0.3
-  UNION ALL SELECT card_id, score, row_number() OVER (ORDER BY score DESC, card_id) FROM lexical WHERE score >= 0.3)
+  SELECT card_id, round(expert, 9) AS s, row_number() OVER (ORDER BY round(expert, 9) DESC, card_id) AS r FROM semantic WHERE round(expert, 9) >= 0.3
+  UNION ALL SELECT card_id, round(score, 9), row_number() OVER (ORDER BY round(score, 9) DESC, card_id) FROM lexical WHERE round(score, 9) >= 0.3)
 SELECT card_id, round(sum(1.0 / (60 + r)), 9) AS rank_score, round(max(s), 6) AS score FROM both_ GROUP BY card_id
-ORDER BY sum(1.0 / (60 + r)) DESC, max(s) DESC, card_id LIMIT 50""",
+ORDER BY round(sum(1.0 / (60 + r)), 12) DESC, max(s) DESC, card_id LIMIT 50""",
 )
 def card_hybrid_topk(spark, folder):
-    lexical = C.lexical_scores(part_cards(spark, folder), QUESTION, 0.3)
-    found = C.retrieve_cards(semantic(spark, folder, "expert", 0.3), lexical, True, 50)
+    """Scores are rounded before they are ranked: sums of floats differ in their last bit from run to run."""
+    # A little below the threshold, so that it is asked of the rounded scores.
+    lexical = C.lexical_scores(part_cards(spark, folder), QUESTION, 0.29).withColumn("keyword_score", F.round("keyword_score", 9))
+    vectors = semantic(spark, folder, "expert", 0.29).withColumn("vector_score", F.round("vector_score", 9))
+    found = C.retrieve_cards(vectors.where("vector_score >= 0.3"), lexical.where("keyword_score >= 0.3"), True, 50)
     return found.select("card_id", F.round("rank_score", 9).alias("rank_score"), F.round("score", 6).alias("score"))
 
 

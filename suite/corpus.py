@@ -40,7 +40,7 @@ def search_with_evidence(spark, folder):
     )
 
 
-LANGUAGES = ("de", "en", "fr")
+LANGUAGES = ("de", "en", "es", "fr")
 WORDS = "thtion the mentre blue widgets for small sizes"
 CORPUS_TOP = 50
 
@@ -57,7 +57,7 @@ dfound AS (SELECT *, count(*) OVER (PARTITION BY q, lang)::DOUBLE AS df FROM dhi
 dscores AS (
   SELECT lang, seq, candidate, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS s
   FROM dfound JOIN dstats USING (lang) GROUP BY ALL),
-dranked AS (SELECT lang AS collection, 'document' AS kind, seq, s, row_number() OVER (PARTITION BY lang ORDER BY s DESC, seq) AS r FROM dscores WHERE candidate AND lang IN ('de', 'en', 'fr')),
+dranked AS (SELECT lang AS collection, 'document' AS kind, seq, s, row_number() OVER (PARTITION BY lang ORDER BY s DESC, seq) AS r FROM dscores WHERE candidate AND lang IN ('de', 'en', 'es', 'fr')),
 cranked AS (SELECT 'parts' AS collection, 'knowledge_card' AS kind, card_id AS seq, score AS s, row_number() OVER (ORDER BY score DESC, card_id) AS r FROM lexical WHERE score >= 0.2),
 every_ AS (SELECT * FROM dranked UNION ALL SELECT * FROM cranked)
 SELECT collection, kind, r::INTEGER AS collection_rank, round(s, 6) AS score, (row_number() OVER (ORDER BY r, collection))::INTEGER AS rank
