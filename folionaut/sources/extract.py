@@ -6,7 +6,7 @@ import csv
 import zipfile
 import zlib
 from collections.abc import Iterator
-from xml.etree.ElementTree import ParseError
+from xml.parsers.expat import ExpatError
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,26 +14,29 @@ from pyspark.sql import functions as F
 
 from folionaut.operators.chunking import BLOCKS
 from folionaut.settings import FolioError
-from folionaut.sources.archives import READERS
+from folionaut.sources.books import book_blocks
 from folionaut.sources.bytes import any_text, certain_text
 from folionaut.sources.markup import markdown_blocks, read_markdown, read_page
+from folionaut.sources.office import LAYOUTS, UNITS, office_blocks, too_large, units
 from folionaut.sources.pdftext import shown_text
 from folionaut.sources.plaintext import CODE_SUFFIXES, TEXT_SUFFIXES, code_blocks, delimited_rows, complete, markdown_text, plain_blocks
 
-RESULT = f"struct<text:string,blocks:{BLOCKS},title:string,extractor:string,error:string>"
+RESULT = f"struct<text:string,blocks:{BLOCKS},units:{UNITS},title:string,extractor:string,error:string>"
 MARKDOWN_SUFFIXES = ("md", "markdown")
 HTML_SUFFIXES = ("html", "htm")
-SUPPORTED = (*TEXT_SUFFIXES, *CODE_SUFFIXES, *MARKDOWN_SUFFIXES, *HTML_SUFFIXES, *READERS, "pdf")
+SUPPORTED = (*TEXT_SUFFIXES, *CODE_SUFFIXES, *MARKDOWN_SUFFIXES, *HTML_SUFFIXES, *LAYOUTS, "epub", "pdf")
 # What a damaged, encrypted or endlessly nested file can raise; such a file is marked and the others go on.
 EXPECTED_ERRORS = (
-    FolioError, zipfile.BadZipFile, zlib.error, csv.Error, ParseError, UnicodeError, LookupError, ValueError, StopIteration, RuntimeError, EOFError,
+    FolioError, zipfile.BadZipFile, zlib.error, csv.Error, ExpatError, UnicodeError, LookupError, ValueError, StopIteration, RuntimeError, EOFError,
 )
 
 
 def _structured(data: bytes, suffix: str) -> dict:
     """Blocks of formats with their own structure."""
-    if suffix in READERS:
-        return {"blocks": READERS[suffix](data), "extractor": suffix}
+    if suffix in LAYOUTS:
+        return {"units": units(data, suffix), "extractor": suffix}
+    if suffix == "epub":
+        return {"blocks": book_blocks(data), "extractor": suffix}
     if suffix == "pdf":
         text = shown_text(data)
         if not text.strip():
@@ -79,18 +82,23 @@ def extract_blocks(files: DataFrame, kind: str = "general") -> DataFrame:
     def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for contents, suffixes in batches:
             rows = [read_content(bytes(c), s, sniff) for c, s in zip(contents, suffixes)]
-            columns = ("text", "blocks", "title", "extractor", "error")
+            columns = ("text", "blocks", "units", "title", "extractor", "error")
             yield pd.DataFrame({name: pd.Series([row.get(name) for row in rows], dtype=object) for name in columns})
 
     keep = [c for c in files.columns if c != "content"]
     found = files.select(*keep, read("content", "extension").alias("_r"))
+    kind, spread = F.col("_r.extractor"), F.coalesce(too_large(F.col("_r.units"), F.col("_r.extractor")), F.lit(False))
     blocks = (
-        F.when(F.col("_r.extractor").startswith("source_code"), code_blocks(F.col("_r.text")))
-        .when(F.col("_r.extractor") == "text", plain_blocks(F.col("_r.text")))
+        F.when(kind.startswith("source_code"), code_blocks(F.col("_r.text")))
+        .when(kind == "text", plain_blocks(F.col("_r.text")))
+        .when(kind.isin(*LAYOUTS) & ~spread, office_blocks(F.col("_r.units"), kind))
         .otherwise(F.col("_r.blocks"))
     )
-    source_text = F.when(F.col("_r.extractor").startswith("source_code"), F.col("_r.text")).alias("source_text")
-    return found.select(*keep, blocks.alias("blocks"), source_text, *[F.col(f"_r.{name}").alias(name) for name in ("title", "extractor", "error")])
+    error = F.when(spread, F.lit("FILE_TOO_LARGE: cells repeat too often or lie beyond the last column")).otherwise(F.col("_r.error"))
+    return found.select(
+        *keep, blocks.alias("blocks"), F.when(kind.startswith("source_code"), F.col("_r.text")).alias("source_text"),
+        F.col("_r.title").alias("title"), F.when(~spread, kind).alias("extractor"), error.alias("error"),
+    )
 
 
 def reparsed_as_markdown(extracted: DataFrame) -> DataFrame:

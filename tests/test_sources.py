@@ -1,5 +1,6 @@
 """Readers of all formats, on small inputs made here."""
 
+import base64
 import codecs
 import io
 import zipfile
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folionaut.settings import FolioError
-from folionaut.sources import archives, bytes as raw, cardfiles, pdftext, plaintext
+from folionaut.sources import books, bytes as raw, cardfiles, office, pdftext, plaintext
 from folionaut.sources.extract import extract_blocks, reparsed_as_markdown
 from folionaut.sources.markup import read_markdown, read_page
 from folionaut.sources.transcript import duration_seconds, transcript_blocks
@@ -107,41 +108,55 @@ def test_decoding(spark):
 W = 'xmlns:w="http://w" xmlns:a="http://a"'
 
 
-def test_word_and_slides():
-    document = f'<w:document {W}><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:t>Head</w:t></w:p><w:p><w:t>bo</w:t><w:t>dy</w:t></w:p><w:p/></w:document>'
-    blocks = archives.docx(pack({"word/document.xml": document}))
-    assert [(b["text"], b["is_heading"], b["section_path"]) for b in blocks] == [("Head", True, "Head"), ("body", False, "Head")]
+def office_rows(spark, kind, files):
+    """Blocks, or the error, of one archive read as the store reads it."""
+    frame = spark.createDataFrame([("f", kind, pack(files))], "filename string, extension string, content binary")
+    row = extract_blocks(frame).first()
+    return row["error"] or row["blocks"]
+
+
+def test_word_and_slides(spark):
+    document = f'<w:document {W}><w:p><w:t>  </w:t></w:p><w:p><w:t>before</w:t></w:p><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:t>Head</w:t></w:p><w:p><w:t>bo</w:t><w:t>dy</w:t><w:x>no</w:x></w:p><w:p/></w:document>'
+    blocks = office_rows(spark, "docx", {"word/document.xml": document})
+    assert [(b["text"], b["is_heading"], b["section_path"]) for b in blocks] == [("before", False, None), ("Head", True, "Head"), ("body", False, "Head")]
+    assert office_rows(spark, "docx", {"word/document.xml": "<a/>"}) == [] and office_rows(spark, "docx", {"other": ""}) == []
     slides = {f"ppt/slides/slide{n}.xml": f"<s {W}><a:p><a:t>text {n}</a:t></a:p></s>" for n in (10, 2, 1)}
-    assert [(b["text"], b["slide"]) for b in archives.pptx(pack(slides))] == [("text 1", 1), ("text 2", 2), ("text 10", 3)]
+    assert [(b["text"], b["slide"]) for b in office_rows(spark, "pptx", slides)] == [("text 1", 1), ("text 2", 2), ("text 10", 3)]
 
 
-def test_workbook():
+def test_workbook(spark):
     files = {
         "xl/workbook.xml": '<workbook xmlns:r="http://r"><sheets><sheet name="Prices" r:id="rId1"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>',
         "xl/sharedStrings.xml": "<sst><si><t>name</t></si><si><r><t>la</t></r><r><t>mp</t></r></si></sst>",
-        "xl/worksheets/sheet1.xml": '<worksheet><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1"><v>2.5</v></c></row>'
-        '<row r="3"><c r="A3" t="s"><v>1</v></c><c r="B3" t="inlineStr"><is><t>in</t></is></c><c r="C3" t="b"><v>1</v></c></row></sheetData></worksheet>',
+        "xl/calcChain.xml": '<calcChain><c r="A1"/></calcChain>',
+        "xl/worksheets/sheet1.xml": '<worksheet><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1"><f>1+1</f><v>2.5</v></c></row><row r="2"><c r="A2"/></row>'
+        '<row r="3"><c r="A3" t="s"><v>1</v></c><c r="B3" t="inlineStr"><is><t>in</t></is></c><c r="C3" t="b"><v>1</v></c></row><row><c><v>x</v></c><c/><c r="D4"><v>y</v></c></row></sheetData></worksheet>',
     }
-    assert [(b["text"], b["sheet"], b["line_start"]) for b in archives.xlsx(pack(files))] == [("name\t\t2.5", "Prices", 1), ("lamp\tin\tTrue", "Prices", 3)]
+    found = office_rows(spark, "xlsx", files)
+    assert [(b["text"], b["sheet"], b["line_start"]) for b in found] == [("name\t\t2.5", "Prices", 1), ("lamp\tin\tTrue", "Prices", 3), ("x\t\t\ty", "Prices", 4)]
+    absolute = {k: v.replace('"worksheets', '"/xl/worksheets') for k, v in files.items()}
+    assert office_rows(spark, "xlsx", absolute) == found
+    far = {k: v.replace('"C1"', '"ZZZZ1"') for k, v in files.items()}
+    assert office_rows(spark, "xlsx", far).startswith("FILE_TOO_LARGE")
 
 
 T = 'xmlns:t="http://t" xmlns:o="http://o" xmlns:x="http://x"'
 
 
-def test_open_documents():
+def test_open_documents(spark):
     table = (
         f'<d {T}><t:table t:name="S"><t:table-row t:number-rows-repeated="2"><t:table-cell t:number-columns-repeated="2"><x:p>v</x:p></t:table-cell>'
-        '<t:table-cell t:number-columns-repeated="16000"/></t:table-row><t:table-row><t:table-cell o:value="7"/></t:table-row></t:table></d>'
+        '<t:table-cell t:number-columns-repeated="16000"/></t:table-row><t:table-row t:number-rows-repeated="5000000"><t:table-cell/></t:table-row>'
+        '<t:table-row><t:table-cell o:value="7"/><t:covered-table-cell/><t:table-cell><o:annotation><x:p>note</x:p></o:annotation><x:p>a</x:p><x:p>b<x:s>c</x:s></x:p></t:table-cell></t:table-row></t:table></d>'
     )
-    assert [(b["text"], b["line_start"]) for b in archives.ods(pack({"content.xml": table}))] == [("v\tv", 1), ("v\tv", 2), ("7", 3)]
-    endless = table.replace('repeated="2"><t:table-cell t', 'repeated="20000"><t:table-cell t')
-    with pytest.raises(FolioError):
-        archives.ods(pack({"content.xml": endless}))
+    assert [(b["text"], b["line_start"]) for b in office_rows(spark, "ods", {"content.xml": table})] == [("v\tv", 1), ("v\tv", 2), ("7\t\ta bc", 5000003)]
+    for endless in (table.replace('repeated="2"><t:table-cell t', 'repeated="20000"><t:table-cell t'), table.replace('columns-repeated="2"', 'columns-repeated="20000"')):
+        assert office_rows(spark, "ods", {"content.xml": endless}).startswith("FILE_TOO_LARGE")
     text = f"<d {T}><x:h>Head</x:h><x:p>bo<x:span>dy</x:span></x:p></d>"
-    assert [(b["text"], b["section_path"]) for b in archives.odt(pack({"content.xml": text}))] == [("Head", "Head"), ("body", "Head")]
-    slides = f"<d {T}><t:page><x:p>one</x:p></t:page><t:page><x:h>two</x:h></t:page></d>"
-    assert [(b["text"], b["slide"]) for b in archives.odp(pack({"content.xml": slides}))] == [("one", 1), ("two", 2)]
+    assert [(b["text"], b["section_path"]) for b in office_rows(spark, "odt", {"content.xml": text})] == [("Head", "Head"), ("body", "Head")]
+    slides = f"<d {T}><x:p>master</x:p><t:page><x:p>one</x:p></t:page><t:page><x:h>two</x:h></t:page></d>"
+    assert [(b["text"], b["slide"]) for b in office_rows(spark, "odp", {"content.xml": slides})] == [("one", 1), ("two", 2)]
 
 
 def test_book_follows_its_spine():
@@ -150,20 +165,25 @@ def test_book_follows_its_spine():
         "OPS/p.opf": '<p><item id="a" href="a.html"/><item id="b" href="sub/b.html#x"/><itemref idref="b"/><itemref idref="a"/></p>',
         "OPS/a.html": "<h1>A</h1><p>x</p>", "OPS/sub/b.html": "<title>B</title><p>y</p>",
     }
-    assert [(b["text"], b["section_path"]) for b in archives.epub(pack(files))] == [("y", "B"), ("A", "A"), ("x", "A")]
+    assert [(b["text"], b["section_path"]) for b in books.book_blocks(pack(files))] == [("y", "B"), ("A", "A"), ("x", "A")]
 
 
-def test_archives_refuse_entities():
-    with pytest.raises(FolioError):
-        archives.docx(pack({"word/document.xml": '<!DOCTYPE x [<!ENTITY a "b">]><x>&a;</x>'}))
+def test_archives_refuse_entities(spark):
+    late = "<!-- " + "x" * 5000 + ' --><!DOCTYPE x [<!ENTITY a "b">]><x>&a;</x>'
+    assert "type declarations" in office_rows(spark, "docx", {"word/document.xml": late})
+    assert office_rows(spark, "docx", {"word/document.xml": "<a><b></a>"}).startswith("ExpatError")
 
 
 def test_pdf_streams_and_page_marks():
     shown = b"BT (Hello \\(there\\)) Tj [(Wor) -20 (ld)] TJ ET"
     plain = b"<< /Length 9 >>\nstream\n" + shown + b"\nendstream"
-    packed = b"<< /Filter /FlateDecode >>\nstream\n" + zlib.compress(b"(deflated \\101) Tj") + b"\nendstream"
+    packed = b"<< /Filter /FlateDecode >>\nstream\n" + zlib.compress(b"(deflated \\101) Tj /F1 12 Tf <41 4> Tj % (no) Tj") + b"\nendstream"
     other = b"<< /Filter /DCTDecode >>\nstream\n(no) Tj\nendstream"
-    assert pdftext.shown_text(b"%PDF-1.4\n" + plain + b" " * 400 + packed + b" " * 400 + other) == "Hello (there)\nWorld\ndeflated A"
+    assert pdftext.shown_text(b"%PDF-1.4\n" + plain + b" " * 400 + packed + b" " * 400 + other) == "Hello (there)\nWorld\ndeflated A\nA@"
+    far = b"<< /Length 9 " + b" " * 4000 + b"/Filter [/ASCII85Decode /FlateDecode] >>\nstream\n" + base64.a85encode(zlib.compress(b"(a (nested\\) b) c) '")) + b"~>\nendstream"
+    cut = b"<< /Filter /FlateDecode >>\nstream\n" + zlib.compress(b"(first) Tj " + bytes(range(256)) * 400)[:-20] + b"\nendstream"
+    assert pdftext.shown_text(far + cut).splitlines()[:2] == ["a (nested) b) c", "first"]
+    assert pdftext.shown_text(b"") == pdftext.shown_text(b"<< /Filter /FlateDecode >>\nstream\nbad\nendstream") == pdftext.shown_text(b"<< >>\nstream\n0 0 m (x) 10 l S\nendstream") == ""
     assert pdftext.marked_pages("a\n{0}-----\nb\n1\n" + "-" * 48 + "\nc") == [(1, "a"), (1, "b"), (2, "c")]
 
 
