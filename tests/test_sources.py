@@ -201,19 +201,27 @@ def test_transcripts(spark):
 CARD = "id: BFS\ncategory: graph\ntitle: Search\ndescription: Explores\nconfidence: 0.9\ncodes: ['def f(): pass']\ncosts: {time: O(n)}\nextra: 1\n"
 
 
-@pytest.mark.parametrize(
-    "text", ["id: a\nid: b\ncategory: c\ntitle: t\ndescription: d\nconfidence: 1\n", CARD.replace("0.9", ".nan"), CARD.replace("0.9", "1.5"),
-             "id: &x a\ncategory: c\ntitle: *x\ndescription: d\nconfidence: 1\n", CARD.replace("Search", "' '"), CARD.replace("['def f(): pass']", "[1]"), "a: [", CARD.replace("0.9", "true")],
-)
-def test_hardened_cards(text):
-    assert cardfiles.read_card(text)["status"] == "invalid"
+BAD_CARDS = [
+    "id: a\nid: b\ncategory: c\ntitle: t\ndescription: d\nconfidence: 1\n", CARD.replace("0.9", ".nan"), CARD.replace("0.9", "1.5"), CARD.replace("0.9", "true"), CARD.replace("0.9", "'0.9'"),
+    "id: &x a\ncategory: c\ntitle: *x\ndescription: d\nconfidence: 1\n", CARD.replace("Search", "' '"), CARD.replace("['def f(): pass']", "[1]"), CARD.replace("['def f(): pass']", "[a, null]"), "a: [",
+    CARD.replace("Search", "2020-01-01"), CARD.replace("Search", "null"), CARD + "subcategory: 3\n", CARD.replace("{time: O(n)}", "[a]"), CARD + "source: [{a: 1}]\n", CARD + "source: {a: b}\n", CARD + "3: x\n",
+    CARD.replace("['def f(): pass']", "null"), CARD + "source: [null]\n",
+]
+
+
+def test_hardened_cards(spark):
+    rows = cardfiles.read_cards(spark.createDataFrame(list(enumerate(BAD_CARDS)), "source_id int, text string")).collect()
+    assert len(rows) == len(BAD_CARDS) and [BAD_CARDS[r["source_id"]] for r in rows if r["status"] != "invalid" or not r["error"] or r["title"] is not None] == []
 
 
 def test_cards(spark):
-    frame = spark.createDataFrame([("s1", CARD), ("s2", "just: text"), ("s3", "- list")], "source_id string, text string")
+    frame = spark.createDataFrame([("s1", CARD), ("s2", "just: text"), ("s3", "- list"), ("s4", None), ("s5", ""), ("s6", CARD.replace("['def f(): pass']", "[]").replace("0.9", "1") + "source: [{a: b}, {c: d, e: f}]\nmade: 2020-01-01\n")], "source_id string, text string")
     rows = {r["source_id"]: r for r in cardfiles.read_cards(frame).collect()}
     assert rows["s1"]["status"] == "card" and rows["s1"]["costs"] == {"time": "O(n)"} and rows["s1"]["codes"] == ["def f(): pass"]
-    assert rows["s2"]["status"] == rows["s3"]["status"] == "not_a_card"
+    assert rows["s2"]["status"] == rows["s3"]["status"] == rows["s4"]["status"] == rows["s5"]["status"] == "not_a_card"
+    assert rows["s6"]["status"] == "card" and rows["s6"]["codes"] == [] and rows["s6"]["confidence"] == 1 and rows["s6"]["source"] == [{"a": "b"}, {"c": "d", "e": "f"}]
+    assert rows["s1"]["source"] == [] and rows["s1"]["subcategory"] == "" and rows["s1"]["raw_yaml"] == CARD and rows["s2"]["raw_yaml"] is None
+    assert cardfiles.dump_cards([CARD + 'note: "a\\nb"\nquoted: \'7\'\nnone: []\n']) == "---\ncategory: graph\ntitle: Search\ndescription: Explores\nconfidence: 0.9\ncodes:\n- 'def f(): pass'\ncosts:\n  time: O(n)\nextra: 1\nnote: |-\n  a\n  b\nquoted: '7'\nnone: []\n"
     dumped = cardfiles.dump_cards([CARD])
     assert "id:" not in dumped and "extra: 1" in dumped and dumped.startswith("---") and cardfiles.dump_cards([]) == cardfiles.EMPTY_RESULT
 
