@@ -163,7 +163,12 @@ def _block(text: Column, **given: Column) -> Column:
 
 
 def _filled(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"(?U)\s+", "")) > 0
+    return text.rlike(r"(?U)\S")
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often the lambdas inside look at it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def sectioned(paragraphs: Column, is_heading) -> Column:
@@ -171,14 +176,14 @@ def sectioned(paragraphs: Column, is_heading) -> Column:
     places = F.sequence(F.lit(1), F.size(paragraphs) + 1)
     starts = F.filter(places, lambda i: (i == 1) | (i > F.size(paragraphs)) | F.coalesce(is_heading(F.try_element_at(paragraphs, i)), F.lit(False)))
 
-    def section(start: Column, at: Column) -> Column:
+    def section(start: Column, end: Column) -> Column:
         first = F.element_at(paragraphs, start)
         title = F.when(is_heading(first), first["text"])
-        inside = F.slice(paragraphs, start, F.element_at(starts, at + 2) - start)
+        inside = F.slice(paragraphs, start, end - start)
         return F.transform(inside, lambda p: _block(p["text"], is_heading=is_heading(p), heading=title, section_path=title))
 
-    whole = F.filter(F.transform(starts, lambda s, at: F.when(at + 1 < F.size(starts), section(s, at))), F.isnotnull)
-    blocks = F.when(F.size(paragraphs) > 0, F.flatten(whole)).otherwise(F.array().cast(BLOCKS))
+    sections = _once(starts, lambda s: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda start, at: section(start, F.element_at(s, at + 2))))
+    blocks = F.when(F.size(paragraphs) > 0, F.flatten(sections)).otherwise(F.array().cast(BLOCKS))
     return F.filter(blocks, lambda b: _filled(b["text"]))
 
 
@@ -230,19 +235,20 @@ def workbook_blocks(found: Column) -> Column:
         of("sheet", r"^xl/workbook\.xml$"), lambda u: F.struct(u["attributes"]["name"].alias("name"), targets[u["attributes"]["id"]].alias("target"))
     )
 
-    def value(cell: Column) -> Column:
+    def value(cell: Column, strings: Column) -> Column:
         kind, raw = cell["attributes"]["t"], cell["text"]
-        string = F.try_element_at(shared, raw.try_cast("int") + 1)
+        string = F.try_element_at(strings, raw.try_cast("int") + 1)
         return F.when(kind == "s", string).when(kind == "b", F.when(raw == "1", "True").otherwise("False")).otherwise(raw)
 
-    def rows(sheet: Column) -> Column:
+    def rows(sheet: Column, strings: Column) -> Column:
         absolute = F.startswith(sheet["target"], F.lit("/"))
         member = F.when(absolute, F.ltrim(sheet["target"], F.lit("/"))).otherwise(F.concat(F.lit("xl/"), sheet["target"]))
-        own = F.filter(found, lambda u: (u["kind"] == "row") & (u["member"] == member))
+        own = _once(member, lambda name: F.filter(found, lambda u: (u["kind"] == "row") & (u["member"] == name)))
         line = lambda u: F.coalesce(u["attributes"]["r"].try_cast("int"), u["number"].cast("int"))
-        return F.transform(own, lambda u: _row(_placed(u["cells"], value), sheet["name"], line(u)))
+        return F.transform(own, lambda u: _row(_placed(u["cells"], lambda c: value(c, strings)), sheet["name"], line(u)))
 
-    return F.filter(F.flatten(F.transform(sheets, rows)), lambda b: _filled(b["text"]))
+    made = _once(shared, lambda strings: F.flatten(F.transform(sheets, lambda sheet: rows(sheet, strings))))
+    return F.filter(made, lambda b: _filled(b["text"]))
 
 
 def _shown(cell: Column) -> Column:

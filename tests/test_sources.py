@@ -3,6 +3,7 @@
 import base64
 import codecs
 import io
+import time
 import zipfile
 import zlib
 
@@ -159,6 +160,22 @@ def test_open_documents(spark):
     assert [(b["text"], b["slide"]) for b in office_rows(spark, "odp", {"content.xml": slides})] == [("one", 1), ("two", 2)]
 
 
+def test_large_files_take_linear_time(spark):
+    """40,000 paragraphs under 8,000 headings, and 60,000 cells over 20,000 shared strings."""
+    paragraph = lambda n: f'<w:p><w:pPr><w:pStyle w:val="{"Heading2" if n % 5 == 0 else "Body"}"/></w:pPr><w:t>p{n}</w:t></w:p>'
+    blocks = office_rows(spark, "docx", {"word/document.xml": f"<w:d {W}>" + "".join(map(paragraph, range(40_000))) + "</w:d>"})
+    assert len(blocks) == 40_000 and all(b["heading"] == f"p{n - n % 5}" and b["is_heading"] == (n % 5 == 0) for n, b in enumerate(blocks))
+    rows = "".join(f'<row r="{n}">' + "".join(f'<c r="{c}{n}" t="s"><v>{n}</v></c>' for c in "ABC") + "</row>" for n in range(20_000))
+    files = {
+        "xl/workbook.xml": '<workbook xmlns:r="http://r"><sheets><sheet name="S" r:id="a"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="a" Target="worksheets/s.xml"/></Relationships>',
+        "xl/sharedStrings.xml": "<sst>" + "".join(f"<si><t>t{n}</t></si>" for n in range(20_000)) + "</sst>", "xl/worksheets/s.xml": f"<w>{rows}</w>",
+    }
+    started = time.monotonic()
+    assert [b["text"] for b in office_rows(spark, "xlsx", files)] == [f"t{n}\tt{n}\tt{n}" for n in range(20_000)]
+    assert time.monotonic() - started < 60
+
+
 def test_book_follows_its_spine():
     files = {
         "META-INF/container.xml": '<c><rootfile full-path="OPS/p.opf"/></c>',
