@@ -23,13 +23,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A folder of its own, not yet made, on shared storage."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+
+
 def durable(frame: DataFrame) -> DataFrame:
     """Compute once and keep the rows as a table on shared storage.
 
     A lost executor then costs no recomputation, and later reads take only the columns and row groups they need.
     """
     spark = frame.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = fresh_folder(spark)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

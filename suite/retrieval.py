@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folionaut.functions.embedding import HashEmbedder
-from folionaut.operators import bm25, fusion, vector
-from folionaut.operators.durable import durable
+from folionaut.operators import blocks, bm25, fusion, vector
+from folionaut.operators.durable import durable, fresh_folder
 from folionaut.settings import Settings
 from suite.registry import DOCUMENTS_SQL, TOKENS_SQL, bm25_sql, documents, query, states, table, texts
 
@@ -53,17 +53,31 @@ def bm25_all_matches(spark, folder):
     return scores.select("seq", F.round("keyword_score", 6).alias("score"))
 
 
-@query(
-    "bm25_keyword_topk",
+TOPK_SQL = (
     "WITH" + bm25_sql(QUERY_WORDS) + f""" SELECT seq, filename, round(keyword_score, 6) AS score
-    FROM scores JOIN rows_ USING (seq) WHERE candidate ORDER BY keyword_score DESC, seq LIMIT {TOP}""",
+    FROM scores JOIN rows_ USING (seq) WHERE candidate ORDER BY keyword_score DESC, seq LIMIT {TOP}"""
 )
+
+
+@query("bm25_keyword_topk", TOPK_SQL)
 def bm25_keyword_topk(spark, folder):
     # Scores are narrow; the state of their documents joins them, not the texts.
     scores = candidates(states(spark, folder, bm25.keyword_scores(texts(spark, folder), QUERY, COLUMNS, carry=("filename",))))
     return fusion.top_k(scores, "keyword_score", TOP).select("seq", "filename", F.round("keyword_score", 6).alias("score"))
 
 
+@query("bm25_blocks_topk", TOPK_SQL)
+def bm25_blocks_topk(spark, folder):
+    """The same rows from a written index of blocks, those below the k-th score unread."""
+    rows = texts(spark, folder)
+    place = fresh_folder(spark)
+    blocks.write_index(rows.select("seq", *COLUMNS), place, COLUMNS, rows_per_block=256)
+    alive = candidates(states(spark, folder, rows.select("seq", "filename")))
+    found = blocks.search(spark, place, QUERY, TOP, candidates=alive)
+    named = found.rows.join(alive, "seq")
+    return named.select("seq", "filename", F.round("keyword_score", 6).alias("score"))
+
+
 @query(
     "bm25_repeated_word_topk",
     "WITH" + bm25_sql({"thtion": 3, "leaux": 1}) + f""" SELECT seq, round(keyword_score, 6) AS score
