@@ -8,6 +8,7 @@ from folionaut.functions import text as T
 from folionaut.functions.facts import extract_facts
 from folionaut.operators import bm25, fusion, vocabulary
 from folionaut.operators.chunking import chunk_documents
+from folionaut.operators.durable import durable
 from folionaut.sources.plaintext import markdown_text, plain_blocks
 from suite.registry import DOCUMENTS_SQL, documents, query, table
 
@@ -180,6 +181,21 @@ def keyword_frequencies(spark, folder):
     return vocabulary.keyword_frequencies(vocabulary.keyword_links(rows))
 
 
+@query(
+    "keyword_frequencies_merged",
+    "WITH" + TERMS_SQL + """ SELECT term, count(*)::BIGINT AS chunk_frequency, count(DISTINCT seq)::BIGINT AS doc_frequency,
+    count(DISTINCT source)::BIGINT AS source_estimate FROM terms GROUP BY term""",
+)
+def keyword_frequencies_merged(spark, folder):
+    """Partial counts of four batches, written and merged on read: by document (in one batch each) and by source (in all of them)."""
+    links = vocabulary.keyword_links(documents(spark, folder).withColumn("source_id", F.struct("seq", "source")))
+    links = links.withColumn("batch", F.pmod(F.col("source_id.seq"), F.lit(4)))
+    by_document = durable(vocabulary.partial_counts(links.withColumn("source_id", F.col("source_id.seq"))))
+    by_source = durable(vocabulary.partial_counts(links.withColumn("source_id", F.col("source_id.source"))))
+    exact = vocabulary.merged_counts(by_document).drop("source_estimate")
+    return exact.join(vocabulary.merged_counts(by_source).select("term", "source_estimate"), "term")
+
+
 @query(
     "keyword_listing",
     "WITH" + TERMS_SQL + " SELECT term, count(*)::BIGINT AS chunk_frequency FROM terms WHERE contains(term, 'ent') GROUP BY term ORDER BY count(*) DESC, term LIMIT 100 OFFSET 20",
