@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folionaut.functions import names
 from folionaut.functions.text import stable_id
-from folionaut.operators import graph, traverse
+from folionaut.operators import graph, traverse, walks
 from folionaut.operators.chunking import chunk_documents
 from folionaut.operators.durable import durable
 from folionaut.sources.plaintext import code_blocks
@@ -146,6 +146,22 @@ def graph_reachable_dependencies(spark, folder):
     return found.join(files, "entity_id").select("source_id", "depth")
 
 
+@query(
+    "graph_walks",
+    "WITH" + MODULES_SQL + """,
+steps AS (SELECT unnest([0, 1, 2, 3]) AS depth)
+SELECT a.k AS seed, b.source_id, depth::INTEGER AS depth FROM mods a CROSS JOIN steps JOIN mods b ON b.k = a.k + depth""",
+)
+def graph_walks(spark, folder):
+    """What each file depends on within three steps: one walk for each file of the table, all at once."""
+    known, edges = resolved(spark, folder)
+    files = known.filter(F.col("qualified_name") == "").select("entity_id", "source_id")
+    seeds = files.select(F.regexp_extract("source_id", r"mod(\d+)\.py", 1).cast("bigint").alias("seed"), "entity_id")
+    lifted = edges.filter(F.col("kind") == "depends_on").withColumn("observed_kind", F.col("kind"))
+    found = walks.walk_all(lifted, seeds, "outgoing", ("depends_on",), 3, 200)
+    return found.reached.join(files, "entity_id").select("seed", "source_id", "depth")
+
+
 @query(
     "graph_callers_of_helper",
     "WITH" + MODULES_SQL + """ SELECT source_id || ':helper' AS target, source_id || ':Base' || k || '.step' AS caller FROM mods
