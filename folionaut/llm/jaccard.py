@@ -45,7 +45,9 @@ SAFE_PARTS = 40
 WEAK_PARTS = (2, 1)
 #: Signatures contracted and shipped at once by a task, and their buckets for each shuffle partition.
 LOT = 1 << 18
-BUCKET = 1 << 20
+BUCKET = 1 << 19
+#: Bytes of a signature that are shipped. Equal signatures stay equal; a pair that meets by chance is compared, no more.
+SHIPPED = 5
 #: Shingles of a region that are dealt anew at once.
 DEALT = 1 << 18
 DEALT_PARTS = 16
@@ -147,6 +149,19 @@ def signatures(values: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np
     return np.concatenate(out), np.concatenate(rows)
 
 
+def _shipped(code: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The upper ``SHIPPED`` bytes of each code, as one binary value for each range of ``bounds``."""
+    upper = code.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SHIPPED]
+    return binary_column(np.ascontiguousarray(upper).ravel(), bounds * SHIPPED)
+
+
+def _unshipped(value: pa.Buffer) -> np.ndarray:
+    """Codes of one shipped binary value; the bytes left behind read as 0."""
+    upper = np.zeros((value.size // SHIPPED, 8), dtype=np.uint8)
+    upper[:, :SHIPPED] = np.frombuffer(value, dtype=np.uint8).reshape(-1, SHIPPED)
+    return upper.view(">u8").ravel().astype(np.uint64)
+
+
 def _contract(code: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct codes with their smallest id, and the distinct edges from other ids to it."""
     order = np.lexsort((ids, code))
@@ -196,7 +211,7 @@ def meetings(docs: DataFrame, width: int, percent: int, shingles: int = 0) -> Da
             step[bounds[full]] = ids[bounds[full]]
             span = np.append(bounds[full], len(code))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), binary_column(code[order], span), binary_column(step.astype(np.int64), span)], ["bucket", "codes", "ids"]
+                [pa.array(full, pa.int32()), _shipped(code[order], span), binary_column(step.astype(np.int64), span)], ["bucket", "codes", "ids"]
             )
             if len(edge):
                 pairs = binary_column(np.ascontiguousarray(edge).ravel(), np.array([0, edge.size]))
@@ -218,7 +233,7 @@ def meetings(docs: DataFrame, width: int, percent: int, shingles: int = 0) -> Da
         for batch in batches:
             for c, i in zip(batch.column(1), batch.column(2)):
                 if c.is_valid:
-                    code.append(np.frombuffer(c.as_buffer(), dtype=np.uint64))
+                    code.append(_unshipped(c.as_buffer()))
                     ids.append(np.cumsum(np.frombuffer(i.as_buffer(), dtype=np.int64)))
                 else:
                     edges.append(np.frombuffer(i.as_buffer(), dtype=np.int64).reshape(-1, 2))
