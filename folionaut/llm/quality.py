@@ -170,6 +170,7 @@ def scored(stats: DataFrame, model: Discriminant, key: str = "doc_id") -> DataFr
     """(key, score) for (key, x) rows."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("quality")
         for batch in batches:
             if batch.num_rows:
                 x = np.array(batch.column(1).flatten()).reshape(batch.num_rows, -1)
@@ -190,12 +191,14 @@ def accepted(docs: DataFrame, model: Discriminant, threshold: float = 0.7) -> Da
     """The rows of ``docs`` that score ``threshold`` or more. A model without both classes rejects nothing."""
     if model.constant is not None:
         return docs
-    carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    place = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("quality")
         for batch in batches:
-            scores = [model.score(statistics(data, offsets)) for _, _, data, offsets in blocks(batch.column(1))]
+            scores = [model.score(statistics(data, offsets)) for _, _, data, offsets in blocks(batch.column(0).field(place), SMALL_BLOCK_BYTES)]
             if scores:
-                yield batch.filter(pa.array(np.concatenate(scores) >= threshold)).select(["row"])
+                yield batch.filter(pa.array(np.concatenate(scores) >= threshold))
 
-    return carried.mapInArrow(keep, carried.select("row").schema).select("row.*")
+    return carried.mapInArrow(keep, carried.schema).select("row.*")
