@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folionaut.operators import context, gate, spans
+from folionaut.functions import names
+from folionaut.operators import context, gate, graph, spans
 from folionaut.operators.durable import durable
+from folionaut.sources import nesting, outline
 from folionaut.sources.roots import with_roots
 from suite.graph import MODULES_SQL, code_blocks, modules, resolved
 from suite.registry import query, table
@@ -179,3 +181,69 @@ def overlapping_spans_of_all_lengths(spark, folder):
     )
     pairs = spans.overlapping(a, b, "grp", ("s", "e"), ("rs", "re"))
     return pairs.groupBy("left_id").agg(F.count("*").alias("met"), F.min("right_id").alias("low"), F.max("right_id").alias("high"))
+
+
+# Files of the query below: # stands for the number of a row, @ for the next one.
+JAVA_FILE = """package p;
+import p.Base@;
+public interface Shape#<T extends Comparable<T>> {
+  void draw();
+}
+/* class No { */
+class Outer# extends Base@ implements Shape#<String> {
+  String s = "{ class Fake {";
+  static class Inner implements Shape# {
+    void run(int a) throws Error {
+      if (a > 0) { helper(); }
+    }
+  }
+}
+class Base# {
+}
+"""
+SCRIPT_FILE = """import { Shape as S } from './m@';
+export interface Shape {
+}
+export class Part extends Gone implements S {
+  run(a: number): void {
+    function inner() {
+    }
+  }
+}
+"""
+
+
+def nested_files(spark, folder):
+    """A Java file for each supplier and a TypeScript file for each customer; each one uses a type of the next."""
+
+    def written(name: str, key: str, path: str, text: str):
+        rows = table(spark, folder, name, key).select(F.col(key).cast("string").alias("k"), (F.col(key) + 1).cast("string").alias("next"))
+        return rows.select(F.replace(F.lit(path), F.lit("#"), "k").alias("path"), F.replace(F.replace(F.lit(text), F.lit("#"), "k"), F.lit("@"), "next").alias("text"))
+
+    rows = written("supplier", "s_suppkey", "java/F#.java", JAVA_FILE).unionByName(written("customer", "c_custkey", "src/m#.ts", SCRIPT_FILE))
+    kind = names.language(F.col("path"))
+    return outline.with_package(rows.select(
+        F.col("path").alias("source_id"), F.lit("r").alias("root_key"), "path", kind.alias("language"), names.module_key(F.col("path"), kind).alias("module_key"), "text"
+    ))
+
+
+@query(
+    "graph_nested_types",
+    """WITH k AS (SELECT 'j' AS g, 'java/F' || s_suppkey || '.java' AS source_id, s_suppkey AS k, s_suppkey + 1 IN (SELECT s_suppkey FROM supplier) AS has_next FROM supplier
+      UNION ALL SELECT 't', 'src/m' || c_custkey || '.ts', c_custkey, c_custkey + 1 IN (SELECT c_custkey FROM customer) FROM customer),
+    shape(g, owner, kind, target, resolution, line_start, far) AS (VALUES
+      ('j', '', 'contains', 'Shape#', 'syntax', 3, false), ('j', '', 'contains', 'Outer#', 'syntax', 7, false), ('j', 'Outer#', 'contains', 'Inner', 'syntax', 9, false),
+      ('j', 'Outer#.Inner', 'contains', 'run', 'syntax', 10, false), ('j', '', 'contains', 'Base#', 'syntax', 15, false),
+      ('j', 'Outer#', 'inherits', 'Base@', 'import_static', 7, true), ('j', 'Outer#', 'implements', 'Shape#', 'local_static', 7, false),
+      ('j', 'Outer#.Inner', 'implements', 'Shape#', 'local_static', 9, false),
+      ('t', '', 'contains', 'Shape', 'syntax', 2, false), ('t', '', 'contains', 'Part', 'syntax', 4, false), ('t', 'Part', 'contains', 'run', 'syntax', 5, false),
+      ('t', 'Part.run', 'contains', 'inner', 'syntax', 6, false), ('t', 'Part', 'type_base', 'Gone', 'unresolved', 4, false), ('t', 'Part', 'implements', 'S', 'import_static', 4, true))
+    SELECT source_id, replace(owner, '#', k::VARCHAR) AS owner_name, CASE WHEN far AND NOT has_next THEN 'type_base' ELSE kind END AS kind,
+      replace(replace(target, '#', k::VARCHAR), '@', (k + 1)::VARCHAR) AS target_name, CASE WHEN far AND NOT has_next THEN 'unresolved' ELSE resolution END AS resolution, line_start
+    FROM k JOIN shape USING (g)""",
+)
+def graph_nested_types(spark, folder):
+    files = nested_files(spark, folder)
+    declared = durable(nesting.declarations(files))
+    found = graph.resolve(durable(nesting.edges(files, declared)), declared)
+    return found.select("source_id", "owner_name", "kind", "target_name", "resolution", "line_start")
