@@ -235,3 +235,10 @@ def test_components_of_paths_and_cycles(llm):
     got = {r["id"]: r["component"] for r in components(llm.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(51), 0), **dict.fromkeys((100, 101, 103), 100), 199: 199, 200: 199}
     assert components(llm.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_shipped_signatures_keep_what_is_equal():
+    code = np.array([1, 1, 1 << 63, (1 << 64) - 1, 1 << 24], dtype=np.uint64)
+    shipped = jaccard._shipped(code, np.array([0, 2, 2, 5]))
+    back = [jaccard._unshipped(value.as_buffer()).tolist() for value in shipped]
+    assert back == [[0, 0], [], [1 << 63, ((1 << 64) - 1) >> 24 << 24, 1 << 24]]
