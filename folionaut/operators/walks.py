@@ -38,7 +38,9 @@ def walk_all(resolved: DataFrame, seeds: DataFrame, direction: str, kinds: tuple
     start = seeds.filter(F.col("seed").isNotNull() & F.col("entity_id").isNotNull()).select("seed", "entity_id").distinct()
     newest = durable(start.withColumn("depth", F.lit(0)).withColumn("place", F.lit(0)))
     reached, taken, cut = [newest], [], []
-    edges = resolved.select("relationship_id", "from_id", "target_id", "source_id", "line_start", "observed_kind")
+    # Every step reads the edges, so their resolution is done once, for the wanted kinds alone.
+    wanted = resolved.filter(F.col("observed_kind").isin(*kinds)) if kinds else resolved
+    edges = durable(wanted.select("relationship_id", "from_id", "target_id", "source_id", "line_start", "observed_kind"))
     for step in range(1, depth + 1):
         # One row of a level's entity stands for all seeds at it while edges are looked up.
         found = neighbours(edges, newest.select("entity_id").distinct(), direction, kinds)
