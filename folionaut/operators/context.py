@@ -2,7 +2,7 @@
 
 All hits are answered in one plan, whatever their number. Each list holds at most ``limit`` elements and says whether
 there are more; ranks are bounded before anything is collected, so a name that very many others call costs a hit at most
-``limit + 1`` rows in each direction.
+``limit + 1`` rows in each direction. Hits may be as many as a table's rows, and look few to the planner, so no join is broadcast.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ def edges_of_entities(wanted: DataFrame, resolved: DataFrame, limit: int) -> Dat
     order = ["source_id", "line_start", "kind", "target_name", "relationship_id"]
     parts = []
     for turn, (orientation, end) in enumerate((("outgoing", "from_id"), ("incoming", "target_id"))):
-        near = edges.withColumn("entity_id", F.col(end)).join(wanted, "entity_id", "left_semi")
+        near = edges.withColumn("entity_id", F.col(end)).join(wanted.hint("merge"), "entity_id", "left_semi")
         parts.append(_first(near, ["entity_id"], order, limit + 1, "nth").withColumns({"turn": F.lit(turn), "orientation": F.lit(orientation)}))
     return parts[0].unionByName(parts[1])
 
@@ -64,25 +64,25 @@ def graph_context(hits: DataFrame, files: DataFrame, known: DataFrame, resolved:
     entities = durable(entities_of_hits(hits, known, limit))
     shown = entities.filter(F.col("place") <= limit).select("hit", "place", "entity_id")
     edges = edges_of_entities(shown.select("entity_id").distinct(), resolved, limit)
-    met = shown.join(edges, "entity_id")
+    met = shown.join(edges.hint("merge"), "entity_id")
     # An edge between two names of one hit is shown once, at the first of them.
     position = F.struct("place", "turn", "nth")
     once = met.groupBy("hit", "relationship_id").agg(F.min_by(F.struct(*[c for c in EDGE if c != "relationship_id"]), position).alias("e"), F.min(position).alias("p"))
     ranked = _first(once.select("hit", "relationship_id", "e.*", "p"), ["hit"], ["p"], limit + 1)
-    imports = resolved.filter(F.col("kind") == "imports").join(hits.select("source_id").distinct(), "source_id", "left_semi")
+    imports = resolved.filter(F.col("kind") == "imports").join(hits.select("source_id").distinct().hint("merge"), "source_id", "left_semi")
     imports = _first(
         imports.select("source_id", "target_name", "target_id", "line_start", "relationship_id"), ["source_id"], ["line_start", "target_name", "relationship_id"], limit + 1
     )
-    of_hits = hits.select("hit", "source_id").join(imports, "source_id")
+    of_hits = hits.select("hit", "source_id").join(imports.hint("merge"), "source_id")
     lists = {
         "entities": _listed(entities, "place", ENTITY, limit, "entities"),
         "relationships": _listed(ranked, "place", EDGE, limit, "relationships"),
         "imports": _listed(of_hits, "place", ("target_name", "target_id", "line_start"), limit, "imports"),
     }
     about = files.select("source_id", "status", "language", "parser_version").withColumn("_valid", F.lit(True))
-    found = hits.select("hit", "source_id").join(about, "source_id", "left")
+    found = hits.select("hit", "source_id").join(about.hint("merge"), "source_id", "left")
     for part in lists.values():
-        found = found.join(part, "hit", "left")
+        found = found.join(part.hint("merge"), "hit", "left")
     valid = F.coalesce("_valid", F.lit(False))
 
     def array(name: str) -> Column:

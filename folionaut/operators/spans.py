@@ -33,6 +33,9 @@ def overlapping(
     pair the shorter span visits the level of the longer one, where it touches at most two buckets as well. So a span
     over a whole file is two rows, and a short one is two rows for each level at which the other side has spans; the
     number of rows grows with the logarithm of the longest span. A pair counts in the first bucket that both touch.
+
+    Sides made by parsing or exploding a narrow table look small to the planner, whatever they hold, so neither is ever
+    broadcast. Each side is read three times; keep it with ``durable`` where it is costly.
     """
     sides = []
     for frame, (start, end) in ((left, left_span), (right, right_span)):
@@ -54,7 +57,7 @@ def overlapping(
         return frame.withColumn("_at", F.explode(above)).withColumn("_bucket", F.explode(_buckets(start, end)))
 
     def met(a: DataFrame, b: DataFrame) -> DataFrame:
-        pairs = a.drop("_level").join(b.drop("_level"), [on, "_at", "_bucket"])
+        pairs = a.drop("_level").join(b.drop("_level").hint("merge"), [on, "_at", "_bucket"])
         return pairs.filter(overlap & (F.col("_bucket") == first)).drop("_at", "_bucket")
 
     short_left = met(visiting(0, False), living(1))

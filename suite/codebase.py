@@ -64,9 +64,9 @@ FROM mods m, hits h LEFT JOIN listed l ON l.source_id = m.source_id AND l.hs = h
 )
 def graph_context_of_hits(spark, folder):
     """Three imports stand in each file, so with two shown each list of imports goes on."""
-    known, edges = resolved(spark, folder)
-    edges = durable(edges)
-    found = context.graph_context(context_hits(spark, folder), indexed_files(spark, folder), known, edges, LIMIT)
+    known, edges = resolved(spark, folder, (*context.KINDS, "type_base", "imports"))
+    edges = durable(edges.select("kind", *[c for c in context.EDGE if c not in ("orientation", "kind")]))
+    found = context.graph_context(durable(context_hits(spark, folder)), indexed_files(spark, folder), known, edges, LIMIT)
     label = lambda e: F.concat(F.when(e["orientation"] == "outgoing", ">").otherwise("<"), e["kind"], F.lit(":"), e["target_name"], F.lit("@"), e["line_start"].cast("string"))
     return found.select(
         "hit", "available", "status", F.array_join(F.transform("entities", lambda e: e["qualified_name"]), ",").alias("entities"),

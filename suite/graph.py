@@ -61,10 +61,11 @@ def parsed(spark, folder):
     return parse_python(modules(spark, folder))
 
 
-def resolved(spark, folder):
+def resolved(spark, folder, kinds=None):
+    """Entities, and their edges resolved: those of the observed ``kinds``, or all. An edge is resolved without regard to others."""
     rows = durable(parsed(spark, folder))
-    known, edges = durable(graph.entities(rows)), durable(graph.observed_edges(rows))
-    return known, graph.resolve(edges, known)
+    known, edges = durable(graph.entities(rows)), graph.observed_edges(rows)
+    return known, graph.resolve(durable(edges.filter(F.col("kind").isin(*kinds)) if kinds else edges), known)
 
 
 MODULES_SQL = """
@@ -101,7 +102,7 @@ SELECT source_id, replace(owner, 'Base', 'Base' || k) AS owner_name, line::INTEG
   CASE WHEN target = 'none' OR (target = 'next' AND NOT has_next) THEN 'unresolved' ELSE kind END AS resolution FROM mods, calls""",
 )
 def graph_resolved_calls(spark, folder):
-    known, edges = resolved(spark, folder)
+    known, edges = resolved(spark, folder, ("calls",))
     target = known.select(
         F.col("entity_id").alias("target_id"), F.concat_ws(":", F.col("source_id"), F.col("qualified_name")).alias("target")
     )
@@ -123,7 +124,7 @@ UNION ALL SELECT 'depends_on', 'unresolved', (count(*) + 2 * count(*) FILTER (NO
 UNION ALL SELECT 'contains', 'syntax', 13 * count(*)::BIGINT FROM mods""",
 )
 def graph_edge_counts(spark, folder):
-    _, edges = resolved(spark, folder)
+    _, edges = resolved(spark, folder, ("calls", "inherits", "type_base", "depends_on", "contains"))
     kinds = edges.filter(F.col("kind").isin("calls", "inherits", "depends_on", "contains"))
     return kinds.groupBy("kind", "resolution").agg(F.count("*").alias("edges"))
 
@@ -137,7 +138,7 @@ walk AS (
 SELECT source_id, min(depth)::INTEGER AS depth FROM walk GROUP BY source_id""",
 )
 def graph_reachable_dependencies(spark, folder):
-    known, edges = resolved(spark, folder)
+    known, edges = resolved(spark, folder, ("depends_on",))
     files = known.filter(F.col("qualified_name") == "").select("entity_id", "source_id")
     number = F.regexp_extract("source_id", r"mod(\d+)\.py", 1).cast("bigint")
     rich = table(spark, folder, "customer").filter(F.col("c_acctbal") >= 9700).select(F.col("c_custkey").alias("number"))
@@ -154,7 +155,7 @@ SELECT a.k AS seed, b.source_id, depth::INTEGER AS depth FROM mods a CROSS JOIN
 )
 def graph_walks(spark, folder):
     """What each file depends on within three steps: one walk for each file of the table, all at once."""
-    known, edges = resolved(spark, folder)
+    known, edges = resolved(spark, folder, ("depends_on",))
     files = known.filter(F.col("qualified_name") == "").select("entity_id", "source_id")
     seeds = files.select(F.regexp_extract("source_id", r"mod(\d+)\.py", 1).cast("bigint").alias("seed"), "entity_id")
     lifted = edges.filter(F.col("kind") == "depends_on").withColumn("observed_kind", F.col("kind"))
@@ -168,7 +169,7 @@ def graph_walks(spark, folder):
     UNION ALL SELECT next_id || ':helper', source_id || ':helper.inner' FROM mods WHERE has_next""",
 )
 def graph_callers_of_helper(spark, folder):
-    known, edges = resolved(spark, folder)
+    known, edges = resolved(spark, folder, ("calls",))
     label = F.concat_ws(":", F.col("source_id"), F.col("qualified_name"))
     wanted = known.filter(F.col("qualified_name") == "helper").select("entity_id", label.alias("target"))
     found = traverse.neighbours(edges, wanted, "incoming", ("calls",))
@@ -194,15 +195,18 @@ def code_block_lines(spark, folder):
 
 @query("graph_citations")
 def graph_citations(spark, folder):
-    known = graph.entities(parsed(spark, folder))
-    found = traverse.citations(known, code_chunks(spark, folder), "entity_id")
+    known = durable(graph.entities(parsed(spark, folder)).select("entity_id", "source_id", "line_start", "line_end"))
+    chunks = durable(code_chunks(spark, folder).select("source_id", "chunk_index", "line_start", "line_end"))
+    found = traverse.citations(known, chunks, "entity_id")
     return found.select("entity_id", F.array_join("chunks", ",").alias("chunks"), "chunks_truncated")
 
 
 @query("graph_context_of_chunks")
 def graph_context_of_chunks(spark, folder):
     chunks = code_chunks(spark, folder).withColumn("chunk_id", stable_id(F.col("source_id"), F.col("chunk_index")))
-    found = traverse.context_of_chunks(chunks, graph.entities(parsed(spark, folder)), 20)
+    chunks = durable(chunks.select("source_id", "chunk_id", "line_start", "line_end"))
+    known = graph.entities(parsed(spark, folder)).select("source_id", "entity_id", "kind", "qualified_name", "line_start", "line_end")
+    found = traverse.context_of_chunks(chunks, durable(known), 20)
     return found.select("chunk_id", "qualified_name", "place")
 
 
