@@ -46,6 +46,10 @@ WEAK_PARTS = (2, 1)
 #: Signatures contracted and shipped at once by a task, and their buckets for each shuffle partition.
 LOT = 1 << 18
 BUCKET = 1 << 19
+#: Tasks that read the buckets. Each connects the documents of its buckets anew, so with more tasks edges come in more copies.
+MEETING_TASKS = 24
+#: Connected documents that a task keeps while it reads its buckets.
+FOREST = 1 << 20
 #: Bytes of a signature that are shipped. Equal signatures stay equal; a pair that meets by chance is compared, no more.
 SHIPPED = 5
 #: Shingles of a region that are dealt anew at once.
@@ -186,13 +190,44 @@ def sizes(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long")
 
 
+class Forest:
+    """What a task's edges have connected so far. Beyond ``FOREST`` ids it starts anew, which costs edges and no connection."""
+
+    def __init__(self) -> None:
+        self.ids, self.parent = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+
+    def add(self, edge: np.ndarray) -> np.ndarray:
+        """Edges, at most one for each id, that connect with those given before what ``edge`` connects with them."""
+        if len(self.ids) > FOREST:
+            self.__init__()
+        ids = np.union1d(self.ids, edge)
+        before = np.arange(len(ids))
+        before[np.searchsorted(ids, self.ids)] = np.searchsorted(ids, self.ids[self.parent])
+        # Edges between roots; each root points to the smallest of its own, until nothing moves.
+        parent, ends = before.copy(), np.searchsorted(ids, edge)
+        while True:
+            a, b = parent[ends[:, 0]], parent[ends[:, 1]]
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            ends, low, high = ends[low != high], low[low != high], high[low != high]
+            if not len(ends):
+                break
+            np.minimum.at(parent, high, low)
+            while not np.array_equal(parent, above := parent[parent]):
+                parent = above
+        moved = np.flatnonzero((before == np.arange(len(ids))) & (parent != before))
+        self.ids, self.parent = ids, parent
+        return np.column_stack([ids[parent[moved]], ids[moved]])
+
+
 def meetings(docs: DataFrame, width: int, percent: int, shingles: int = 0) -> DataFrame:
     """(a, b): edges that connect all documents with an equal signature.
 
-    Signatures are about as many as ``shingles``; buckets follow from that, so that a task holds a bounded number of them
-    at any size of the table.
+    Signatures are about as many as ``shingles``; buckets follow from that. A task reads its buckets one after the other, so it
+    holds a bounded number of signatures at any size of the table. Documents meet in very many buckets, and one meeting
+    is enough: of all the edges in a task's buckets those stay that connect what the ones before did not.
     """
-    buckets = max(partitions(docs.sparkSession), -(-shingles // BUCKET))
+    homes = partitions(docs.sparkSession)
+    buckets = homes * max(1, -(-shingles // (BUCKET * homes)))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("jaccard")
@@ -229,19 +264,37 @@ def meetings(docs: DataFrame, width: int, percent: int, shingles: int = 0) -> Da
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("jaccard")
-        code, ids, edges = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)], [np.empty((0, 2), dtype=np.int64)]
+        code: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+        edges: list[np.ndarray] = []
+        forest = Forest()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if code:
+                edges.append(_contract(np.concatenate(code), np.concatenate(ids))[2])
+            if edges:
+                edge = forest.add(np.unique(np.concatenate(edges), axis=0))
+                yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1])], ["a", "b"])
+            for held in (code, ids, edges):
+                held.clear()
+
+        current = None
         for batch in batches:
-            for c, i in zip(batch.column(1), batch.column(2)):
+            for bucket, c, i in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if bucket != current:
+                    yield from flush()
+                    current = bucket
                 if c.is_valid:
                     code.append(_unshipped(c.as_buffer()))
                     ids.append(np.cumsum(np.frombuffer(i.as_buffer(), dtype=np.int64)))
                 else:
                     edges.append(np.frombuffer(i.as_buffer(), dtype=np.int64).reshape(-1, 2))
-        edge = np.unique(np.concatenate([*edges, _contract(np.concatenate(code), np.concatenate(ids))[2]]), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1])], ["a", "b"])
+        yield from flush()
 
     source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(make, "bucket int, codes binary, ids binary").repartition(buckets, "bucket").mapInArrow(meet, "a long, b long")
+    made = source.mapInArrow(make, "bucket int, codes binary, ids binary")
+    dealt = made.repartition(homes, "bucket").sortWithinPartitions("bucket").coalesce(MEETING_TASKS)
+    return dealt.mapInArrow(meet, "a long, b long")
 
 
 class Region:

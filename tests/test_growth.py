@@ -2,9 +2,13 @@
 
 import contextlib
 import io
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from folionaut.llm import jaccard
+from folionaut.llm.session import prepare
 from folionaut.operators import context, spans, walks
 from folionaut.sources import pycode
 
@@ -65,3 +69,42 @@ def test_syntax_of_few_files_is_held_at_once(spark):
     pieces = list(pycode._pieces(pa.array([text] * 700 + ["x" * (2 * pycode.TEXT_AT_ONCE), None, ""])))
     assert [a for a, _ in pieces][1:] == [b for _, b in pieces][:-1] and pieces[0][0] == 0 and pieces[-1][1] == 703
     assert max(b - a for a, b in pieces) <= pycode.FILES_AT_ONCE and (700, 701) in pieces
+
+
+def test_meetings_of_a_group_are_few(spark):
+    """Near copies meet in many buckets; the edges that connect them are not all they could make."""
+    draw = random.Random(3)
+    base = [f"w{n}" for n in range(400)]
+    texts = []
+    for n in range(120):
+        own = list(base)
+        own[draw.randrange(400)] = f"x{n}"
+        texts.append((n, " ".join(own)))
+    prepare(spark)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    edges = [(r["a"], r["b"]) for r in jaccard.meetings(docs, 4, 85, 400 * 120).collect()]
+    assert len(edges) <= min(jaccard.partitions(spark), jaccard.MEETING_TASKS) * (len(texts) - 1)
+    few = [(r["a"], r["b"]) for r in jaccard.meetings(docs.coalesce(1), 4, 85, 40 * jaccard.BUCKET).coalesce(1).collect()]
+    forest = jaccard.Forest()
+    for found in (edges, few):
+        assert len(jaccard.Forest().add(np.array(found))) == len(texts) - 1
+    assert len(forest.add(np.array(edges))) == len(texts) - 1 and len(forest.add(np.array(few))) == 0
+
+
+def test_a_forest_connects_what_all_edges_connect():
+    draw = random.Random(4)
+    lots = [np.array([sorted(draw.sample(range(0, 900, 3), 2)) for _ in range(60)]) for _ in range(6)]
+    forest, kept = jaccard.Forest(), []
+    for lot in lots:
+        kept.append(forest.add(lot))
+
+    def groups(edges):
+        label = {x: x for x in range(0, 900, 3)}
+        for a, b in edges.tolist():
+            low, high = sorted((label[a], label[b]))
+            label = {x: low if y == high else y for x, y in label.items()}
+        return label
+
+    kept = np.concatenate(kept)
+    assert groups(kept) == groups(np.concatenate(lots))
+    assert len(kept) == len(set(range(0, 900, 3))) - len(set(groups(kept).values()))
