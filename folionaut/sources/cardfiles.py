@@ -27,7 +27,8 @@ _TEXT_TAG = "tag:yaml.org,2002:str"
 
 def _tree(raw: str):
     """The node tree of one document without aliases, whose mappings have distinct text keys; None for an empty text."""
-    if any(isinstance(event, yaml.AliasEvent) for event in yaml.parse(raw, Loader=yaml.SafeLoader)):
+    # An alias begins with an asterisk; a text without one needs no search for them.
+    if "*" in raw and any(isinstance(event, yaml.AliasEvent) for event in yaml.parse(raw, Loader=yaml.SafeLoader)):
         raise ValueError("aliases are not accepted")
     root = yaml.compose(raw, Loader=yaml.SafeLoader)
     waiting = [root] if root else []
@@ -46,8 +47,10 @@ def _tree(raw: str):
 def yaml_to_json(raw: str | None) -> tuple[str | None, str | None]:
     """(JSON, error). What JSON lacks (dates, binary values, sets) becomes an object, which is no text in any field."""
     try:
-        _tree(raw or "")
-        return json.dumps(yaml.safe_load(raw or ""), allow_nan=False, default=lambda value: {"other": str(value)}), None
+        root = _tree(raw or "")
+        # Built from the checked tree: the text is read once.
+        value = None if root is None else yaml.SafeLoader("").construct_document(root)
+        return json.dumps(value, allow_nan=False, default=lambda value: {"other": str(value)}), None
     except (yaml.YAMLError, ValueError, TypeError, RecursionError) as error:
         return None, str(error) or type(error).__name__
 
@@ -57,7 +60,8 @@ def _converted(raw: Column) -> Column:
     def convert(batch: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([yaml_to_json(one) for one in batch], columns=["json", "error"], dtype=object)
 
-    return convert(raw)
+    # Not repeatable in name: otherwise the planner may convert once for each rule that looks at the result.
+    return convert.asNondeterministic()(raw)
 
 
 def _kind(card: Column, name: str) -> Column:

@@ -86,7 +86,9 @@ def extract_blocks(files: DataFrame, kind: str = "general") -> DataFrame:
             yield pd.DataFrame({name: pd.Series([row.get(name) for row in rows], dtype=object) for name in columns})
 
     keep = [c for c in files.columns if c != "content"]
-    found = files.select(*keep, read("content", "extension").alias("_r"))
+    # Who explodes the blocks makes Spark test their size first; of a reader that counts as not repeatable, no second reading is
+    # pushed down for it, past the exchange that spreads the files.
+    found = files.select(*keep, read.asNondeterministic()("content", "extension").alias("_r"))
     kind, spread = F.col("_r.extractor"), F.coalesce(too_large(F.col("_r.units"), F.col("_r.extractor")), F.lit(False))
     blocks = (
         F.when(kind.startswith("source_code"), code_blocks(F.col("_r.text")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folionaut.llm import jaccard
 from folionaut.llm.session import prepare
 from folionaut.operators import context, spans, walks
-from folionaut.sources import pycode
+from folionaut.sources import cardfiles, extract, markup, pycode
 
 
 def plan(frame):
@@ -108,3 +108,24 @@ def test_a_forest_connects_what_all_edges_connect():
     kept = np.concatenate(kept)
     assert groups(kept) == groups(np.concatenate(lots))
     assert len(kept) == len(set(range(0, 900, 3))) - len(set(groups(kept).values()))
+
+
+def test_readers_run_once_however_their_blocks_are_used(spark):
+    rows = spark.range(20).select("id", F.concat(F.lit("# a\n\ntext "), F.col("id").cast("string")).alias("text")).repartition(3, "id")
+    read = extract.extract_blocks(rows.select("id", F.col("text").cast("binary").alias("content"), F.lit("md").alias("extension")))
+    marked = rows.select("id", markup.markdown_blocks(F.col("text")).alias("blocks"))
+    for frame in (read, marked):
+        blocks = frame.select("id", F.posexplode("blocks").alias("place", "b")).select("id", "place", "b.text")
+        assert plan(blocks).count("ArrowEvalPython") == 1
+        assert blocks.count() == 40
+
+
+def test_a_card_is_read_once(monkeypatch):
+    texts = ["a: 1\nb: [x, 'y']\n", "", "a: &n x\nb: *n\n", "a: x * y\n", "a: 1\na: 2\n", "d: 2020-01-01\n", "x: [", "- 1\n- {k: null}\n", "m: {<<: {q: 1}, z: 2}\n"]
+    want = [cardfiles.yaml_to_json(text) for text in texts]
+    monkeypatch.setattr(cardfiles.yaml, "safe_load", None)
+    monkeypatch.setattr(cardfiles.yaml, "load", None)
+    assert [cardfiles.yaml_to_json(text) for text in texts] == want
+    assert [value for value, _ in want] == [
+        '{"a": 1, "b": ["x", "y"]}', "null", None, '{"a": "x * y"}', None, '{"d": {"other": "2020-01-01"}}', None, '[1, {"k": null}]', want[8][0],
+    ]
