@@ -123,7 +123,7 @@ def scores_of_lists(listed: DataFrame, query: list[tuple[str, ...]], key: str =
 
 
 def postings(rows: DataFrame, columns: tuple[str, ...] = TEXT_COLUMNS, key: str = "seq") -> DataFrame:
-    """One row per term and text row: (term, key, tf, length, positions)."""
+    """One row per term and text row: (key, length, term, tf, positions). Rows of one key and length count as one text row."""
 
     def placed(words: Column, column_no: Column) -> Column:
         return F.transform(
@@ -140,12 +140,33 @@ def postings(rows: DataFrame, columns: tuple[str, ...] = TEXT_COLUMNS, key: str
             F.flatten(F.transform(lists, placed)).alias("words"),
         ),
     )
-    exploded = rows.select(key, flat.alias("t")).select(
-        key, F.col("t.length").alias("length"), F.inline("t.words")
-    )
-    return exploded.groupBy(key, "length", "term").agg(
-        F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions")
+    def grouped(words: Column) -> Column:
+        """A row's words by term: sorted, each run of one term is a posting."""
+
+        def run(starts: Column, start: Column, at: Column) -> Column:
+            count = F.coalesce(F.get(starts, at + 1), F.size(words) + 1) - start
+            return F.struct(
+                F.element_at(words, start)["term"].alias("term"), count.alias("tf"),
+                F.transform(F.slice(words, start, count), lambda word: word["at"]).alias("positions"),
+            )
+
+        new = lambda i: (i == 1) | (F.get(words, i - 1)["term"] != F.get(words, i - 2)["term"])
+        starts = F.filter(F.sequence(F.lit(1), F.size(words)), new)
+        return F.when(F.size(words) > 0, let(starts, lambda all_: F.transform(all_, lambda start, at: run(all_, start, at))))
+
+    def of_rows(own: DataFrame) -> DataFrame:
+        runs = let(F.array_sort("t.words"), grouped)
+        return own.select(key, flat.alias("t")).select(key, F.col("t.length").alias("length"), F.inline(runs))
+
+    # All words of a row are in one place, so nothing is shuffled; only rows that share their key meet by term.
+    repeated = rows.groupBy(key).count().filter("count > 1").select(F.col(key).alias("_again"))
+    if repeated.isEmpty():
+        return of_rows(rows)
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    merged = of_rows(rows.join(repeated, same, "left_semi")).groupBy(key, "length", "term").agg(
+        F.sum("tf").cast("int").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions")
     )
+    return of_rows(rows.join(repeated, same, "left_anti")).unionByName(merged)
 
 
 def token_total(columns: tuple[str, ...]) -> Column:

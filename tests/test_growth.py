@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folionaut.llm import jaccard
 from folionaut.llm.session import prepare
-from folionaut.operators import context, spans, walks
+from folionaut.operators import bm25, context, spans, walks
 from folionaut.sources import cardfiles, extract, markup, pycode
 
 
@@ -129,3 +129,21 @@ def test_a_card_is_read_once(monkeypatch):
     assert [value for value, _ in want] == [
         '{"a": 1, "b": ["x", "y"]}', "null", None, '{"a": "x * y"}', None, '{"d": {"other": "2020-01-01"}}', None, '[1, {"k": null}]', want[8][0],
     ]
+
+
+def test_postings_shuffle_no_words(spark):
+    """Rows that share their key still meet, with and without other rows; null keys are one key."""
+    texts = [(1, "b a b"), (2, None), (3, "a"), (4, "c c A"), (None, "b x")]
+    ddl = "seq long, text string"
+    once = bm25.postings(spark.createDataFrame(texts, ddl), ("text",))
+    assert "Exchange" not in plan(once)
+
+    def listed(frame):
+        return sorted(((r["seq"], r["length"], r["term"], r["tf"], r["positions"]) for r in frame.collect()), key=str)
+
+    want = [(1, 3, "a", 1, [1]), (1, 3, "b", 2, [0, 2]), (3, 1, "a", 1, [0]), (4, 3, "a", 1, [2]), (4, 3, "c", 2, [0, 1]), (None, 2, "b", 1, [0]), (None, 2, "x", 1, [1])]
+    assert listed(once) == sorted(want, key=str)
+    again = [*texts, (1, "b a b"), (1, "b"), (None, "b x")]
+    got = listed(bm25.postings(spark.createDataFrame(again, ddl), ("text",)))
+    more = {(1, 3, "a"): (2, [1, 1]), (1, 3, "b"): (4, [0, 0, 2, 2]), (None, 2, "b"): (2, [0, 0]), (None, 2, "x"): (2, [1, 1])}
+    assert got == sorted([(*w[:3], *more.get(w[:3], w[3:])) for w in want] + [(1, 1, "b", 1, [0])], key=str)
