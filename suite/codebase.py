@@ -179,8 +179,8 @@ def overlapping_spans_of_all_lengths(spark, folder):
         (F.col("o_custkey") % 20).alias("grp"), key.alias("right_id"), begin.cast("int").alias("rs"),
         (begin + F.when(key % 300 == 0, 20000).otherwise(key % 40)).cast("int").alias("re"),
     )
-    pairs = spans.overlapping(a, b, "grp", ("s", "e"), ("rs", "re"))
-    return pairs.groupBy("left_id").agg(F.count("*").alias("met"), F.min("right_id").alias("low"), F.max("right_id").alias("high"))
+    found = spans.overlap_summary(a, b, "grp", ("s", "e"), ("rs", "re"), "right_id")
+    return found.groupBy("left_id").agg(F.sum("met").alias("met"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 # Files of the query below: # stands for the number of a row, @ for the next one.

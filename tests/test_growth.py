@@ -147,3 +147,31 @@ def test_postings_shuffle_no_words(spark):
     got = listed(bm25.postings(spark.createDataFrame(again, ddl), ("text",)))
     more = {(1, 3, "a"): (2, [1, 1]), (1, 3, "b"): (4, [0, 0, 2, 2]), (None, 2, "b"): (2, [0, 0]), (None, 2, "x"): (2, [1, 1])}
     assert got == sorted([(*w[:3], *more.get(w[:3], w[3:])) for w in want] + [(1, 1, "b", 1, [0])], key=str)
+
+
+def test_overlap_summary_equals_all_pairs(spark):
+    draw = random.Random(6)
+
+    def rows(count, longest):
+        made = []
+        for n in range(count):
+            start = draw.randrange(200)
+            made.append((draw.choice(["a", "b", None]), start, start + draw.choice([0, 1, 7, longest, -1]), draw.choice([n, None]) if n % 9 == 0 else n))
+        return [*made, *made[:5], ("a", None, 3, 1), ("a", 3, None, 2)]
+
+    left, right = rows(150, 90), rows(200, 300)
+    frames = [spark.createDataFrame(r, f"grp string, {s} int, {e} int, {i} long") for r, s, e, i in ((left, "s", "e", "l"), (right, "rs", "re", "r"))]
+    found = spans.overlap_summary(*frames, "grp", ("s", "e"), ("rs", "re"), "r")
+    assert "_at" not in found.columns
+    want = []
+    for g, s, e, i in left:
+        near = [r for h, rs, re, r in right if None not in (g, s, e, rs, re) and g == h and s <= e and rs <= re and s <= re and e >= rs]
+        known = [r for r in near if r is not None]
+        if near:
+            want.append((g, s, e, i, len(near), min(known, default=None), max(known, default=None)))
+    got = [(r["grp"], r["s"], r["e"], r["l"], r["met"], r["low"], r["high"]) for r in found.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    # Many equal spans are many pairs, but few rows on the way.
+    same = spark.range(3000).select(F.lit("g").alias("grp"), F.lit(5).alias("s"), F.lit(9).alias("e"), "id")
+    every = spans.overlap_summary(same, same.toDF("grp", "rs", "re", "r"), "grp", ("s", "e"), ("rs", "re"), "r")
+    assert every.groupBy("met", "low", "high").count().collect() == [(3000, 0, 2999, 3000)]
