@@ -24,7 +24,7 @@ linked; rows with a null id are not linked; an empty table gives an empty result
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -54,6 +54,8 @@ FOREST = 1 << 20
 SHIPPED = 5
 #: Shingles of a region that are dealt anew at once.
 DEALT = 1 << 18
+#: Shingles of a region that are compared with a pivot at once.
+COMPARED = 1 << 18
 DEALT_PARTS = 16
 #: Shingles of a region that one task joins; larger regions are joined by rounds of pivots.
 REGION_SHINGLES = 8_000_000
@@ -302,7 +304,15 @@ class Region:
 
     def __init__(self, values: np.ndarray, bounds: np.ndarray, percent: int):
         self.bounds, self.size = bounds, np.diff(bounds)
-        self.elements, self.flat = np.unique(values, return_inverse=True)
+        # Shingles by number, four bytes each; the codes themselves are not kept.
+        order = np.argsort(values)
+        ordered = values[order]
+        new = np.ones(len(values), dtype=bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        del ordered
+        self.elements = int(new.sum())
+        self.flat = np.empty(len(values), dtype=np.int32)
+        self.flat[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
         self.percent = percent
         self.reach = 1 - percent / 100 + 1e-9
         self.parent = np.arange(len(self.size))
@@ -319,10 +329,16 @@ class Region:
 
     def distances(self, pivot: int, rows: np.ndarray) -> np.ndarray:
         """Distances to ``rows``; those within the threshold are linked."""
-        mark = np.zeros(len(self.elements), dtype=bool)
+        mark = np.zeros(self.elements, dtype=bool)
         mark[self.flat[self.bounds[pivot] : self.bounds[pivot + 1]]] = True
         n = self.size[rows]
-        shared = np.add.reduceat(mark[self.flat[ranges(self.bounds[rows], n)]], np.cumsum(n) - n, dtype=np.int64)
+        shared, ends, first = np.empty(len(rows), dtype=np.int64), np.cumsum(n), 0
+        while first < len(rows):
+            after = max(first + 1, int(np.searchsorted(ends, ends[first] - n[first] + COMPARED, side="right")))
+            own = n[first:after]
+            hit = mark[self.flat[ranges(self.bounds[rows[first:after]], own)]]
+            shared[first:after] = np.add.reduceat(hit, np.cumsum(own) - own, dtype=np.int64)
+            first = after
         union = n + self.size[pivot] - shared
         self.parent[self.roots(rows[100 * shared >= self.percent * union])] = self.root(pivot)
         return 1 - shared / union
@@ -397,15 +413,15 @@ def _redealt(values: np.ndarray, bounds: np.ndarray, percent: int, deal: int) ->
     return np.split(order, np.flatnonzero(np.diff(parent[order])) + 1)
 
 
-def _distinct_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingle codes and bounds of the distinct sets that are not empty, and for each text the number of its set, or -1.
+def _distinct_sets(texts: Iterable[pa.Array], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle codes and bounds of the distinct sets that are not empty, and for each text of all arrays the number of its set, or -1.
 
     Sets are told apart by size and two sums of mixed codes. Block after block, copies are let go as they are seen, so
     memory follows the distinct sets, however many copies a region holds.
     """
     known: dict[tuple[int, int, int], int] = {}
     kept, sizes_, number = [np.empty(0, dtype=np.uint64)], [], []
-    for _, _, data, offsets in blocks(texts, SMALL_BLOCK_BYTES):
+    for _, _, data, offsets in (block for array in texts for block in blocks(array, SMALL_BLOCK_BYTES)):
         values, bounds = shingle_sets(data, offsets, width)
         size = np.diff(bounds)
         full = np.flatnonzero(size)
@@ -428,31 +444,50 @@ def _distinct_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _join_region(percent: int, width: int):
-    """One region's documents to their components."""
-
-    def split(values: np.ndarray, bounds: np.ndarray, rows: np.ndarray, deals: tuple[int, ...]) -> Iterator[tuple[np.ndarray, Region]]:
-        """Parts of the region under further dealings, each with its own table of shingles."""
-        if not deals or len(rows) <= 2 * PIVOTS:
-            yield rows, Region(values, bounds, percent)
-            return
-        for part in _redealt(values, bounds, percent, deals[0]):
-            size = np.diff(bounds)[part]
-            yield from split(values[ranges(bounds[part], size)], np.append(0, np.cumsum(size)), rows[part], deals[1:])
-
-    def run(group: pa.Table) -> pa.Table:
-        only("jaccard")
-        ids = group.column("doc_id").to_numpy()
-        values, bounds, number = _distinct_sets(group.column("text").combine_chunks(), width)
-        sets = len(bounds) - 1
-        label = np.arange(sets)
-        for rows, region in split(values, bounds, np.arange(sets), (1, 2)):
+    """One region's documents to their components. Texts pass batch by batch; only their distinct sets are held."""
+
+    def linked(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """For each set of the region one that stands for its component. ``sets`` (codes, bounds) is emptied, so that codes go as soon as they are numbered."""
+        values, bounds = sets.pop()
+        label = np.arange(len(bounds) - 1)
+        todo = [(values, bounds, label.copy(), (1, 2))]
+        del values
+        while todo:
+            values, bounds, rows, deals = todo.pop()
+            if deals and len(rows) > 2 * PIVOTS:
+                # Parts of the region under another dealing, each with its own table of shingles.
+                parts, size = _redealt(values, bounds, percent, deals[0]), np.diff(bounds)
+                if len(parts) == 1:
+                    todo.append((values, bounds, rows, deals[1:]))
+                    continue
+                for part in parts:
+                    todo.append((values[ranges(bounds[part], size[part])], np.append(0, np.cumsum(size[part])), rows[part], deals[1:]))
+                continue
+            region = Region(values, bounds, percent)
+            del values
             region.join(np.arange(len(rows)))
             label[rows] = rows[region.roots(np.arange(len(rows)))]
+        return label
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("jaccard")
+        ids_: list[np.ndarray] = []
+
+        def texts() -> Iterator[pa.Array]:
+            for batch in batches:
+                ids_.append(batch.column("doc_id").to_numpy().copy())
+                yield batch.column("text")
+
+        values, bounds, number = _distinct_sets(texts(), width)
+        ids, sets = np.concatenate(ids_), [(values, bounds)]
+        count = len(bounds) - 1
+        del values
+        label = linked(sets)
         keep = number >= 0
         label = label[number[keep]]
-        least = np.full(sets, np.iinfo(np.int64).max)
+        least = np.full(count, np.iinfo(np.int64).max)
         np.minimum.at(least, label, ids[keep])
-        return pa.table({"doc_id": pa.array(ids[keep]), "component": pa.array(least[label])})
+        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(least[label])], ["doc_id", "component"])
 
     return run
 

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folionaut.llm import decontaminate, jaccard, quality, repeats, secrets
@@ -242,3 +243,31 @@ def test_shipped_signatures_keep_what_is_equal():
     shipped = jaccard._shipped(code, np.array([0, 2, 2, 5]))
     back = [jaccard._unshipped(value.as_buffer()).tolist() for value in shipped]
     assert back == [[0, 0], [], [1 << 63, ((1 << 64) - 1) >> 24 << 24, 1 << 24]]
+
+
+def test_region_join_reads_its_texts_batch_by_batch_and_numbers_shingles_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    texts = []
+    for family in range(40):
+        base = rng.integers(0, 10**6, 200)
+        for _ in range(3):
+            own = base.copy()
+            own[rng.integers(0, 200)] = 10**6
+            texts.append(" ".join(map(str, own)))
+    texts += [None, "", texts[0]]
+    ids = np.arange(len(texts)) + 7
+    batches = (pa.RecordBatch.from_arrays([pa.array(ids[i : i + 10]), pa.array(texts[i : i + 10])], ["doc_id", "text"]) for i in range(0, len(texts), 10))
+    found = pa.Table.from_batches(jaccard._join_region(80, 5)(batches)).to_pydict()
+    expected = {7 + i: 7 + i // 3 * 3 for i in range(120)} | {129: 7}
+    assert dict(zip(found["doc_id"], found["component"])) == expected
+
+    values, rows = rng.integers(0, 1 << 60, 1 << 20).astype(np.uint64), 1 << 10
+    bounds = np.arange(rows + 1) << 10
+    tracemalloc.start()
+    region = jaccard.Region(values, bounds, 80)
+    region.distances(0, np.arange(rows))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * len(values)
