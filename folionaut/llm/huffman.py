@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from folionaut.llm.arrays import blocks
 from folionaut.llm.encoding import binary_column, encoder, with_end
-from folionaut.llm.session import partitions
+from folionaut.llm.session import partitions, staged
 from folionaut.llm.workers import forgets
 
 LIMIT = 20
@@ -126,31 +126,66 @@ def _decoder(lengths: bytes) -> Decoder:
 forgets(_decoder.cache_clear)
 
 
-def id_counts(docs: DataFrame, path: str, spaced: bool, end_id: int) -> DataFrame:
-    """(id, count) over all texts, with the end id of each."""
+def encoded(docs: DataFrame, path: str, spaced: bool, end_id: int) -> DataFrame:
+    """``docs`` (doc_id and more) with ``ids`` in place of ``text``: little-endian, of two bytes where a batch has no larger ids, else of four; and their number ``n``."""
+    kept = [c for c in docs.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path, spaced)
+        for batch in batches:
+            for first, after, data, offsets in blocks(batch.column("text")):
+                ids, sizes = with_end(*encode.encode(data, offsets), end_id)
+                ids = ids.astype("<u2" if ids.max() < 1 << 16 else "<u4")
+                own = [batch.column(c).slice(first, after - first) for c in kept]
+                yield pa.RecordBatch.from_arrays([*own, binary_column(ids, np.append(0, np.cumsum(sizes))), pa.array(sizes.astype(np.int64))], [*kept, "ids", "n"])
+
+    types = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
+    return docs.mapInArrow(run, ", ".join([*types, "ids binary", "n long"]))
+
+
+def _ids(column: pa.Array, sizes: np.ndarray) -> np.ndarray:
+    """Ids of all rows of ``encoded``, one row after the other."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, dtype=np.uint8)
+    wide = np.diff(bounds) > 2 * sizes
+    # Rows of one width stand together, in few runs.
+    cuts = np.r_[0, np.flatnonzero(wide[1:] != wide[:-1]) + 1, len(wide)]
+    return np.concatenate(
+        [raw[bounds[a] : bounds[b]].view("<u4" if wide[a] else "<u2").astype(np.uint32) for a, b in zip(cuts[:-1], cuts[1:])]
+    )
+
+
+def id_counts(rows: DataFrame) -> DataFrame:
+    """(id, n) over all rows of ``encoded``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, totals = encoder(path, spaced), np.zeros(0, dtype=np.int64)
+        totals = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for _, _, data, offsets in blocks(batch.column(0)):
-                seen = encode.counts(data, offsets, max(len(totals), end_id + 1))
-                seen[end_id] += len(offsets) - 1
-                seen[: len(totals)] += totals
-                totals = seen
+            if not batch.num_rows:
+                continue
+            seen = np.bincount(_ids(batch.column(0), batch.column(1).to_numpy()), minlength=len(totals))
+            seen[: len(totals)] += totals
+            totals = seen
         used = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(totals[used])], ["id", "n"])
 
-    return docs.select("text").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return rows.select("ids", "n").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_ids(docs: DataFrame, folder: str, path: str, spaced: bool = True, end_id: int = 2, vocabulary: int = 1 << 17) -> None:
     """Encode ``doc_id, text`` rows and write the format to ``folder``.
 
-    ``vocabulary`` bounds the ids and so the counts that reach the driver.
+    Each text is encoded once; counts, order and blocks are made from its ids, which are kept in the shared folder. Only if
+    keys are null or come again is the text kept too, as their order. ``vocabulary`` bounds the ids and so the counts that reach the driver.
     """
     spark = docs.sparkSession
     counts = np.zeros(vocabulary, dtype=np.int64)
-    for row in id_counts(docs, path, spaced, end_id).collect():
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    tied = not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+    rows = staged(encoded(docs.withColumn("tie", F.col("text")) if tied else docs, path, spaced, end_id))
+    for row in id_counts(rows).collect():
         counts[row["id"]] = row["n"]
     lengths = code_lengths(counts)
     known = [(int(s), int(lengths[s])) for s in np.flatnonzero(lengths)]
@@ -158,13 +193,12 @@ def write_ids(docs: DataFrame, folder: str, path: str, spaced: bool = True, end_
     codes = canonical_codes(lengths)
 
     parts = partitions(spark)
-    # Range bounds from the key column alone; sampling inside repartitionByRange would read all texts once more.
-    bounds = docs.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
+    # Range bounds from the key column alone; sampling inside repartitionByRange would read all ids once more.
+    bounds = rows.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
     bounds = sorted({int(x) for x in bounds})
     number = F.coalesce(sum((F.col("doc_id") > b).cast("int") for b in bounds), F.lit(0)) if bounds else F.lit(0)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, spaced)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = {"range": None, "block": 0, "before": 0}
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
@@ -181,34 +215,35 @@ def write_ids(docs: DataFrame, folder: str, path: str, spaced: bool = True, end_
             state["before"] += len(ids)
 
         for batch in batches:
-            numbers, keys = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for first, after, data, offsets in blocks(batch.column(2)):
-                ids, sizes = with_end(*encode.encode(data, offsets), end_id)
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                row = first
-                while row < after:
-                    if numbers[row] != state["range"]:
-                        yield from flush()
-                        state.update(range=int(numbers[row]), block=0, before=0)
-                    same = int(np.searchsorted(numbers[first:after], numbers[row], side="right")) + first
-                    room = BLOCK_IDS - sum(len(p[2]) for p in held)
-                    full = int(np.searchsorted(ends, ends[row - first] + room, side="right")) - 1 + first
-                    stop = min(same, max(full, row + (not held)))
-                    if stop > row:
-                        held.append((keys[row:stop], sizes[row - first : stop - first], ids[ends[row - first] : ends[stop - first]]))
-                    row = stop
-                    if row < after and numbers[row] == state["range"]:
-                        yield from flush()
+            if not batch.num_rows:
+                continue
+            numbers, keys, sizes = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(3).to_numpy()
+            ids, ends = _ids(batch.column(2), sizes), np.append(0, np.cumsum(sizes))
+            row = 0
+            while row < len(keys):
+                if numbers[row] != state["range"]:
+                    yield from flush()
+                    state.update(range=int(numbers[row]), block=0, before=0)
+                same = int(np.searchsorted(numbers, numbers[row], side="right"))
+                room = BLOCK_IDS - sum(len(p[2]) for p in held)
+                full = int(np.searchsorted(ends, ends[row] + room, side="right")) - 1
+                stop = min(same, max(full, row + (not held)))
+                if stop > row:
+                    held.append((keys[row:stop], sizes[row:stop], ids[ends[row] : ends[stop]]))
+                row = stop
+                if row < len(keys) and numbers[row] == state["range"]:
+                    yield from flush()
         yield from flush()
 
+    order = ["tie"] if tied else []
     arrow = pa.schema(
         [("range", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("keys", pa.list_(pa.int64())),
          ("sizes", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("checkpoints", pa.binary()), ("bits", pa.binary())]
     )
     (
-        docs.select(number.cast("int").alias("range"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartition(parts, "range").sortWithinPartitions("range", "doc_id", "text")
-        .mapInArrow(encode, BLOCK_SCHEMA)
+        rows.select(number.cast("int").alias("range"), "doc_id", "ids", "n", *order)
+        .repartition(parts, "range").sortWithinPartitions("range", "doc_id", *order)
+        .select("range", "doc_id", "ids", "n").mapInArrow(write, BLOCK_SCHEMA)
         .write.option("compression", "none").parquet(f"{folder}/blocks")
     )
 

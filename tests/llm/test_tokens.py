@@ -51,6 +51,18 @@ def test_huffman_edges(llm, edges, nothing):
     assert huffman.read_ids(llm, folder).count() == 0
 
 
+def test_huffman_texts_are_encoded_once(llm, edges, tmp_path):
+    """Two bytes an id where they do, four else; blocks and counts come from these ids, and no second encoding is planned."""
+    rows = huffman.encoded(edges, BYTE_BPE, True, 2)
+    small, large = (huffman.encoded(edges.where("text is not null").limit(2), BYTE_BPE, True, end).toArrow().to_pydict() for end in (2, 70000))
+    assert [len(i) for i in small["ids"]] == [2 * n for n in small["n"]] and [len(i) for i in large["ids"]] == [4 * n for n in large["n"]]
+    both = huffman.pa.array([*small["ids"], *large["ids"]])
+    ids = huffman._ids(both, np.array([*small["n"], *large["n"]]))
+    assert ids.tolist() == [*np.frombuffer(b"".join(small["ids"]), "<u2"), *np.frombuffer(b"".join(large["ids"]), "<u4")]
+    counts = {r["id"]: r["n"] for r in huffman.id_counts(rows).collect()}
+    assert counts[2] >= len(EDGES) and sum(counts.values()) == sum(r["n"] for r in rows.select("n").collect())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 400), min_size=1, max_size=900), st.integers(9, 20))
 def test_code_round_trip(ids, limit):
