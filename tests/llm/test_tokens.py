@@ -53,6 +53,7 @@ def test_huffman_edges(llm, edges, nothing):
 
 def test_huffman_texts_are_encoded_once(llm, edges, tmp_path):
     """Two bytes an id where they do, four else; blocks and counts come from these ids, and no second encoding is planned."""
+    edges = edges.select("doc_id", "text")
     rows = huffman.encoded(edges, BYTE_BPE, True, 2)
     small, large = (huffman.encoded(edges.where("text is not null").limit(2), BYTE_BPE, True, end).toArrow().to_pydict() for end in (2, 70000))
     assert [len(i) for i in small["ids"]] == [2 * n for n in small["n"]] and [len(i) for i in large["ids"]] == [4 * n for n in large["n"]]
