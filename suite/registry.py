@@ -15,14 +15,19 @@ ORACLES: dict = {}
 _SHIPPED: set[str] = set()
 
 
+#: Rows of one Arrow batch. A worker holds some batches and what is parsed from them, and pages and files are large rows.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers the package, wherever the driver was started."""
+    """Give the Python workers the package, wherever the driver was started, and keep their batches short."""
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         home = Path(__file__).resolve().parent.parent
         folder = tempfile.mkdtemp(prefix="folionaut-package-")
         context.addPyFile(shutil.make_archive(f"{folder}/folionaut", "zip", home, "folionaut"))
         _SHIPPED.add(context.applicationId)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def query(name: str, sql: str | None = None):

@@ -257,3 +257,16 @@ def test_dispatch_reads_every_kind_once(spark):
     assert code["g.docx"]["error"] and code["i.bin"]["error"] and code["h.weird"]["extractor"] == "source_code_text_sniff"
     general = {r["filename"]: r for r in reparsed_as_markdown(extract_blocks(frame)).collect()}
     assert general["h.weird"]["error"] and general["c.csv"]["blocks"][0]["atomic"] and general["e.py"]["blocks"][0]["line_start"] is None
+
+
+def test_queries_give_workers_short_batches(spark, tmp_path):
+    import suite.markup  # noqa: F401
+    from suite.registry import QUERIES
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pages = spark.createDataFrame([(i, f"<title>t{i}</title><h1>Head</h1>") for i in range(2500)], "page_id long, html string")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    found = QUERIES["html_titles_and_links"](spark, str(tmp_path)).collect()
+    assert sorted((r["page_id"], r["title"], r["headings"]) for r in found) == [(i, f"t{i}", 1) for i in range(2500)]
+    sizes = spark.range(2500).coalesce(1).mapInPandas(lambda batches: (type(b)({"n": [len(b)]}) for b in batches), "n long").collect()
+    assert sum(r["n"] for r in sizes) == 2500 and max(r["n"] for r in sizes) <= 1000
