@@ -60,6 +60,25 @@ def test_locale_overlaps_and_order(spark):
     assert found[3]["char_start"] == 2 and found[0]["currency_code"] == "EUR" and found[5]["unit"] is None
 
 
+def test_facts_are_read_once_and_in_compiled_rows(spark):
+    plan = extract_facts(spark.createDataFrame([(1, "tax 5 %")], "id int, text string")).select("id", "field", "normalized_number", "char_end")
+    lines = plan._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("regexp_replace(" in line for line in lines) == 1
+    assert not any("lambda" in line and "regexp_extract" in line for line in lines)
+
+
+def test_places_of_facts_leave_out_what_is_no_fact(spark):
+    text = "May 2, 2021 version 1.2.3 \x03 2021-02-30 versionv2 tax 5 % 2021/01/02 \x01 Created 3 March 2020 price 1 Published: 2020-01-01"
+    found = facts_of(spark, [text, None, text])
+    expected = [(None, 2.0), ("price", 1.0), ("tax_percent", 5.0), ("published_date", "2020-01-01"), ("date", "2021-01-02"), ("created_date", "2020-03-03"), ("date", "2021-05-02")]
+    for n in (0, 2):
+        mine = [f for f in found if f["id"] == n]
+        assert [f["fact_order"] for f in mine] == list(range(7))
+        assert [(f["field"], f["normalized_number"] or f["normalized_date_utc"][:10]) for f in mine] == expected
+        assert all(text[f["char_start"] : f["char_end"]].strip() == f["raw_value"] for f in mine)
+    assert len(found) == 14
+
+
 def test_vocabulary_terms(spark):
     frame = spark.range(1).select(T.candidate_terms(F.lit("The Embedding Retrieval System and the Retrieval_x ab Pipeline-2")).alias("t"))
     assert frame.first()["t"] == ["embedding", "retrieval", "system", "retrieval_x", "pipeline-2"]
