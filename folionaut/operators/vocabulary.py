@@ -29,31 +29,29 @@ def keyword_frequencies(links: DataFrame) -> DataFrame:
     )
 
 
-def partial_counts(links: DataFrame, batch: str = "batch") -> DataFrame:
+def partial_counts(links: DataFrame, batch: str = "batch", sketches: bool = True) -> DataFrame:
     """(batch, term, chunks, sources, sketch): what one batch adds to the vocabulary, to be written beside it.
 
     A term's rows meet by batch, term and source first, so a term of a third of all chunks is counted where they lie.
-    Null terms and sources take no part.
+    Null terms and sources take no part. Without ``sketches`` rows are only counted, which needs no sort of them.
     """
     known = links.filter(F.col("term").isNotNull() & F.col("source_id").isNotNull())
     per_source = known.groupBy(batch, "term", "source_id").agg(F.count("*").alias("chunks"))
-    return per_source.groupBy(batch, "term").agg(
-        F.sum("chunks").cast("bigint").alias("chunks"), F.count("*").alias("sources"), F.hll_sketch_agg("source_id", F.lit(SKETCH_BITS)).alias("sketch")
-    )
+    sketch = [F.hll_sketch_agg("source_id", F.lit(SKETCH_BITS)).alias("sketch")] if sketches else []
+    return per_source.groupBy(batch, "term").agg(F.sum("chunks").cast("bigint").alias("chunks"), F.count("*").alias("sources"), *sketch)
 
 
 def merged_counts(parts: DataFrame, live: DataFrame | None = None, batch: str = "batch") -> DataFrame:
     """Term frequencies over all batches, or those of ``live`` (batch), from partial counts alone: no link is read again.
 
     ``chunk_frequency`` is exact. ``doc_frequency`` is exact where a source lies in one batch, as the store has it.
-    ``source_estimate`` holds also where batches share sources: sketches are united, with a standard error of about 1.04 / 2^(SKETCH_BITS / 2), 1.6 %.
+    ``source_estimate`` (from parts with sketches) holds also where batches share sources: sketches are united, with a standard error of about 1.04 / 2^(SKETCH_BITS / 2), 1.6 %.
     """
     if live is not None:
         parts = parts.join(live.select(batch).distinct(), batch, "left_semi")
+    estimate = [F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("source_estimate")] if "sketch" in parts.columns else []
     return parts.groupBy("term").agg(
-        F.sum("chunks").cast("bigint").alias("chunk_frequency"),
-        F.sum("sources").cast("bigint").alias("doc_frequency"),
-        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("source_estimate"),
+        F.sum("chunks").cast("bigint").alias("chunk_frequency"), F.sum("sources").cast("bigint").alias("doc_frequency"), *estimate
     )
 
 
@@ -62,7 +60,7 @@ def with_batch_replaced(parts: DataFrame, links: DataFrame, batch: str = "batch"
 
     ``links`` are all live links of the changed batches. A batch that lost its last link must be left out by ``live``.
     """
-    new = partial_counts(links, batch)
+    new = partial_counts(links, batch, sketches="sketch" in parts.columns)
     return parts.join(new.select(batch).distinct(), batch, "left_anti").unionByName(new)
 
 

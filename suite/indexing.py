@@ -190,9 +190,9 @@ def keyword_frequencies_merged(spark, folder):
     """Partial counts of four batches, written and merged on read: by document (in one batch each) and by source (in all of them)."""
     links = vocabulary.keyword_links(documents(spark, folder).withColumn("source_id", F.struct("seq", "source")))
     links = links.withColumn("batch", F.pmod(F.col("source_id.seq"), F.lit(4)))
-    by_document = durable(vocabulary.partial_counts(links.withColumn("source_id", F.col("source_id.seq"))))
+    by_document = durable(vocabulary.partial_counts(links.withColumn("source_id", F.col("source_id.seq")), sketches=False))
     by_source = durable(vocabulary.partial_counts(links.withColumn("source_id", F.col("source_id.source"))))
-    exact = vocabulary.merged_counts(by_document).drop("source_estimate")
+    exact = vocabulary.merged_counts(by_document)
     return exact.join(vocabulary.merged_counts(by_source).select("term", "source_estimate"), "term")
 
 

@@ -40,3 +40,14 @@ def test_sources_of_one_batch_each_are_exact(spark):
     exact = {tuple(r) for r in vocabulary.keyword_frequencies(links).collect()}
     assert {tuple(r)[:3] for r in vocabulary.merged_counts(vocabulary.partial_counts(links)).collect()} == exact
     assert vocabulary.merged_counts(vocabulary.partial_counts(links.limit(0))).count() == 0
+
+
+def test_batches_counted_without_sketches(spark):
+    rows = [(n % 4, f"c{n}", f"s{n % 4}-{n % 97}", "t" if n % 3 else "u") for n in range(500)]
+    links = spark.createDataFrame([*rows, (0, "c", None, "t")], "batch int, chunk_id string, source_id string, term string")
+    exact = {tuple(r) for r in vocabulary.keyword_frequencies(links.filter("source_id IS NOT NULL")).collect()}
+    parts = vocabulary.partial_counts(links, sketches=False)
+    assert "ObjectHashAggregate" not in parts._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in vocabulary.merged_counts(parts).collect()} == exact
+    again = vocabulary.with_batch_replaced(parts, links.filter("batch = 1"))
+    assert {tuple(r) for r in vocabulary.merged_counts(again).collect()} == exact
