@@ -37,35 +37,46 @@ def _plain(heading: Column) -> Column:
 
 
 def declarations(files: DataFrame) -> DataFrame:
-    """One row per declaration, with the entity that encloses it (``parent_id``, the file's own if there is none)."""
+    """One row per declaration, with the entity that encloses it (``parent_id``, the file's own if there is none).
+
+    Texts are dealt out by file once, into as many partitions as the session's shuffles have; tokens and all windows over
+    them stay in these. A shuffle of tokens would be coalesced by its compressed size, and tokens take many times that in memory.
+    """
     shared = ["source_id", "root_key", "path", "module_key", "language"]
-    tokens = files.where(F.col("language").isin(*LANGUAGES)).select(
-        *shared, F.posexplode(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0))).alias("pos", "token")
-    )
+    spread = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = files.where(F.col("language").isin(*LANGUAGES)).select(*shared, "text").repartition(spread, "source_id")
+    tokens = known.select(*shared, F.posexplode(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0))).alias("pos", "token"))
     code = ~F.substring("token", 1, 1).isin('"', "'", "`", "/")
-    closing, step = F.col("token") == "}", F.when(F.col("token") == "{", 1).when(F.col("token") == "}", -1).otherwise(0)
+    step = F.when(F.col("token") == "{", 1).when(F.col("token") == "}", -1).otherwise(0)
+    breaks = F.length("token") - F.length(F.translate("token", "\n", ""))
     word, named = F.regexp_extract("token", _TYPE_NAME, 1), F.regexp_extract("token", _TYPE_NAME, 2)
     name = F.when(named != "", named).otherwise(F.regexp_extract("token", r"^([\w$]+)", 1))
+    read = tokens.withColumns({"step": step, "breaks": breaks, "word": F.when(code, word), "name": F.when(code & ~name.isin("", *NOT_CALLED), name)})
+    # Only headings carry their text and what is known of their file; the other tokens are sorted as numbers.
+    about = F.when(F.col("name").isNotNull(), F.struct(*shared[1:], "token", "name", "word")).alias("about")
     before = Window.partitionBy("source_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     sum_of = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    placed = tokens.withColumns({
-        "depth": sum_of(step), "line": sum_of(F.length("token") - F.length(F.translate("token", "\n", ""))) + 1,
-        "word": F.when(code, word), "name": F.when(code & ~name.isin("", *NOT_CALLED), name),
-    })
-    marks = placed.where(closing | F.col("name").isNotNull()).withColumn("level", F.col("depth") - F.when(closing, 1).otherwise(0))
+    placed = read.select("source_id", "pos", "step", "breaks", about).withColumns({"depth": sum_of("step"), "line": sum_of("breaks") + 1})
+    closing = F.col("step") == -1
+    marks = placed.where(closing | F.col("about").isNotNull()).withColumn("level", F.col("depth") - F.when(closing, 1).otherwise(0))
     # Seen from the end of the file, the last closing bracket of a level is the next one.
     later = Window.partitionBy("source_id", "level").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     end = F.last(F.when(closing, F.struct("pos", "line")), ignorenulls=True).over(later)
-    found = marks.withColumn("end", end).where(F.col("name").isNotNull()).withColumn("past", F.coalesce("end.pos", F.lit(2147483647)))
+    found = marks.withColumn("end", end).where(F.col("about").isNotNull()).select("source_id", "pos", "line", "level", "end", "about")
 
-    own = found.select("source_id", F.col("level").alias("at"), "pos", F.struct("pos", "past", "name", "word").alias("owner"))
-    asked = found.where("level > 0").select("source_id", F.explode(F.sequence(F.lit(0), F.col("level") - 1)).alias("at"), "pos", F.lit(None).alias("owner"))
+    # A declaration is a row at its own level and asks, at each level below, what was opened there last.
+    levels = found.withColumn("at", F.explode(F.sequence(F.least(F.col("level"), F.lit(0)), F.col("level")))).withColumn("own", F.col("at") == F.col("level"))
+    past = F.coalesce("end.pos", F.lit(2147483647))
+    owner = F.when(F.col("own"), F.struct("pos", past.alias("past"), "about.name", "about.word"))
     earlier = Window.partitionBy("source_id", "at").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    opened = own.unionByName(asked).withColumn("around", F.last("owner", ignorenulls=True).over(earlier))
-    around = opened.where(F.col("owner").isNull() & (F.col("around.past") > F.col("pos")))
-    chain = around.groupBy("source_id", "pos").agg(F.array_sort(F.collect_list(F.struct("at", "around"))).alias("chain"))
+    opened = levels.select(
+        "source_id", "pos", "at", "own", *[F.when(F.col("own"), F.col(c)).alias(c) for c in ("line", "end", "about")], F.last(owner, ignorenulls=True).over(earlier).alias("around")
+    )
+    encloses = ~F.col("own") & (F.col("around.past") > F.col("pos")) & F.col("source_id").isNotNull()
+    asking = Window.partitionBy("source_id", "pos")
+    chain = F.array_sort(F.collect_list(F.when(encloses, F.struct("at", "around"))).over(asking))
+    nested = opened.withColumn("chain", chain).where("own").select("source_id", "pos", "line", "end", "about.*", "chain")
 
-    nested = found.join(chain, ["source_id", "pos"], "left")
     table = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
     inner = F.try_element_at("chain", F.lit(-1))["around"]
     kinds = nested.withColumns({
@@ -76,11 +87,14 @@ def declarations(files: DataFrame) -> DataFrame:
     rows = kinds.withColumn("ordinal", F.row_number().over(same) - 1).withColumn(
         "entity_id", stable_id(*[F.col(c) for c in ("source_id", "kind", "qualified_name", "ordinal")])
     )
-    parents = rows.select("source_id", F.col("pos").alias("parent_pos"), F.struct("entity_id", "kind", "qualified_name").alias("parent"))
+    # What encloses a row is the row at its place; a row stands at its own place and at that of what encloses it.
+    twice = rows.select("*", F.posexplode(F.array("pos", "parent_pos")).alias("asks", "place")).drop("chain")
+    there = F.when(F.col("asks") == 0, F.struct("entity_id", "kind", "qualified_name"))
+    asked = twice.withColumn("parents", F.collect_list(there).over(Window.partitionBy("source_id", "place"))).where("asks = 1")
     signature = F.trim(F.regexp_replace("token", r"\s+", " "))
     full = F.when(F.col("module_key") == "", F.col("qualified_name")).otherwise(F.concat_ws(".", "module_key", "qualified_name"))
     last = F.array_max(F.array(F.col("line"), F.col("end.line")))
-    return rows.join(parents, ["source_id", "parent_pos"], "left").select(
+    return asked.withColumn("parent", F.explode_outer("parents")).select(
         *shared, "kind", "name", "qualified_name", "ordinal", F.col("line").alias("line_start"), last.alias("line_end"), signature.alias("signature"),
         "entity_id", "scope", full.alias("full_key"), family(F.col("language")).alias("family"), F.col("pos").alias("position"),
         F.coalesce("parent.entity_id", stable_id(F.col("source_id"), F.lit("module"), F.lit(""), F.lit(0))).alias("parent_id"),

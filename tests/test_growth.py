@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folionaut.llm import jaccard
 from folionaut.llm.session import prepare
 from folionaut.operators import bm25, context, spans, walks
-from folionaut.sources import cardfiles, extract, markup, pycode
+from folionaut.sources import cardfiles, extract, markup, nesting, pycode
 
 
 def plan(frame):
@@ -175,3 +175,22 @@ def test_overlap_summary_equals_all_pairs(spark):
     same = spark.range(3000).select(F.lit("g").alias("grp"), F.lit(5).alias("s"), F.lit(9).alias("e"), "id")
     every = spans.overlap_summary(same, same.toDF("grp", "rs", "re", "r"), "grp", ("s", "e"), ("rs", "re"), "r")
     assert every.groupBy("met", "low", "high").count().collect() == [(3000, 0, 2999, 3000)]
+
+
+def test_tokens_of_a_file_are_not_shuffled(spark):
+    """Texts are dealt out once; files given twice, without an id or with odd brackets keep their declarations."""
+    nested = "class A {\n  void a() {\n    class B {\n      int b() {\n      }\n    }\n  }\n}\n"
+    odd = "}\nclass C {\n}\n}\nclass D {\n  int d() {\n"
+    texts = [("f", nested), ("t", "class E {\n}\n"), ("t", "class E {\n}\n"), ("o", odd), (None, "class F {\n  int f() {\n  }\n}\n"), ("n", None), ("e", "")]
+    files = spark.createDataFrame(texts, "source_id string, text string").select(
+        "source_id", F.lit("r").alias("root_key"), F.lit("p").alias("path"), F.lit("m").alias("module_key"), F.lit("java").alias("language"), "text"
+    )
+    declared = nesting.declarations(files)
+    steps = plan(declared)
+    assert steps.count("Exchange ") == 1 and "Join" not in steps and steps.count("Generate posexplode(regexp_extract_all") == 1
+    got = [(r["source_id"], r["kind"], r["qualified_name"], r["ordinal"], r["line_start"], r["line_end"], r["parent_name"]) for r in declared.collect()]
+    assert sorted(got, key=str) == sorted([
+        ("f", "class", "A", 0, 1, 8, ""), ("f", "method", "A.a", 0, 2, 7, "A"), ("f", "class", "A.a.B", 0, 3, 6, "A.a"), ("f", "method", "A.a.B.b", 0, 4, 5, "A.a.B"),
+        ("o", "class", "C", 0, 2, 3, ""), ("o", "class", "D", 0, 5, 5, ""), ("o", "function", "d", 0, 6, 6, ""),
+        ("t", "class", "E", 0, 1, 3, ""), ("t", "class", "E", 1, 1, 3, ""), (None, "class", "F", 0, 1, 4, ""), (None, "function", "f", 0, 2, 3, ""),
+    ], key=str)
