@@ -8,10 +8,16 @@ regions of their own kind, and pivots do their work inside these:
    ``D + 1`` parts, so at least one part is equal in both. Documents with an equal part (within overlapping size classes)
    meet, and those connected by such meetings make a region. Regions hold all links, and hardly anything else. Equal
    parts are contracted where they are made, so a group that holds a third of all rows is shipped once per task.
-2. A region is joined exactly: balls around pivots link their members at once; documents then belong to the Voronoi
+   Of documents with equal shingle sets one goes on, and a region of one set needs no join.
+2. A region falls apart where its documents share no rare shingle: with shingles in order of how many documents of the
+   region hold them, linked documents share one among their first ``n - ceil(threshold * n) + 1``, so those that do, and
+   what is connected by them, are joined with each other, and nothing else. Chance meetings end here.
+3. What is left is joined exactly: balls around pivots link their members at once; documents then belong to the Voronoi
    regions of the pivots, boundary documents also to each region that the triangle inequality leaves possible, and
-   these are joined recursively. Pairs already connected, or kept apart by the distances to a pivot, are not compared.
-3. A region too large for one task is joined by rounds of pivots over all its documents at once, in blocks.
+   these are joined recursively. Pairs already connected, kept apart by the distances to a pivot, or without a common
+   rare shingle are not compared.
+4. A region too large for one task falls apart in step 2 over all tasks, again and again while that helps; what is still too
+   large is joined by rounds of pivots over all its documents at once, in blocks.
 
 Shingles are told apart by 64-bit codes. A part of very few shingles may come from a line that many texts share. With
 fewer than ``SAFE_PARTS`` parts it counts only together with an equal part under a second (and third) way of dealing,
@@ -52,16 +58,20 @@ MEETING_TASKS = 24
 FOREST = 1 << 20
 #: Bytes of a signature that are shipped. Equal signatures stay equal; a pair that meets by chance is compared, no more.
 SHIPPED = 5
-#: Shingles of a region that are dealt anew at once.
-DEALT = 1 << 18
-#: Shingles of a region that are compared with a pivot at once.
+#: Shingles of a region that are compared with a pivot, or put in order, at once.
 COMPARED = 1 << 18
-DEALT_PARTS = 16
 #: Shingles of a region that one task joins; larger regions are joined by rounds of pivots.
 REGION_SHINGLES = 8_000_000
 #: Pivots of one region and round, and their shingles in all.
 PIVOTS = 32
 PIVOT_SHINGLES = 1_000_000
+#: How often regions too large for one task are split by rare shingles, and the share of shingles left at which that ends.
+SPLITS = 4
+WORTH = 0.9
+
+#: What tells shingle sets apart: size and two sums of mixed codes.
+SET = ["n_shingles", "sum", "more"]
+SET_FIELDS = "n_shingles long, sum long, more long"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -179,17 +189,29 @@ def _contract(code: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return code[new], ids[new], edge
 
 
+def _keys(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Size and two sums of mixed codes of each set, the columns of ``SET``."""
+    full = np.flatnonzero(np.diff(bounds))
+    keys = [np.diff(bounds)]
+    for salt in (0, 0xA0761D6478BD642F):
+        sums = np.zeros(len(bounds) - 1, dtype=np.uint64)
+        if len(full):
+            sums[full] = np.add.reduceat(mix(values ^ np.uint64(salt)), bounds[full])
+        keys.append(sums.view(np.int64))
+    return keys
+
+
 def sizes(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles)."""
+    """(doc_id, and the columns of ``SET``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("jaccard")
         for batch in batches:
             for first, after, data, offsets in blocks(batch.column(1), SMALL_BLOCK_BYTES):
-                count = np.diff(shingle_sets(data, offsets, width)[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, after - first), pa.array(count)], ["doc_id", "n_shingles"])
+                keys = _keys(*shingle_sets(data, offsets, width))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, after - first), *map(pa.array, keys)], ["doc_id", *SET])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {SET_FIELDS}")
 
 
 class Forest:
@@ -198,13 +220,26 @@ class Forest:
     def __init__(self) -> None:
         self.ids, self.parent = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
 
+    def parts(self) -> list[np.ndarray]:
+        """The ids of each tree, ascending."""
+        order = np.argsort(self.parent, kind="stable")
+        return np.split(self.ids[order], np.flatnonzero(np.diff(self.parent[order])) + 1) if len(order) else []
+
     def add(self, edge: np.ndarray) -> np.ndarray:
         """Edges, at most one for each id, that connect with those given before what ``edge`` connects with them."""
         if len(self.ids) > FOREST:
             self.__init__()
-        ids = np.union1d(self.ids, edge)
+        # New ids are put between those held, which are not sorted again.
+        new = np.unique(edge)
+        at = np.searchsorted(self.ids, new)
+        fresh = np.ones(len(new), dtype=bool)
+        inside = at < len(self.ids)
+        fresh[inside] = self.ids[at[inside]] != new[inside]
+        new, at = new[fresh], at[fresh]
+        ids = np.insert(self.ids, at, new)
+        now = np.arange(len(self.ids)) + np.cumsum(np.bincount(at, minlength=len(self.ids) + 1))[: len(self.ids)]
         before = np.arange(len(ids))
-        before[np.searchsorted(ids, self.ids)] = np.searchsorted(ids, self.ids[self.parent])
+        before[now] = now[self.parent]
         # Edges between roots; each root points to the smallest of its own, until nothing moves.
         parent, ends = before.copy(), np.searchsorted(ids, edge)
         while True:
@@ -316,6 +351,50 @@ class Region:
         self.percent = percent
         self.reach = 1 - percent / 100 + 1e-9
         self.parent = np.arange(len(self.size))
+        self.mark = np.zeros(self.elements, dtype=bool)
+        self.index: tuple[np.ndarray, ...] | None = None
+
+    def rare(self) -> tuple[np.ndarray, ...]:
+        """The rarest shingles of each set that another set has among its own rarest too: shingles by set and the bounds of
+        the sets, sets by shingle and the bounds of the shingles. Sets at or above the threshold have one in common."""
+        if self.index is None:
+            held = np.bincount(self.flat, minlength=self.elements).astype(np.int32)
+            counted = self.size - -(-self.percent * self.size // 100) + 1
+            found, rows, first = [np.empty(0, dtype=np.int32)], [np.empty(0, dtype=np.int64)], 0
+            while first < len(self.size):
+                after = max(first + 1, int(np.searchsorted(self.bounds, self.bounds[first] + COMPARED, side="right")) - 1)
+                flat, size = self.flat[self.bounds[first] : self.bounds[after]], self.size[first:after]
+                own = np.repeat(np.arange(len(size)), size)
+                order = np.lexsort((flat, held[flat], own))
+                place = np.arange(len(flat)) - np.repeat(self.bounds[first:after] - self.bounds[first], size)
+                flat = flat[order]
+                use = (place < np.repeat(counted[first:after], size)) & (held[flat] > 1)
+                found.append(flat[use])
+                rows.append(own[use] + first)
+                first = after
+            shingle, row = np.concatenate(found), np.concatenate(rows)
+            both = np.bincount(shingle, minlength=self.elements)[shingle] > 1
+            shingle, row = shingle[both], row[both]
+            # Shingles are numbered anew, so that the index follows what it holds.
+            shingle = np.unique(shingle, return_inverse=True)[1]
+            order = np.argsort(shingle, kind="stable")
+            ends = np.append(0, np.cumsum(np.bincount(shingle))) if len(shingle) else np.zeros(1, dtype=np.int64)
+            self.index = shingle, np.searchsorted(row, np.arange(len(self.size) + 1)), row[order], ends
+        return self.index
+
+    def apart(self) -> list[np.ndarray]:
+        """Sets that are connected by their rarest shingles, those alone left out: no set is linked with one elsewhere."""
+        _, _, row, ends = self.rare()
+        head = np.repeat(row[ends[:-1]], np.diff(ends)) if len(row) else row
+        forest = Forest()
+        forest.add(np.unique(np.column_stack([head, row])[head != row], axis=0))
+        return forest.parts()
+
+    def candidates(self, row: int) -> np.ndarray:
+        """All sets that have one of the rarest shingles of ``row`` among their own."""
+        shingle, own, rows, ends = self.rare()
+        mine = shingle[own[row] : own[row + 1]]
+        return np.unique(rows[ranges(ends[mine], ends[mine + 1] - ends[mine])])
 
     def roots(self, rows: np.ndarray) -> np.ndarray:
         found = self.parent[rows]
@@ -329,8 +408,8 @@ class Region:
 
     def distances(self, pivot: int, rows: np.ndarray) -> np.ndarray:
         """Distances to ``rows``; those within the threshold are linked."""
-        mark = np.zeros(self.elements, dtype=bool)
-        mark[self.flat[self.bounds[pivot] : self.bounds[pivot + 1]]] = True
+        mark, held = self.mark, self.flat[self.bounds[pivot] : self.bounds[pivot + 1]]
+        mark[held] = True
         n = self.size[rows]
         shared, ends, first = np.empty(len(rows), dtype=np.int64), np.cumsum(n), 0
         while first < len(rows):
@@ -339,12 +418,13 @@ class Region:
             hit = mark[self.flat[ranges(self.bounds[rows[first:after]], own)]]
             shared[first:after] = np.add.reduceat(hit, np.cumsum(own) - own, dtype=np.int64)
             first = after
+        mark[held] = False
         union = n + self.size[pivot] - shared
         self.parent[self.roots(rows[100 * shared >= self.percent * union])] = self.root(pivot)
         return 1 - shared / union
 
     def join(self, rows: np.ndarray) -> None:
-        """Find all links between ``rows``, or others that connect the same documents."""
+        """Find all links between ``rows`` (ascending), or others that connect the same documents."""
         if len(rows) < 2:
             return
         split = len(rows) > 2 * PIVOTS
@@ -370,105 +450,48 @@ class Region:
                 return
         # Few documents, or pivots that don't separate them: compare what the distances leave open, smaller components first.
         label = self.roots(rows)
-        biggest = np.bincount(np.unique(label, return_inverse=True)[1]).argmax() if len(rows) else 0
-        main = np.unique(label)[biggest]
-        for i in np.flatnonzero(label != main).tolist():
-            label = self.roots(rows)  # a few array look-ups
-            open_ = (label != label[i]) & (np.abs(near - near[:, i : i + 1]) <= self.reach).all(axis=0)
-            if open_.any():
-                self.distances(int(rows[i]), rows[open_])
-
-
-def _redealt(values: np.ndarray, bounds: np.ndarray, percent: int, deal: int) -> list[np.ndarray]:
-    """All rows split by equal parts under another dealing: linked documents stay together, chance meetings mostly don't."""
-    rows = len(bounds) - 1
-    # Signatures are told apart by their first bits, so that few are sorted at once.
-    parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(DEALT_PARTS)]
-    first = 0
-    while first < rows:
-        after = max(first + 1, int(np.searchsorted(bounds, bounds[first] + DEALT, side="right")) - 1)
-        code, row = signatures(mix(values[bounds[first] : bounds[after]] + np.uint64(deal)), bounds[first : after + 1] - bounds[first], percent)
-        home = (code % np.uint64(DEALT_PARTS)).astype(np.int8)
-        order = np.argsort(home, kind="stable")
-        cuts = np.searchsorted(home[order], np.arange(DEALT_PARTS + 1))
-        code, row = code[order], (row[order] + first).astype(np.int32)
-        for own, a, b in zip(parts, cuts[:-1].tolist(), cuts[1:].tolist()):
-            own.append((code[a:b].copy(), row[a:b].copy()))
-        first = after
-    edges = [np.empty((0, 2), dtype=np.int64)]
-    while parts:
-        code, row = (np.concatenate(x) for x in zip(*parts.pop()))
-        edges.append(_contract(code, row.astype(np.int64))[2])
-    edge = np.concatenate(edges)
-    parent = np.arange(rows)
-    while len(edge):
-        low, high = parent[edge].min(axis=1), parent[edge].max(axis=1)
-        if (low == high).all():
-            break
-        np.minimum.at(parent, high, low)
-        np.minimum.at(parent, edge[:, 0], low)
-        np.minimum.at(parent, edge[:, 1], low)
-        parent = parent[parent]
-    order = np.argsort(parent, kind="stable")
-    return np.split(order, np.flatnonzero(np.diff(parent[order])) + 1)
-
-
-def _distinct_sets(texts: Iterable[pa.Array], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingle codes and bounds of the distinct sets that are not empty, and for each text of all arrays the number of its set, or -1.
-
-    Sets are told apart by size and two sums of mixed codes. Block after block, copies are let go as they are seen, so
-    memory follows the distinct sets, however many copies a region holds.
+        known, count = np.unique(label, return_counts=True)
+        for i in np.flatnonzero(label != known[count.argmax()]).tolist():
+            # Far fewer than all documents, so none of these steps grows with the region.
+            near_by = self.candidates(int(rows[i]))
+            met = np.minimum(np.searchsorted(rows, near_by), len(rows) - 1)
+            met = met[rows[met] == near_by]
+            met = met[self.roots(rows[met]) != self.root(int(rows[i]))]
+            met = met[(np.abs(near[:, met] - near[:, i : i + 1]) <= self.reach).all(axis=0)]
+            if len(met):
+                self.distances(int(rows[i]), rows[met])
+
+
+def _distinct_sets(texts: Iterable[pa.Array], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Shingle codes and bounds of the distinct sets that are not empty, for each text of all arrays the number of its set,
+    or -1, and the columns of ``SET`` of the sets.
+
+    Block after block, copies are let go as they are seen, so memory follows the distinct sets, however many copies a
+    region holds.
     """
     known: dict[tuple[int, int, int], int] = {}
-    kept, sizes_, number = [np.empty(0, dtype=np.uint64)], [], []
+    kept, number = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
     for _, _, data, offsets in (block for array in texts for block in blocks(array, SMALL_BLOCK_BYTES)):
         values, bounds = shingle_sets(data, offsets, width)
         size = np.diff(bounds)
-        full = np.flatnonzero(size)
-        own = np.full(len(size), -1, dtype=np.int64)
-        if len(full):
-            sums = np.add.reduceat(mix(values), bounds[full])
-            more = np.add.reduceat(mix(values ^ np.uint64(0xA0761D6478BD642F)), bounds[full])
-            new = []
-            for row, key in zip(full.tolist(), zip(size[full].tolist(), sums.tolist(), more.tolist())):
-                if (at := known.get(key)) is None:
-                    at = known[key] = len(known)
-                    new.append(row)
-                own[row] = at
-            new = np.array(new, dtype=np.int64)
-            kept.append(values[ranges(bounds[new], size[new])])
-            sizes_.append(size[new])
+        own, new = np.full(len(size), -1, dtype=np.int64), []
+        for row, key in enumerate(zip(*(k.tolist() for k in _keys(values, bounds)))):
+            if not key[0]:
+                continue
+            if (at := known.get(key)) is None:
+                at = known[key] = len(known)
+                new.append(row)
+            own[row] = at
+        new = np.array(new, dtype=np.int64)
+        kept.append(values[ranges(bounds[new], size[new])])
         number.append(own)
-    bounds = np.append(0, np.cumsum(np.concatenate(sizes_))) if sizes_ else np.zeros(1, dtype=np.int64)
-    return np.concatenate(kept), bounds.astype(np.int64), np.concatenate(number) if number else np.empty(0, dtype=np.int64)
+    keys = np.array(list(known), dtype=np.int64).reshape(-1, 3)
+    return np.concatenate(kept), np.append(0, np.cumsum(keys[:, 0])), np.concatenate(number), [np.ascontiguousarray(k) for k in keys.T]
 
 
 def _join_region(percent: int, width: int):
     """One region's documents to their components. Texts pass batch by batch; only their distinct sets are held."""
 
-    def linked(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """For each set of the region one that stands for its component. ``sets`` (codes, bounds) is emptied, so that codes go as soon as they are numbered."""
-        values, bounds = sets.pop()
-        label = np.arange(len(bounds) - 1)
-        todo = [(values, bounds, label.copy(), (1, 2))]
-        del values
-        while todo:
-            values, bounds, rows, deals = todo.pop()
-            if deals and len(rows) > 2 * PIVOTS:
-                # Parts of the region under another dealing, each with its own table of shingles.
-                parts, size = _redealt(values, bounds, percent, deals[0]), np.diff(bounds)
-                if len(parts) == 1:
-                    todo.append((values, bounds, rows, deals[1:]))
-                    continue
-                for part in parts:
-                    todo.append((values[ranges(bounds[part], size[part])], np.append(0, np.cumsum(size[part])), rows[part], deals[1:]))
-                continue
-            region = Region(values, bounds, percent)
-            del values
-            region.join(np.arange(len(rows)))
-            label[rows] = rows[region.roots(np.arange(len(rows)))]
-        return label
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("jaccard")
         ids_: list[np.ndarray] = []
@@ -478,20 +501,117 @@ def _join_region(percent: int, width: int):
                 ids_.append(batch.column("doc_id").to_numpy().copy())
                 yield batch.column("text")
 
-        values, bounds, number = _distinct_sets(texts(), width)
-        ids, sets = np.concatenate(ids_), [(values, bounds)]
-        count = len(bounds) - 1
+        values, bounds, number, keys = _distinct_sets(texts(), width)
+        ids, count = np.concatenate(ids_), len(bounds) - 1
+        region = Region(values, bounds, percent)
         del values
-        label = linked(sets)
-        keep = number >= 0
-        label = label[number[keep]]
+        for part in region.apart():
+            region.join(part)
+        label = region.roots(np.arange(count))
+        number, ids = number[number >= 0], ids[number >= 0]
         least = np.full(count, np.iinfo(np.int64).max)
-        np.minimum.at(least, label, ids[keep])
-        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(least[label])], ["doc_id", "component"])
+        np.minimum.at(least, label[number], ids)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(k[number]) for k in keys), pa.array(least[label[number]])], ["doc_id", *SET, "component"])
 
     return run
 
 
+def _split(members: DataFrame, width: int, percent: int, shingles: int) -> DataFrame:
+    """(node, region): ``members`` (node, region, n_shingles, text) in finer regions, those alone left out.
+
+    Shingles are told apart by region and dealt to buckets, which count the members that hold each. Only those held by two
+    or more go on to their members; the others come first in a member's order of rarity and meet nothing. The first
+    shingles of a member in that order connect it with whatever else has them first.
+    """
+    homes = partitions(members.sparkSession)
+    buckets = homes * max(1, -(-shingles // (BUCKET * homes)))
+
+    def dealt(home: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+        """A row for each bucket with its part of the columns."""
+        order = np.argsort(home, kind="stable")
+        full, first = np.unique(home[order], return_index=True)
+        span = np.append(first, len(home))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(full.astype(np.int32)), *(binary_column(np.ascontiguousarray(c[order]).view(np.int64), span) for c in columns)],
+            ["bucket", "nodes", "codes", "counts"][: 1 + len(columns)],
+        )
+
+    def grouped(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
+        """The columns of one bucket after the other; rows without codes come as codes 0."""
+        held: list[list[np.ndarray]] = []
+        current = None
+        for batch in batches:
+            for bucket, *row in zip(batch.column(0).to_pylist(), *(batch.column(1 + k) for k in range(columns))):
+                if bucket != current and held:
+                    yield [np.concatenate(c) for c in zip(*held)]
+                    held = []
+                current = bucket
+                held.append([np.frombuffer(c.as_buffer(), dtype=np.int64) for c in row])
+        if held:
+            yield [np.concatenate(c) for c in zip(*held)]
+
+    def home_of(nodes: np.ndarray) -> np.ndarray:
+        return (mix(nodes.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("jaccard")
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            nodes, codes_ = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            return dealt((codes_ % np.uint64(buckets)).astype(np.int64), nodes, codes_)
+
+        for batch in batches:
+            node, region = batch.column(0).to_numpy(), mix(batch.column(1).to_numpy().astype(np.uint64))
+            for first, after, data, offsets in blocks(batch.column(2), SMALL_BLOCK_BYTES):
+                values, bounds = shingle_sets(data, offsets, width)
+                size = np.diff(bounds)
+                held.append((np.repeat(node[first:after], size), mix(values ^ np.repeat(region[first:after], size))))
+                if sum(len(n) for n, _ in held) >= LOT:
+                    yield flush()
+        if held:
+            yield flush()
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("jaccard")
+        for nodes, codes_ in grouped(batches, 2):
+            order = np.argsort(codes_, kind="stable")
+            nodes, codes_ = nodes[order], codes_[order]
+            first = np.flatnonzero(np.r_[True, codes_[1:] != codes_[:-1]][: len(codes_)])
+            count = np.repeat(np.diff(np.append(first, len(codes_))), np.diff(np.append(first, len(codes_))))
+            nodes, codes_, count = nodes[count > 1], codes_[count > 1], count[count > 1]
+            if len(nodes):
+                yield dealt(home_of(nodes), nodes, codes_, count)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if len(nodes):
+                yield dealt(home_of(nodes), nodes, np.zeros(len(nodes), dtype=np.int64), -size)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("jaccard")
+        for nodes, codes_, count in grouped(batches, 3):
+            # A node's size, less than 0, comes before the counts of its shared shingles.
+            order = np.lexsort((codes_, count, nodes))
+            nodes, codes_, count = nodes[order], codes_[order], count[order]
+            first = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]])
+            several, size = np.diff(np.append(first, len(nodes))), -count[first]
+            alone = size - (several - 1)
+            use = np.arange(len(nodes)) - np.repeat(first, several) <= np.repeat(size - -(-percent * size // 100) + 1 - alone, several)
+            use[first] = False
+            yield pa.RecordBatch.from_arrays([pa.array(codes_[use]), pa.array(nodes[use])], ["code", "node"])
+
+    made = members.select("node", "region", "text").mapInArrow(make, "bucket int, nodes binary, codes binary")
+    counted = made.repartition(homes, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, (fields := "bucket int, nodes binary, codes binary, counts binary"))
+    both = counted.unionAll(members.select("node", "n_shingles").mapInArrow(measured, fields))
+    first = staged(both.repartition(homes, "bucket").sortWithinPartitions("bucket").mapInArrow(rarest, "code long, node long"))
+    heads = first.groupBy("code").agg(F.min("node").alias("head"))
+    found = components(first.join(heads.hint("merge"), "code").select(F.col("head").alias("a"), F.col("node").alias("b")))
+    return found.select(F.col("id").alias("node"), F.col("component").alias("region"))
+
+
 def _large_regions(rows: DataFrame, percent: int, width: int) -> DataFrame:
     """(a, b) links that connect what is linked in regions too large for one task.
 
@@ -550,22 +670,74 @@ def _large_regions(rows: DataFrame, percent: int, width: int) -> DataFrame:
         )
 
 
+def _weights(members: DataFrame) -> DataFrame:
+    return members.groupBy("region").agg(F.sum("n_shingles").alias("weight"), F.count("*").alias("sets"))
+
+
+def _oversized(rows: DataFrame, width: int, percent: int, region_shingles: int) -> DataFrame:
+    """(columns of ``SET``, component) of what is joined in regions too large for one task. ``rows`` are (region, doc_id, text)."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("jaccard")
+        for batch in batches:
+            for first, after, data, offsets in blocks(batch.column(2), SMALL_BLOCK_BYTES):
+                keys = _keys(*shingle_sets(data, offsets, width))
+                own = [batch.column(k).slice(first, after - first) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, keys)], ["region", "doc_id", "text", *SET])
+
+    kept = rows.select("region", "doc_id", "text").mapInArrow(keyed, f"region long, doc_id long, text string, {SET_FIELDS}").where("n_shingles > 0")
+    # Rows are numbered as they are kept: an id may stand for several texts.
+    texts = staged(kept.withColumn("node", F.monotonically_increasing_id()))
+    large, fitting = texts.select("node", "region", "n_shingles"), []
+    weight = before = large.agg(F.sum("n_shingles")).first()[0]
+    for n in range(SPLITS):
+        if n and weight > WORTH * before:
+            break
+        own = texts if not n else texts.drop("region").join(large.select("node", "region").hint("merge"), "node")
+        finer = staged(_split(own, width, percent, weight).join(large.select("node", "n_shingles").hint("merge"), "node"))
+        heavy = _weights(finer).where(F.col("weight") > region_shingles).select("region")
+        fitting.append(finer.join(heavy, "region", "left_anti"))
+        large = staged(finer.join(heavy, "region", "left_semi").select("node", "region", "n_shingles"))
+        before, weight = weight, large.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+        if not weight:
+            break
+    placed = fitting[0]
+    for more in fitting[1:]:
+        placed = placed.unionByName(more)
+    own = texts.select("node", "doc_id", "text").join(placed.select("node", "region").hint("merge"), "node")
+    found = own.groupBy("region").applyInArrow(_join_region(percent, width), f"doc_id long, {SET_FIELDS}, component long").drop("doc_id")
+    if weight:
+        rest = texts.drop("region").join(large.select("node", "region").hint("merge"), "node")
+        linked = components(_large_regions(rest.select("region", F.col("node").alias("doc_id"), "text"), percent, width))
+        linked = texts.select("node", "doc_id", *SET).join(linked.withColumnRenamed("id", "node").hint("merge"), "node")
+        least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
+        found = found.unionByName(linked.join(least.hint("merge"), "component").select(*SET, F.col("least").alias("component")))
+    return found
+
+
 def joined(docs: DataFrame, width: int = 5, percent: int = 80, region_shingles: int = REGION_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: documents link if ``100 * intersection >= percent * union``."""
     size = staged(sizes(docs, width))
     shingles = size.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    regions = staged(components(meetings(docs, width, percent, shingles)))
+    regions = components(meetings(docs, width, percent, shingles))
     placed = regions.select(F.col("id").alias("doc_id"), F.col("component").alias("region"))
-    weight = placed.join(size, "doc_id").groupBy("region").agg(F.sum("n_shingles").alias("weight"))
+    # Of equal sets the document of the smallest id is compared for all.
+    full = size.where("doc_id is not null and n_shingles > 0")
+    sets = staged(full.groupBy(*SET).agg(F.min("doc_id").alias("doc_id")).join(placed.hint("merge"), "doc_id", "left"))
+    weight = staged(_weights(sets.where("region is not null")).where("sets > 1"))
     large = weight.where(F.col("weight") > region_shingles).select("region")
     # Both sides grow with the documents, so neither is broadcast at any size.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed.hint("merge"), "doc_id")
-    one = rows.join(large, "region", "left_anti").groupBy("region").applyInArrow(_join_region(percent, width), "doc_id long, component long")
+    # An inner join, which unlike a semi join stays above the grouping, so that a region of very many sets can be split.
+    chosen = sets.select("doc_id", "region").distinct().join(weight.select("region").hint("merge"), "region")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen.hint("merge"), "doc_id")
+    one = rows.join(large, "region", "left_anti").groupBy("region").applyInArrow(_join_region(percent, width), f"doc_id long, {SET_FIELDS}, component long")
+    one = one.drop("doc_id")
     if not large.isEmpty():
-        links = _large_regions(rows.join(large, "region", "left_semi"), percent, width)
-        one = one.unionAll(components(links).select(F.col("id").alias("doc_id"), "component"))
-    least = one.groupBy("doc_id").agg(F.min("component").alias("component"))
-    return size.join(least, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        one = one.unionByName(_oversized(rows.join(large, "region", "left_semi"), width, percent, region_shingles))
+    least = one.groupBy(*SET).agg(F.min("component").alias("component"))
+    found = sets.select(*SET, "doc_id").join(least.hint("merge"), SET, "left").select(*SET, F.coalesce("component", "doc_id").alias("component"))
+    of_docs = full.join(found.hint("merge"), SET).groupBy("doc_id").agg(F.min("component").alias("component"))
+    return size.join(of_docs, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

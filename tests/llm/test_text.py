@@ -271,3 +271,48 @@ def test_region_join_reads_its_texts_batch_by_batch_and_numbers_shingles_in_litt
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 24 * len(values)
+
+
+def test_sets_that_share_only_common_shingles_are_not_compared_with_each_other(monkeypatch):
+    """All sets hold the same lines, far too little to be linked: work follows the sets, not their pairs."""
+    rng = np.random.default_rng(6)
+    sets = [np.append(np.arange(12), rng.integers(1000, 1 << 60, 30)).astype(np.uint64) for _ in range(800)]
+    sets += [np.append(s[:-1], np.uint64(5000 + i)) for i, s in enumerate(sets[:40])]
+    compared = []
+    plain = jaccard.Region.distances
+    monkeypatch.setattr(jaccard.Region, "distances", lambda self, pivot, rows: (compared.append(len(rows)), plain(self, pivot, rows))[1])
+    region = jaccard.Region(np.concatenate(sets), np.arange(len(sets) + 1) * 42, 80)
+    region.join(np.arange(len(sets)))
+    assert region.roots(np.arange(840)).tolist()[800:] == region.roots(np.arange(40)).tolist() and len(set(region.roots(np.arange(840)).tolist())) == 800
+    assert sum(compared) <= 40 * len(sets)
+
+
+def test_copies_are_compared_once(llm, monkeypatch):
+    """A region of very many copies of two texts is small."""
+
+    def rounds(*_):
+        raise AssertionError("joined by rounds of pivots")
+
+    monkeypatch.setattr(jaccard, "_large_regions", rounds)
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words), " ".join([*words[:-1], "x"])]
+    docs = [(3 * i + 5, texts[i % 2]) for i in range(80)] + [(1, " ".join(words[:50]))]
+    frame = llm.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.joined(frame, 5, 80, 500).collect()}
+    assert got == brute.linked(docs, 5, 80)
+
+
+def test_a_large_region_falls_apart_by_rare_shingles(llm, monkeypatch):
+    """One region over many groups of near copies that share a line; only the large groups are left to rounds of pivots."""
+    draw, rounds = random.Random(4), jaccard._large_regions
+    docs = [(d, f"a line that all of these texts begin with {t}") for d, t in near_copies(draw, 25, 9, 60)]
+    left = []
+    monkeypatch.setattr(jaccard, "_large_regions", lambda rows, *rest: (left.append(rows.count()), rounds(rows, *rest))[1])
+    frame = llm.createDataFrame(docs, "doc_id long, text string").repartition(4).selectExpr("7L as region", "*")
+    want, both = brute.linked(docs, 3, 85), {}
+    ids = llm.createDataFrame(docs, "doc_id long, text string")
+    for limit in (10**6, 200):
+        found = jaccard._oversized(frame, 3, 85, limit)
+        both[limit] = {r["doc_id"]: r["component"] for r in jaccard.sizes(ids, 3).join(found.distinct(), jaccard.SET, "left").collect()}
+        assert {d: d if c is None else c for d, c in both[limit].items()} == {d: c for d, (_, c) in want.items()}
+    assert len(left) == 1 and 0 < left[0] < len(docs)
