@@ -50,7 +50,8 @@ def edges_of_entities(wanted: DataFrame, resolved: DataFrame, limit: int) -> Dat
     parts = []
     for turn, (orientation, end) in enumerate((("outgoing", "from_id"), ("incoming", "target_id"))):
         near = edges.withColumn("entity_id", F.col(end)).join(wanted.hint("merge"), "entity_id", "left_semi")
-        parts.append(_first(near, ["entity_id"], order, limit + 1, "nth").withColumns({"turn": F.lit(turn), "orientation": F.lit(orientation)}))
+        # Each direction is kept by itself, so that what it shuffles has gone before the next one begins.
+        parts.append(durable(_first(near, ["entity_id"], order, limit + 1, "nth").withColumns({"turn": F.lit(turn), "orientation": F.lit(orientation)})))
     return parts[0].unionByName(parts[1])
 
 
@@ -64,11 +65,13 @@ def graph_context(hits: DataFrame, files: DataFrame, known: DataFrame, resolved:
     entities = durable(entities_of_hits(hits, known, limit))
     shown = entities.filter(F.col("place") <= limit).select("hit", "place", "entity_id")
     edges = edges_of_entities(shown.select("entity_id").distinct(), resolved, limit)
-    met = shown.join(edges.hint("merge"), "entity_id")
+    # Edges are ranked by their places alone; only those shown get their columns.
+    met = shown.join(edges.select("entity_id", "turn", "nth", "relationship_id").hint("merge"), "entity_id")
     # An edge between two names of one hit is shown once, at the first of them.
     position = F.struct("place", "turn", "nth")
-    once = met.groupBy("hit", "relationship_id").agg(F.min_by(F.struct(*[c for c in EDGE if c != "relationship_id"]), position).alias("e"), F.min(position).alias("p"))
-    ranked = _first(once.select("hit", "relationship_id", "e.*", "p"), ["hit"], ["p"], limit + 1)
+    once = met.groupBy("hit", "relationship_id").agg(F.min_by("entity_id", position).alias("entity_id"), F.min(position).alias("p"))
+    ranked = durable(_first(once, ["hit"], ["p"], limit + 1).select("hit", "place", "entity_id", "p.turn", "p.nth"))
+    ranked = durable(ranked.join(edges.hint("merge"), ["entity_id", "turn", "nth"]).select("hit", "place", *EDGE))
     imports = resolved.filter(F.col("kind") == "imports").join(hits.select("source_id").distinct().hint("merge"), "source_id", "left_semi")
     imports = _first(
         imports.select("source_id", "target_name", "target_id", "line_start", "relationship_id"), ["source_id"], ["line_start", "target_name", "relationship_id"], limit + 1

@@ -3,6 +3,8 @@
 import contextlib
 import io
 import random
+import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from folionaut.llm import jaccard
 from folionaut.llm.session import prepare
 from folionaut.operators import bm25, context, spans, walks
+from folionaut.operators.durable import FREED, durable
 from folionaut.sources import cardfiles, extract, markup, nesting, pycode
 
 
@@ -194,3 +197,22 @@ def test_tokens_of_a_file_are_not_shuffled(spark):
         ("o", "class", "C", 0, 2, 3, ""), ("o", "class", "D", 0, 5, 5, ""), ("o", "function", "d", 0, 6, 6, ""),
         ("t", "class", "E", 0, 1, 3, ""), ("t", "class", "E", 1, 1, 3, ""), (None, "class", "F", 0, 1, 4, ""), (None, "function", "f", 0, 2, 3, ""),
     ], key=str)
+
+
+def test_what_a_kept_table_shuffled_goes_with_it(spark):
+    """Shuffle files otherwise stay until the driver collects its garbage."""
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", files.mkString(" ")))
+
+    before, setting = shuffled(), spark.conf.get(FREED, None)
+    rows = spark.range(5000).groupBy((F.col("id") % 1000).alias("key")).count()
+    kept = durable(rows.repartition(5, "count", "key"))
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert spark.conf.get(FREED, None) == setting
+    assert kept.count() == 1000 and rows.count() == 1000 and durable(rows).count() == 1000
